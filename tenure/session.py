@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,9 +38,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    show_package(spark)
     return spark
 
 
+def show_package(spark: SparkSession) -> None:
+    """Let local Python workers import this package; on a cluster ship it with ``--py-files``."""
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        root = str(Path(__file__).resolve().parent.parent)
+        known = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in known:
+            context.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 

@@ -11,6 +11,17 @@ from tenure.schemas import EVENT_DATA, schema
 _EVENT = ("event_type", "event_worker_id", "event_at", "event_data")
 
 
+def append_rows(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write one batch as its own partition; writing it again replaces it."""
+    (
+        rows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(path)
+    )
+
+
 def write_transitions(transitions: DataFrame, path: str, batch_id: int) -> None:
     """Commit state changes and their events together.
 
@@ -20,26 +31,29 @@ def write_transitions(transitions: DataFrame, path: str, batch_id: int) -> None:
     """
     rows = transitions.where(F.col("event_type").isNotNull()).withColumn("event_data", event_data())
     columns = [c for c in schema("steps").names if c in rows.columns]
-    (
-        rows.select(*columns, *_EVENT, F.lit(int(batch_id)).cast("bigint").alias("batch_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    append_rows(rows.select(*columns, *_EVENT), path, batch_id)
+
 
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    # The partition number comes back as whatever its text looks like.
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
-def current_state(spark: SparkSession, path: str) -> DataFrame:
-    """Newest after-image of every step that has been written."""
-    rows = spark.read.parquet(path)
+
+def current_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Newest after-image of every step written, in batches under ``before`` if given."""
+    rows = _log(spark, path)
+    if before is not None:
+        rows = rows.where(F.col("batch_id") < before)
     images = [c for c in rows.columns if c not in (*_EVENT, "batch_id", "step_id")]
-    newest = rows.groupBy("step_id").agg(F.max_by(F.struct(*images), F.struct("batch_id", "lease_version", "event_at")).alias("s"))
+    newest = rows.groupBy("step_id").agg(
+        F.max_by(F.struct(*images), F.struct("batch_id", "lease_version", "event_at")).alias("s")
+    )
     return newest.select("step_id", "s.*")
 
 
 def committed_events(spark: SparkSession, path: str) -> DataFrame:
     """The history those rows hold; the batch number is the commit number."""
-    return spark.read.parquet(path).select(
+    return _log(spark, path).where(F.col("event_type").isNotNull()).select(
         "step_id",
         F.col("event_worker_id").alias("worker_id"),
         "event_type",
