@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.functions.scalars import canonical_json, effect_id, effect_key
-from tenure.operators.ordered import join_one, salt
+from tenure.operators.ordered import salt
+
+PARTS = 64
 
 
 def effect_result(key: Column, request: Column) -> Column:
@@ -24,7 +26,7 @@ def _invalid() -> Column:
         F.when(F.coalesce(F.trim(key) == "", F.lit(True)), F.lit("blank key"))
         .when(F.length(key) > fixed.MAX_KEY_CHARS, F.lit("key too long"))
         .when(F.coalesce(F.trim(kind) == "", F.lit(True)), F.lit("blank effect type"))
-        .when(canonical_json(F.col("request")).isNull(), F.lit("request is not JSON"))
+        .when(F.try_parse_json("request").isNull(), F.lit("request is not JSON"))
     )
 
 
@@ -36,29 +38,36 @@ def apply_effects(requests: DataFrame, store: DataFrame, order: Sequence[str] =
     else under a used key. INVALID: bad key, type or JSON. ``order`` must be a
     total order within a key.
     """
-    checked = requests.withColumns({"__invalid": _invalid(), "__canon": canonical_json(F.col("request"))})
+    checked = requests.withColumns({"__invalid": _invalid(), "__part": salt(*order, parts=PARTS)})
 
     def entry(stored: bool, *at: Column) -> Column:
         return F.struct(
             F.lit(0 if stored else 1).alias("rank"),
             F.struct(*at).alias("at"),
             F.col("effect_type"),
-            F.col("__canon").alias("canon"),
-            (F.col("result") if stored else effect_result(F.col("idempotency_key"), F.col("request"))).alias("result"),
+            F.col("request"),
+            (F.col("result") if stored else F.lit(None).cast("string")).alias("result"),
         )
 
     asked = checked.where(F.col("__invalid").isNull()).select(
-        "idempotency_key", entry(False, *[F.col(c) for c in order]).alias("e")
+        "idempotency_key", "__part", entry(False, *[F.col(c) for c in order]).alias("e")
     )
     empty = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in order]
-    kept = store.withColumn("__canon", canonical_json(F.col("request"))).select(
-        "idempotency_key", entry(True, *empty).alias("e")
-    )
-    # One row per key, combined before it moves; a hot key costs nothing here.
-    first = kept.union(asked).groupBy("idempotency_key").agg(F.min("e").alias("__first"))
-    joined = join_one(checked, first, ["idempotency_key"], salt(*order), "left")
+    kept = store.select("idempotency_key", entry(True, *empty).alias("e"))
+    # A key's requests are cut to one row per part before they move, and every
+    # part of a hot key gets the key's first entry back, so no task sees a
+    # whole key: a key has at most PARTS rows here, and its row in the store.
+    parts = asked.groupBy("idempotency_key", "__part").agg(F.min("e").alias("e"))
+    entries = kept.withColumn("__part", F.lit(-1).cast("bigint")).unionByName(parts)
+    firsts = entries.withColumn("__first", F.min("e").over(Window.partitionBy("idempotency_key")))
+    firsts = firsts.where(F.col("__part") >= 0)
+    minted = effect_result(F.col("idempotency_key"), F.col("__first.request"))
+    firsts = firsts.select("idempotency_key", "__part", "__first", F.coalesce("__first.result", minted).alias("__result"))
+    joined = checked.join(firsts, ["idempotency_key", "__part"], "left")
     winner = F.col("__first")
-    same = (winner["effect_type"] == F.col("effect_type")) & (winner["canon"] == F.col("__canon"))
+    # Equal texts are equal requests; only the others are compared as JSON values.
+    equal = (winner["request"] == F.col("request")) | (canonical_json(winner["request"]) == canonical_json(F.col("request")))
+    same = (winner["effect_type"] == F.col("effect_type")) & equal
     is_first = (winner["rank"] == 1) & (winner["at"] == F.struct(*[F.col(c) for c in order]))
     outcome = (
         F.when(F.col("__invalid").isNotNull(), F.lit("INVALID"))
@@ -70,7 +79,7 @@ def apply_effects(requests: DataFrame, store: DataFrame, order: Sequence[str] =
     return decided.select(
         *requests.columns,
         "outcome",
-        F.when(F.col("outcome").isin("APPLIED", "REUSED"), winner["result"]).alias("result"),
+        F.when(F.col("outcome").isin("APPLIED", "REUSED"), F.col("__result")).alias("result"),
     )
 
 

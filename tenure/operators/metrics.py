@@ -110,7 +110,7 @@ def latency_percentiles(steps: DataFrame, approximate: bool = False, digits: int
             F.count("*").alias("n"), F.max("ms").alias("max"), F.percentile_approx("ms", list(FRACTIONS), 10_000).alias("percentiles")
         )
     else:
-        found = exact_percentiles(rows, ["metric"], "ms", FRACTIONS)
+        found = exact_percentiles(rows, ["metric"], "ms", FRACTIONS, fixed_keys=True)
     names = ("p50", "p95", "p99")
     return found.select(
         "metric", "n", *[F.round(F.col("percentiles")[i], digits).alias(n) for i, n in enumerate(names)], F.round("max", digits).alias("max")

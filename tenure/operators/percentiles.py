@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many values a group is ranked as it is; beyond, only the values in
-# a narrow bracket around each percentile are ranked.
-RANK_ALL_UP_TO = 1_000_000
-BRACKET = 1e-5
-SKETCH_ACCURACY = 1_000_000
+from tenure.operators.ordered import Running, join_one, running, salt
+
+# Groups up to this size are ranked as they are. In larger ones only the values
+# in a narrow bracket around each percentile are; the bracket is ten times as
+# wide as the sketch may be wrong, and ten ranks or more.
+RANK_ALL_UP_TO = 10_000
+BRACKET = 1e-3
+SKETCH_ACCURACY = 10_000
+SLICES = 1024
 
 
 def exact_percentiles(
@@ -19,6 +23,7 @@ def exact_percentiles(
     keys: Sequence[str],
     value: str,
     fractions: Sequence[float],
+    fixed_keys: bool = False,
     rank_all_up_to: int = RANK_ALL_UP_TO,
     bracket: float = BRACKET,
     accuracy: int = SKETCH_ACCURACY,
@@ -27,79 +32,71 @@ def exact_percentiles(
 
     First pass: a mergeable sketch gives bounds around each percentile. Second
     pass: values below the lower bound are only counted, those inside the
-    bounds are counted per value, and the few inside are ranked. The bounds
-    decide how much is ranked, never the result: should a wanted rank fall
-    outside them, the job fails.
+    bounds are counted per value, and these counts are ranked in slices. The
+    bounds decide how much is ranked, never the result: should a wanted rank
+    fall outside them, the job fails. ``fixed_keys`` says that the keys are a
+    short list known in advance, so that the bounds can be broadcast.
     """
-    df = df.where(F.col(value).isNotNull())
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     cuts = [c for p in fractions for c in (max(p - bracket, 0.0), min(p + bracket, 1.0))]
-    bounds = df.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-        F.percentile_approx(value, cuts, F.lit(accuracy)).alias("cuts"),
+    bounds = rows.groupBy(*keys).agg(
+        F.count("v").alias("n"),
+        F.min("v").alias("low"),
+        F.max("v").alias("high"),
+        F.percentile_approx("v", cuts, F.lit(accuracy)).alias("cuts"),
     )
     whole = F.col("n") <= rank_all_up_to
+    ranks = [F.lit(p) * (F.col("n") - 1) for p in fractions]
     targets = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
-                F.floor(F.lit(p) * (F.col("n") - 1)).alias("rank"),
-                (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))).alias("part"),
+                F.floor(rank).alias("rank"),
+                (rank - F.floor(rank)).alias("part"),
                 F.when(whole, F.col("low")).otherwise(F.col("cuts")[2 * i]).alias("from"),
                 F.when(whole, F.col("high")).otherwise(F.col("cuts")[2 * i + 1]).alias("to"),
+                "n",
+                "high",
             )
-            for i, p in enumerate(fractions)
+            for i, rank in enumerate(ranks)
         ]
     )
-    targets = bounds.select(*keys, "n", "high", targets.alias("targets"))
+    targets = bounds.select(*keys, targets.alias("targets"))
+    if fixed_keys:
+        joined = rows.join(F.broadcast(targets), keys)
+    else:
+        joined = join_one(rows, targets, keys, salt("v"))
 
-    plain = df.select(*keys, value)
-    # Without keys the bounds are one row; with keys Spark sizes the join itself.
-    joined = plain.join(targets, list(keys)) if keys else plain.join(F.broadcast(targets))
-    wanted = joined.select(
-        *keys, "n", "high", F.col(value).alias("v"), F.explode("targets").alias("t")
-    ).where(F.col("v") <= F.col("t.to"))
+    wanted = joined.select(*keys, "v", F.explode("targets").alias("t")).where(F.col("v") <= F.col("t.to"))
+    below = F.col("v") < F.col("t.from")
+    wide = F.nullif(F.col("t.to") - F.col("t.from"), F.lit(0.0))
+    place = F.coalesce(F.floor((F.col("v") - F.col("t.from")) / wide * SLICES), F.lit(0))
     counted = wanted.groupBy(
         *keys,
         F.col("t.i").alias("i"),
-        F.when(F.col("v") >= F.col("t.from"), F.col("v")).alias("v"),
-    ).agg(
-        F.count("*").alias("c"),
-        F.first("n").alias("n"),
-        F.first("high").alias("high"),
-        F.first("t.rank").alias("rank"),
-        F.first("t.part").alias("part"),
-    )
-    ranked = counted.withColumn(
-        "upto",
-        F.sum("c").over(
-            Window.partitionBy(*keys, "i")
-            .orderBy(F.col("v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ),
-    )
+        F.when(below, float("-inf")).otherwise(F.col("v")).alias("v"),
+        F.when(below, F.lit(-1)).otherwise(place).cast("bigint").alias("slice"),
+    ).agg(F.count("*").alias("c"), F.first("t").alias("t"))
+    ranked = running(counted, [*keys, "i"], ["v"], F.col("slice"), upto=Running("sum", F.col("c")))
+    rank = F.col("t.rank")
     picked = ranked.groupBy(*keys, "i").agg(
-        F.first("n").alias("n"),
-        F.first("high").alias("high"),
-        F.first("part").alias("part"),
-        F.max(F.when(F.col("v").isNull(), F.col("upto") > F.col("rank"))).alias("too_high"),
-        F.min(F.when(F.col("upto") > F.col("rank"), F.col("v"))).alias("lower"),
-        F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("v"))).alias("upper"),
-    )
-    missed = (
-        F.coalesce(F.col("too_high"), F.lit(False))
-        | F.col("lower").isNull()
-        | ((F.col("part") > 0) & F.col("upper").isNull())
+        F.first("t").alias("t"),
+        F.max((F.col("slice") < 0) & (F.col("upto") > rank)).alias("missed"),
+        F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("lower"),
+        F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("upper"),
     )
+    part = F.col("t.part")
+    missed = F.col("missed") | F.col("lower").isNull() | ((part > 0) & F.col("upper").isNull())
     result = (
         F.when(missed, F.raise_error(F.lit("percentile outside its bracket; widen it")).cast("double"))
-        .when(F.col("part") == 0, F.col("lower"))
-        .otherwise(F.col("lower") + F.col("part") * (F.col("upper") - F.col("lower")))
+        .when(part == 0, F.col("lower"))
+        .otherwise(F.col("lower") + part * (F.col("upper") - F.col("lower")))
     )
+    # One row per fraction: the list is as short as ``fractions``.
     listed = picked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.first("high").alias("max"),
+        F.first("t.n").alias("n"),
+        F.first("t.high").alias("max"),
         F.array_sort(F.collect_list(F.struct("i", result.alias("p")))).alias("ps"),
     )
     return listed.select(*keys, "n", "max", F.transform("ps", lambda x: x["p"]).alias("percentiles"))

@@ -9,6 +9,7 @@ from tenure.operators.history import event_data
 from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.views import EVENTS_END, LEASE_MS, STEP_LEASE_MS, with_views
+from tenure.session import cut_lineage
 
 _LEASE = f"to_milliseconds({LEASE_MS})"
 _STEP_LEASE = f"to_milliseconds({STEP_LEASE_MS})"
@@ -242,20 +243,25 @@ REPLAY_EVENTS = """
 _END = f"TIMESTAMP '{EVENTS_END}'"
 
 
+def _log(spark, sf):
+    """The writes as a written table, which a log of owner writes is; every round reads it."""
+    return cut_lineage(v.fold_writes(spark, sf))
+
+
 @query("stm2_fold_decisions", with_views(REPLAY_DECISIONS, *replay_ctes(_END), recursive=True))
 def _(spark, sf):
-    w = v.fold_writes(spark, sf)
+    w = _log(spark, sf)
     generations = fold.lifecycle_fold(w, EVENTS_END, LEASE_MS)
     return fold.fold_decisions(w, generations, EVENTS_END).select("step_id", "seq", "op", "accepted")
 
 
 @query("stm2_fold_state", with_views(REPLAY_STATE, *replay_ctes(_END), recursive=True))
 def _(spark, sf):
-    w = v.fold_writes(spark, sf)
+    w = _log(spark, sf)
     return fold.fold_state(w, fold.lifecycle_fold(w, EVENTS_END, LEASE_MS), EVENTS_END)
 
 
 @query("stm2_fold_events", with_views(REPLAY_EVENTS, *replay_ctes(_END), recursive=True))
 def _(spark, sf):
-    rows = fold.fold_events(fold.lifecycle_fold(v.fold_writes(spark, sf), EVENTS_END, LEASE_MS), EVENTS_END)
+    rows = fold.fold_events(fold.lifecycle_fold(_log(spark, sf), EVENTS_END, LEASE_MS), EVENTS_END)
     return rows.select("step_id", "lease_version", "event_type", "created_at", "worker_id", "reason", "error")

@@ -22,7 +22,7 @@ class _FirstWins(StatefulProcessor):
         self.stored = handle.getValueState("stored", "effect_type STRING, canon STRING, result STRING")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.stored.get() if self.stored.exists() else None
+        stored = self.stored.get()
         # The rows of one key in one batch, which the source's trigger limit bounds.
         for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
             if stored is None:
