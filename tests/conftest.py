@@ -17,6 +17,8 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.maxMetadataStringLength": "5000",
+            "spark.sql.debug.maxToStringFields": "500",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
         },
     )
