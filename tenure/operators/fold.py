@@ -24,9 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions import fixed
-from tenure.functions.scalars import backoff_ms, floor_bucket, instant, plus_ms
+from tenure.functions.scalars import backoff_ms, instant, plus_ms
 from tenure.operators.lease import DAY_S, OWNER_OPS, position, settle_generations
-from tenure.operators.ordered import join_one
 from tenure.session import cut_lineage
 
 
@@ -40,19 +39,20 @@ def lifecycle_fold(
     """One row per accepted claim: its generation, how it ended, and when the step was ready again.
 
     outcome: SUCCEEDED, RETRY_WAIT, DEAD_LETTERED, RECOVERED, or RUNNING at ``as_of``.
-    Every round's rows, one per step at most, are written to the checkpoint
-    folder, so a round does not replay the earlier ones.
+    Every round's claims and outcomes, one row per step at most, are written to
+    the checkpoint folder: a round does not replay the earlier ones, and both
+    sides of its joins are plain shuffles, which the adaptive skew join can
+    split where one step has most of the writes.
     """
     now = instant(as_of)
     seen = writes.where(F.col("ts") <= now)
     claims = seen.where(F.col("op") == "CLAIM").select("step_id", "ts", "seq", "worker_id")
     owned = seen.where(F.col("op").isin(*OWNER_OPS))
-    slice_by = floor_bucket(F.col("ts"), slice_s)
     rounds: list[DataFrame] = []
     for generation in range(1, max_attempts + 1):
         if rounds:
             ready = rounds[-1].where(F.col("ready_at").isNotNull()).select("step_id", "ready_at")
-            claims = join_one(claims, ready, ["step_id"], slice_by).where(F.col("ts") >= F.col("ready_at")).drop("ready_at")
+            claims = claims.join(ready, "step_id").where(F.col("ts") >= F.col("ready_at")).drop("ready_at")
         first = claims.groupBy("step_id").agg(F.min(F.struct("ts", "seq", "worker_id")).alias("c"))
         opened = first.select(
             "step_id",
@@ -62,8 +62,9 @@ def lifecycle_fold(
             F.col("c.seq").alias("claim_seq"),
             plus_ms(F.col("c.ts"), lease_ms).alias("deadline0"),
         )
+        opened = cut_lineage(opened)
         theirs = owned.where(F.col("lease_version") == generation)
-        rows = join_one(theirs, opened, ["step_id", "lease_version", "worker_id"], slice_by)
+        rows = theirs.join(opened, ["step_id", "lease_version", "worker_id"])
         after = F.struct(F.col("claimed_at").alias("ts"), F.col("claim_seq").alias("seq")) < position()
         settled = settle_generations(opened, rows.where(after), lease_ms, slice_s)
 
@@ -154,7 +155,7 @@ def fold_state(writes: DataFrame, generations: DataFrame, as_of) -> DataFrame:
     )
 
 
-def fold_decisions(writes: DataFrame, generations: DataFrame, as_of, slice_s: int = DAY_S) -> DataFrame:
+def fold_decisions(writes: DataFrame, generations: DataFrame, as_of) -> DataFrame:
     """``writes`` up to ``as_of`` plus accepted, as the replay decided."""
     seen = writes.where(F.col("ts") <= instant(as_of))
     claimed = generations.select("step_id", F.col("claim_seq").alias("seq"), F.lit(True).alias("accepted"))
@@ -168,9 +169,7 @@ def fold_decisions(writes: DataFrame, generations: DataFrame, as_of, slice_s: in
         F.when(F.col("end_op").isNotNull(), F.struct(F.col("end_ts").alias("ts"), F.col("end_seq").alias("seq"))).alias("__to"),
         F.col("deadline").alias("__deadline"),
     )
-    rows = join_one(
-        seen.where(F.col("op").isin(*OWNER_OPS)), held, ["step_id", "lease_version"], floor_bucket(F.col("ts"), slice_s), "left"
-    )
+    rows = seen.where(F.col("op").isin(*OWNER_OPS)).join(held, ["step_id", "lease_version"], "left")
     accepted = (
         (F.col("worker_id") == F.col("__worker"))
         & (F.col("__from") < position())

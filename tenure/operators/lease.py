@@ -230,12 +230,8 @@ def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DE
         F.col("current_worker_id").alias("worker_id"),
         F.col("lease_expires_at").alias("deadline0"),
     )
-    rows = join_one(
-        writes.where(F.col("op") == "RENEW"),
-        held,
-        ["step_id", "lease_version", "worker_id"],
-        floor_bucket(F.col("ts"), slice_s),
-    )
+    # Both sides are plain shuffles, so a step with most writes is split by the adaptive skew join.
+    rows = writes.where(F.col("op") == "RENEW").join(held, ["step_id", "lease_version", "worker_id"])
     settled = settle_generations(held, rows, lease_ms, slice_s).where(F.col("renewals") > 0)
     renewed = settled.select("step_id", "deadline", "renewals")
     joined = steps.join(renewed, "step_id").withColumn("lease_expires_at", F.col("deadline"))

@@ -182,7 +182,7 @@ def test_fold_equals_a_row_by_row_replay(spark, seed, until):
     decisions, events, state = plain_replay(log, at(until))
     w = table(spark, "owner_writes", log)
     generations = fold.lifecycle_fold(w, at(until), LEASE, slice_s=5)
-    got = {r.seq: r.accepted for r in fold.fold_decisions(w, generations, at(until), slice_s=5).collect()}
+    got = {r.seq: r.accepted for r in fold.fold_decisions(w, generations, at(until)).collect()}
     assert got == decisions
     told = fold.fold_events(generations, at(until)).collect()
     assert sorted(((r.step_id, r.lease_version, r.event_type, r.created_at, r.worker_id) for r in told), key=str) == events
