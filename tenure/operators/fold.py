@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.functions.scalars import backoff_ms, instant, plus_ms
-from tenure.operators.lease import DAY_S, OWNER_OPS, position, settle_generations
+from tenure.operators.lease import SLICE_S, OWNER_OPS, position, settle_generations
 from tenure.session import cut_lineage
 
 
@@ -34,7 +34,7 @@ def lifecycle_fold(
     as_of,
     lease_ms: int = fixed.DEFAULT_LEASE_MS,
     max_attempts: int = fixed.DEFAULT_MAX_ATTEMPTS,
-    slice_s: int = DAY_S,
+    slice_s: int = SLICE_S,
 ) -> DataFrame:
     """One row per accepted claim: its generation, how it ended, and when the step was ready again.
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.functions.scalars import error_excerpt, instant, status_after
-from tenure.operators.ordered import Running, running
+from tenure.operators.ordered import Running, join_one, running
 
 # Commit numbers per slice: how far a hot step or the whole log is cut up.
-XID_SLICE = 4096
+XID_SLICE = 65_536
 
 
 def xid_slice(width: int = XID_SLICE) -> Column:
@@ -144,7 +144,7 @@ def history(events: DataFrame, text: Column | None = None, slice_width: int = XI
     return listed.select("step_id", F.array_join(F.transform("s", lambda x: x["history"]), " ").alias("history"))
 
 
-def conformance(events: DataFrame, expected: str) -> DataFrame:
+def conformance(events: DataFrame, expected: str, slice_width: int = XID_SLICE) -> DataFrame:
     """Steps whose history is not ``expected``, with their number of events.
 
     Only steps with exactly the expected number of events can match, so only
@@ -153,7 +153,8 @@ def conformance(events: DataFrame, expected: str) -> DataFrame:
     length = len(expected.split(" "))
     counted = events.groupBy("step_id").agg(F.count("*").alias("n_events"))
     candidates = counted.where(F.col("n_events") == length)
-    short = history(events.join(candidates.select("step_id"), "step_id", "left_semi"))
+    # By slices, since a plain join would move all events of a hot step to one task to drop them there.
+    short = history(join_one(events, candidates.select("step_id"), ["step_id"], xid_slice(slice_width)), slice_width=slice_width)
     good = short.where(F.col("history") == expected).select("step_id")
     return counted.join(good, "step_id", "left_anti")
 

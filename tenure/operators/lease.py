@@ -15,14 +15,15 @@ from tenure.functions.scalars import backoff_ms, floor_bucket, plus_ms
 from tenure.operators.ordered import Running, join_one, running
 
 OWNER_OPS = ("RENEW", "COMPLETE", "FAIL")
-DAY_S = 86_400
+# Length of the slices a step's rows are cut into.
+SLICE_S = 3_600
 
 
 def position() -> Column:
     return F.struct(F.col("ts"), F.col("seq"))
 
 
-def settle_generations(generations: DataFrame, owner_rows: DataFrame, lease_ms: int, slice_s: int = DAY_S) -> DataFrame:
+def settle_generations(generations: DataFrame, owner_rows: DataFrame, lease_ms: int, slice_s: int = SLICE_S) -> DataFrame:
     """How each generation went.
 
     ``generations``: step_id, lease_version, worker_id, claimed_at, claim_seq,
@@ -69,7 +70,7 @@ def settle_generations(generations: DataFrame, owner_rows: DataFrame, lease_ms:
     )
 
 
-def with_generation(writes: DataFrame, slice_s: int = DAY_S) -> DataFrame:
+def with_generation(writes: DataFrame, slice_s: int = SLICE_S) -> DataFrame:
     """``writes`` plus ``held``: the last claim at or before each row, claims taken as facts."""
     claim = F.struct("lease_version", "worker_id", "ts", "seq")
     return running(
@@ -81,7 +82,7 @@ def with_generation(writes: DataFrame, slice_s: int = DAY_S) -> DataFrame:
     )
 
 
-def lease_spans(writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = DAY_S) -> DataFrame:
+def lease_spans(writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
     """Each generation's start, accepted renewals, last deadline and end.
 
     Claims are taken as facts, numbered without gaps per step. ended_by is
@@ -156,7 +157,7 @@ def authorize(steps: DataFrame, writes: DataFrame) -> DataFrame:
     return joined.select(*writes.columns, "decision", (F.col("decision") == ACCEPTED).alias("accepted"))
 
 
-def authorize_asof(writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = DAY_S) -> DataFrame:
+def authorize_asof(writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
     """Each owner write judged against the generation in force at its own time.
 
     Adds in_force (that generation's number), decision, accepted and phase:
@@ -222,7 +223,7 @@ def _earliest_match(steps: DataFrame, writes: DataFrame, op: str) -> DataFrame:
     return owned.where(F.col("w.ts") < F.col("lease_expires_at")).select(*[owned[c] for c in steps.columns], "w")
 
 
-def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = DAY_S) -> DataFrame:
+def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
     """After-images of renewed steps: only the deadline moves. Adds the number of renewals."""
     held = steps.where((F.col("status") == "RUNNING") & (F.col("lease_version") > 0)).select(
         "step_id",

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SLICE = "__slice"
+FAN = 1024
 
 
 @dataclass(frozen=True)
@@ -53,12 +54,18 @@ class Running:
         return F.coalesce(here, before)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, **values: Running) -> DataFrame:
+def running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, levels: int | None = None, **values: Running
+) -> DataFrame:
     """``df`` plus one column per entry of ``values``.
 
-    ``order`` must be a total, ascending order within a key, ``slice_by`` must
-    not decrease along it, and neither may be null.
+    ``order`` must be a total, ascending order within a key, ``slice_by`` a
+    number that does not decrease along it, and neither may be null. With more
+    ``levels`` the totals of a key's slices are carried forward in slices
+    again, ``FAN`` at a time; without keys there are two, so that not even the
+    totals of a whole log meet in one task.
     """
+    levels = levels or (1 if keys else 2)
     columns = df.columns
     order_columns = [F.col(name) for name in order]
     rows = df.withColumn(_SLICE, slice_by)
@@ -71,10 +78,18 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
     here = rows.select("*", *[v.over(frames[v.inclusive]).alias(f"__here_{n}") for n, v in values.items()])
 
     totals = rows.groupBy(*keys, _SLICE).agg(*[v.total(order_columns).alias(f"__total_{n}") for n, v in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, _SLICE, *[v.carry(F.col(f"__total_{n}"), earlier).alias(f"__before_{n}") for n, v in values.items()]
-    )
+    if levels == 1:
+        earlier = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(
+            *keys, _SLICE, *[v.carry(F.col(f"__total_{n}"), earlier).alias(f"__before_{n}") for n, v in values.items()]
+        )
+    else:
+        fine = f"__fine{levels}"
+        above = {f"__before_{n}": Running(v.kind, F.col(f"__total_{n}"), inclusive=False) for n, v in values.items()}
+        coarse = F.floor(F.col(fine) / F.lit(FAN)).cast("bigint")
+        totals = totals.withColumnRenamed(_SLICE, fine)
+        carried = running(totals, keys, [fine], coarse, levels - 1, **above)
+        carried = carried.select(*keys, F.col(fine).alias(_SLICE), *above)
     joined = here.join(carried, [*keys, _SLICE])
     merged = [v.merge(F.col(f"__here_{n}"), F.col(f"__before_{n}")).alias(n) for n, v in values.items()]
     return joined.select(*columns, *merged)

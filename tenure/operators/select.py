@@ -67,7 +67,7 @@ def next_claimable_per(steps: DataFrame, as_of, k: int, by: str) -> DataFrame:
 
 def excluding_busy(steps: DataFrame, busy: DataFrame) -> DataFrame:
     """Steps not held by another session; ``busy`` has the held step_id values."""
-    return steps.join(busy.select("step_id"), "step_id", "left_anti")
+    return steps.join(busy.select("step_id").distinct(), "step_id", "left_anti")
 
 
 def assign_batch(steps: DataFrame, workers: DataFrame, as_of, lease_ms: int, k: int) -> DataFrame:

@@ -40,7 +40,7 @@ def audit_vocabulary(df: DataFrame, column: str, allowed: Iterable[str]) -> Data
     return df.where(~F.coalesce(F.col(column).isin(*allowed), F.lit(False)))
 
 
-def audit_transitions(history: DataFrame, slice_s: int = 86_400) -> DataFrame:
+def audit_transitions(history: DataFrame, slice_s: int = 3_600) -> DataFrame:
     """Status changes that are no edge of the graph.
 
     ``history`` has step_id, ts, seq and status; the first row of a step has no

@@ -9,7 +9,7 @@ from tenure.operators import history as h
 from tenure.operators import metrics
 from tenure.plans import views as v
 from tenure.plans.registry import query
-from tenure.plans.views import EVENTS_START, with_views
+from tenure.plans.views import EVENTS_START, LOG_SLICE, with_views
 from tenure.sources.sinks import event_wire
 
 _TERMINAL = "('STEP_SUCCEEDED', 'STEP_DEAD_LETTERED')"
@@ -93,7 +93,7 @@ def _(spark, sf):
           FROM v_plain_events) WHERE id < highest_before"""),
 )
 def _(spark, sf):
-    return h.missed_by_id_cursor(v.plain_events(spark, sf))
+    return h.missed_by_id_cursor(v.plain_events(spark, sf), LOG_SLICE)
 
 
 _HISTORY = "string_agg(event_type || ':v' || lease_version, ' ' ORDER BY xid, id)"
@@ -101,18 +101,18 @@ _HISTORY = "string_agg(event_type || ':v' || lease_version, ' ' ORDER BY xid, id
 
 @query("evt6_history", with_views(f"SELECT step_id, {_HISTORY} AS history FROM v_events GROUP BY step_id"))
 def _(spark, sf):
-    return h.history(v.events(spark, sf))
+    return h.history(v.events(spark, sf), slice_width=LOG_SLICE)
 
 
 @query(
     "evt6_history_segments",
     with_views(
-        f"SELECT step_id, xid // {h.XID_SLICE} AS segment, {_HISTORY} AS history FROM v_events GROUP BY step_id, xid // {h.XID_SLICE}"
+        f"SELECT step_id, xid // {LOG_SLICE} AS segment, {_HISTORY} AS history FROM v_events GROUP BY step_id, xid // {LOG_SLICE}"
     ),
 )
 def _(spark, sf):
     text = F.concat(F.col("event_type"), F.lit(":v"), F.col("lease_version").cast("string"))
-    return h.history_segments(v.events(spark, sf), text)
+    return h.history_segments(v.events(spark, sf), text, LOG_SLICE)
 
 
 _BY_DAY = "CAST(step_id * 1000 + floor((epoch_us(created_at) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000) AS BIGINT)"
@@ -135,8 +135,8 @@ def _(spark, sf):
     day = F.floor((F.unix_micros("created_at") - F.unix_micros(F.lit(EVENTS_START).cast("timestamp"))) / 86_400_000_000)
     e = v.plain_events(spark, sf).withColumn("step_id", (F.col("step_id") * 1000 + day).cast("bigint"))
     claimed = F.when(F.col("event_type") == fixed.STEP_CLAIMED, 1).otherwise(0)
-    e = running(e, ["step_id"], ["xid", "id"], h.xid_slice(), lease_version=Running("sum", claimed))
-    return h.conformance(e, "STEP_CLAIMED:v1 LEASE_RECOVERED:v1")
+    e = running(e, ["step_id"], ["xid", "id"], h.xid_slice(LOG_SLICE), lease_version=Running("sum", claimed))
+    return h.conformance(e, "STEP_CLAIMED:v1 LEASE_RECOVERED:v1", LOG_SLICE)
 
 
 _PAIRS = ", ".join(f"'{a or ''}>{b}'" for a, b in fixed.EVENT_SUCCESSORS)
@@ -156,7 +156,7 @@ _PAIRS = ", ".join(f"'{a or ''}>{b}'" for a, b in fixed.EVENT_SUCCESSORS)
     ),
 )
 def _(spark, sf):
-    return h.lifecycle_conformance(v.events(spark, sf))
+    return h.lifecycle_conformance(v.events(spark, sf), LOG_SLICE)
 
 
 @query(

@@ -97,7 +97,7 @@ def _(spark, sf):
 def _(spark, sf):
     """A later event has a greater id, and no commit number is under its id: so far up to the greatest id."""
     e = v.plain_events(spark, sf).select("id", "xid", "step_id", "event_type")
-    release = OrderedRelease(scratch_path(spark, "release"), lambda arrivals, _: arrivals.agg(F.max("id") + 1).first()[0] or 0)
+    release = OrderedRelease(scratch_path(spark, "release"), lambda batch, _: batch.agg(F.max("id") + 1).first()[0])
     stream, steps = arriving(e, "arrivals", "id", parts=3)
     drain_batches(stream, release, "release", steps)
     return release.released(spark)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.functions.scalars import floor_bucket, plus_ms
-from tenure.operators.history import XID_SLICE, xid_slice
+from tenure.operators.history import xid_slice
 from tenure.operators.ordered import Running, running
 from tenure.session import prepare
 
@@ -19,6 +19,8 @@ AS_OF = "1999-01-01 00:00:00"
 EVENTS_START = "2024-01-01 00:00:00"
 EVENTS_END = "2024-01-31 00:00:00"
 LEASE_MS = 12 * 3_600_000
+# Small logs, small slices: so that even they have several.
+LOG_SLICE = 2_048
 STEP_LEASE_MS = 10 * 86_400_000
 
 # Timestamps in the files carry no zone; read as UTC instants they still prune row groups.
@@ -184,7 +186,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         plain_events(spark, sf_dir),
         keys=["step_id"],
         order=["xid", "id"],
-        slice_by=xid_slice(XID_SLICE),
+        slice_by=xid_slice(LOG_SLICE),
         lease_version=Running("sum", claimed),
     ).withColumn("lease_version", F.col("lease_version").cast("int"))
     data = F.to_json(F.struct(F.col("lease_version").alias("leaseVersion"), F.col("lease_version").alias("attemptCount")))
@@ -262,7 +264,7 @@ def _writes(spark: SparkSession, sf_dir: str, step_id) -> DataFrame:
         e.select("event_id", "ts", "step_id", "k", "op", "user_id"),
         keys=["step_id"],
         order=["ts", "event_id"],
-        slice_by=floor_bucket(F.col("ts"), 86_400),
+        slice_by=floor_bucket(F.col("ts"), 3_600),
         claims=Running("sum", F.when(F.col("op") == "CLAIM", 1).otherwise(0)),
     )
     claim = F.col("op") == "CLAIM"

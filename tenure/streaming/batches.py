@@ -22,8 +22,8 @@ class OrderedRelease:
     outside that range are skipped by their statistics.
     """
 
-    def __init__(self, path: str, watermark: Callable[[DataFrame, int], int]):
-        """``watermark(arrivals, batch_id)``: the oldest transaction that may still write."""
+    def __init__(self, path: str, watermark: Callable[[DataFrame, int], int | None]):
+        """``watermark(batch, batch_id)``: the oldest transaction that may still write, None for no news."""
         self.path = path
         self.watermark = watermark
 
@@ -33,7 +33,7 @@ class OrderedRelease:
         arrivals = spark.read.parquet(f"{self.path}/arrivals").where(F.col("batch_id") <= batch_id)
         reached = self._reached(spark, batch_id)
         # A watermark never goes back, whatever the caller says.
-        upto = max(reached, self.watermark(arrivals, batch_id))
+        upto = max(reached, self.watermark(batch, batch_id) or 0)
         due = arrivals.where((F.col("xid") >= reached) & (F.col("xid") < upto)).drop("batch_id")
         ordered = due.repartitionByRange("xid", "id").sortWithinPartitions("xid", "id")
         append_rows(ordered, f"{self.path}/released", batch_id)
