@@ -100,3 +100,26 @@ CLOCK_PATTERN = r"(\d{2}:\d{2}:\d{2}\.\d{3})"
 # Paced load: half of the capacity, in whole hundreds, never under one hundred.
 PACED_SHARE = 0.5
 PACED_STEP = 100
+
+# Error texts of task validation, in the order of the checks. Those ending in
+# "got " are followed by the offending JSON value.
+ERROR_TASK_TYPE = "Not a supported task type: "
+ERROR_ATTEMPT = "execution requires a positive claimed attemptCount"
+ERROR_OBJECT = {
+    HASH_AFTER_DELAY: "hash_after_delay payload must be an object, got ",
+    FAIL_THEN_HASH: "fail_then_hash payload must be an object",
+    IDEMPOTENT_EFFECT: "idempotent_effect payload must be an object, got ",
+}
+ERROR_OWN_KEY = "idempotent_effect keys are application-owned; omit payload.idempotencyKey"
+ERROR_TEXT = {
+    HASH_AFTER_DELAY: "hash_after_delay payload.input must be a non-empty string, got ",
+    FAIL_THEN_HASH: "fail_then_hash payload.input must be a non-empty string",
+    IDEMPOTENT_EFFECT: "idempotent_effect payload.value must be a non-empty string, got ",
+}
+ERROR_NUMBER = {
+    HASH_AFTER_DELAY: "hash_after_delay payload.delayMs must be an integer in [0, 60000], got ",
+    FAIL_THEN_HASH: "fail_then_hash payload.failuresBeforeSuccess must be a nonnegative safe integer",
+    IDEMPOTENT_EFFECT: "idempotent_effect payload.delayAfterEffectMs must be an integer in [0, 60000], got ",
+}
+ERROR_STEP_ID = "idempotent_effect requires a UUID step identity"
+ERROR_DELIBERATE = "fail_then_hash deterministic failure on attempt "

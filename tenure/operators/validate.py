@@ -58,11 +58,13 @@ def audit_transitions(history: DataFrame, slice_s: int = 3_600) -> DataFrame:
     ).select("step_id", "seq", F.col("previous_status").alias("from_status"), F.col("status").alias("to_status"))
 
 
-def _integer_between(value: Column, kind: Column, low: int, high: int) -> Column:
-    """JSON number without a fraction, inside the range."""
-    number = value.try_cast("double")
-    numeric = kind.rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
-    return F.coalesce(numeric & (number == F.floor(number)) & (number >= low) & (number <= high), F.lit(False))
+# The text and the number each task type needs, with the number's upper bound.
+_TEXT_FIELD = {fixed.HASH_AFTER_DELAY: "input", fixed.FAIL_THEN_HASH: "input", fixed.IDEMPOTENT_EFFECT: "value"}
+_NUMBER_FIELD = {
+    fixed.HASH_AFTER_DELAY: ("delayMs", fixed.MAX_TASK_DELAY_MS),
+    fixed.FAIL_THEN_HASH: ("failuresBeforeSuccess", fixed.MAX_SAFE_INTEGER),
+    fixed.IDEMPOTENT_EFFECT: ("delayAfterEffectMs", fixed.MAX_TASK_DELAY_MS),
+}
 
 
 def validate_tasks(steps: DataFrame) -> DataFrame:
@@ -72,74 +74,67 @@ def validate_tasks(steps: DataFrame) -> DataFrame:
     the fields of the task type. Only a deliberate failure is RUNTIME, hence
     worth a retry.
     """
-    payload = F.try_parse_json("payload")
-    rows = steps.withColumn("__p", payload).withColumn("__kind", F.schema_of_variant("__p"))
+    # The payload is parsed once per row: inside ``transform`` it is a variable,
+    # where columns on top of columns would be parsed again at each use.
+    parsed = F.array(F.try_parse_json("payload"))
+    verdict = F.transform(parsed, lambda p: F.transform(F.array(_fields(p)), lambda f: _verdict(p, f))[0])[0]
+    checked = steps.withColumn("__verdict", verdict)
+    invalid, runtime = F.col("__verdict.invalid"), F.col("__verdict.runtime")
+    return checked.select(
+        *[F.col(name) for name in steps.columns],
+        F.when(invalid.isNotNull(), F.lit("INVALID")).when(runtime.isNotNull(), F.lit("RUNTIME")).alias("error_class"),
+        F.coalesce(invalid, runtime).alias("error"),
+    )
 
-    def field(name: str) -> Column:
-        return F.try_variant_get("__p", f"$.{name}", "string")
 
-    def kind(name: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get("__p", f"$.{name}", "variant"))
+def _by_task(values: dict[str, Column]) -> Column:
+    picked = F.lit(None)
+    for name, value in values.items():
+        picked = F.when(F.col("task_type") == name, value).otherwise(picked)
+    return picked
+
+
+def _fields(payload: Column) -> Column:
+    """The one text and the one number the row's task type asks for."""
+    return F.struct(
+        _by_task({t: F.try_variant_get(payload, f"$.{f}", "variant") for t, f in _TEXT_FIELD.items()}).alias("text"),
+        _by_task({t: F.try_variant_get(payload, f"$.{f}", "variant") for t, (f, _) in _NUMBER_FIELD.items()}).alias("number"),
+        _by_task({t: F.lit(limit) for t, (_, limit) in _NUMBER_FIELD.items()}).alias("limit"),
+    )
 
-    def text(name: str) -> Column:
-        return F.coalesce((kind(name) == "STRING") & (F.length(field(name)) > 0), F.lit(False))
 
+def _verdict(payload: Column, fields: Column) -> Column:
     task, attempt = F.col("task_type"), F.col("attempt_count")
+    kind, text, number = F.schema_of_variant(payload), fields["text"], fields["number"]
+    value = F.try_variant_get(number, "$", "double")
     # Arrays pass the object test of the rules and fail at the first field.
-    is_object = F.coalesce(F.col("__kind").rlike("^(OBJECT|ARRAY)"), F.lit(False))
-    delay_ok = {
-        name: _integer_between(field(name), kind(name), 0, fixed.MAX_TASK_DELAY_MS)
-        for name in ("delayMs", "delayAfterEffectMs")
-    }
-    failures = field("failuresBeforeSuccess")
-    failures_ok = _integer_between(failures, kind("failuresBeforeSuccess"), 0, fixed.MAX_SAFE_INTEGER)
-    limit = fixed.MAX_TASK_DELAY_MS
+    is_object = kind.rlike("^(OBJECT|ARRAY)")
+    own_key = (task == fixed.IDEMPOTENT_EFFECT) & kind.rlike("(<|, )idempotencyKey: ")
+    has_text = (F.schema_of_variant(text) == "STRING") & (F.length(F.try_variant_get(text, "$", "string")) > 0)
+    numeric = F.schema_of_variant(number).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
+    has_number = numeric & (value == F.floor(value)) & (value >= 0) & (value <= fields["limit"])
 
+    def fails(test: Column) -> Column:
+        return ~F.coalesce(test, F.lit(False))
+
+    def message(texts: dict[str, str], found: Column) -> Column:
+        got = F.coalesce(F.to_json(found), F.lit("undefined"))
+        return _by_task({t: F.concat(F.lit(m), got) if m.endswith("got ") else F.lit(m) for t, m in texts.items()})
+
+    quoted = F.coalesce(F.concat(F.lit('"'), task, F.lit('"')), F.lit("null"))
     invalid = (
-        F.when(~F.coalesce(task.isin(*fixed.TASK_TYPES), F.lit(False)), F.lit("unsupported task type"))
-        .when(~F.coalesce(attempt >= 1, F.lit(False)), F.lit("execution requires a positive claimed attemptCount"))
-        .when(~is_object, F.concat(task, F.lit(" payload must be an object")))
-        .when(
-            (task == fixed.IDEMPOTENT_EFFECT) & F.coalesce(F.col("__kind").rlike("(<|, )idempotencyKey: "), F.lit(False)),
-            F.lit("idempotent_effect keys are application-owned; omit payload.idempotencyKey"),
-        )
-        .when(
-            task.isin(fixed.HASH_AFTER_DELAY, fixed.FAIL_THEN_HASH) & ~text("input"),
-            F.concat(task, F.lit(" payload.input must be a non-empty string")),
-        )
-        .when(
-            (task == fixed.IDEMPOTENT_EFFECT) & ~text("value"),
-            F.lit("idempotent_effect payload.value must be a non-empty string"),
-        )
-        .when(
-            (task == fixed.HASH_AFTER_DELAY) & ~delay_ok["delayMs"],
-            F.lit(f"hash_after_delay payload.delayMs must be an integer in [0, {limit}]"),
-        )
-        .when(
-            (task == fixed.IDEMPOTENT_EFFECT) & ~delay_ok["delayAfterEffectMs"],
-            F.lit(f"idempotent_effect payload.delayAfterEffectMs must be an integer in [0, {limit}]"),
-        )
-        .when(
-            (task == fixed.FAIL_THEN_HASH) & ~failures_ok,
-            F.lit("fail_then_hash payload.failuresBeforeSuccess must be a nonnegative safe integer"),
-        )
-        .when(
-            (task == fixed.IDEMPOTENT_EFFECT) & ~is_uuid(F.col("step_id").cast("string")),
-            F.lit("idempotent_effect requires a UUID step identity"),
-        )
-    )
-    runtime = F.when(
-        (task == fixed.FAIL_THEN_HASH) & (attempt <= failures.try_cast("double")),
-        F.concat(F.lit("fail_then_hash deterministic failure on attempt "), attempt.cast("string")),
+        F.when(fails(task.isin(*fixed.TASK_TYPES)), F.concat(F.lit(fixed.ERROR_TASK_TYPE), quoted))
+        .when(fails(attempt >= 1), F.lit(fixed.ERROR_ATTEMPT))
+        .when(fails(is_object), message(fixed.ERROR_OBJECT, payload))
+        .when(own_key, F.lit(fixed.ERROR_OWN_KEY))
+        .when(fails(has_text), message(fixed.ERROR_TEXT, text))
+        .when(fails(has_number), message(fixed.ERROR_NUMBER, number))
+        .when((task == fixed.IDEMPOTENT_EFFECT) & ~is_uuid(F.col("step_id").cast("string")), F.lit(fixed.ERROR_STEP_ID))
     )
-    checked = rows.withColumn("__invalid", invalid).withColumn("__runtime", runtime)
-    return checked.select(
-        *[F.col(name) for name in steps.columns],
-        F.when(F.col("__invalid").isNotNull(), F.lit("INVALID"))
-        .when(F.col("__runtime").isNotNull(), F.lit("RUNTIME"))
-        .alias("error_class"),
-        F.coalesce("__invalid", "__runtime").alias("error"),
+    deliberate = F.when(
+        (task == fixed.FAIL_THEN_HASH) & (attempt <= value), F.concat(F.lit(fixed.ERROR_DELIBERATE), attempt.cast("string"))
     )
+    return F.struct(invalid.alias("invalid"), deliberate.alias("runtime"))
 
 
 def _blank(column: Column) -> Column:

@@ -118,31 +118,38 @@ def _(spark, sf):
     return counted.withColumn("legal", scalars.is_legal_transition(F.col("from_status"), F.col("to_status")))
 
 
-_INT = "json_type(payload, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(json_extract_string(payload, '$.{0}') AS DOUBLE) = floor(TRY_CAST(json_extract_string(payload, '$.{0}') AS DOUBLE)) AND TRY_CAST(json_extract_string(payload, '$.{0}') AS DOUBLE) BETWEEN 0 AND {1}"
-_TEXT = "json_type(payload, '$.{0}') = 'VARCHAR' AND length(json_extract_string(payload, '$.{0}')) > 0"
 _UUID_SQL = "regexp_matches(step_id, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$')"
+
+
+def _message(texts: dict[str, str], value: str) -> str:
+    got = f"coalesce(CAST({value} AS VARCHAR), 'undefined')"
+    whens = " ".join(f"WHEN '{t}' THEN '{m}'" + (f" || {got}" if m.endswith("got ") else "") for t, m in texts.items())
+    return f"CASE task_type {whens} END"
+
+
+def _picked(fields: dict[str, str]) -> str:
+    return "CASE task_type " + " ".join(f"WHEN '{t}' THEN json_extract(payload, '$.{f}')" for t, f in fields.items()) + " END"
+
+
+_TEXT_VALUE = _picked({"hash_after_delay": "input", "fail_then_hash": "input", "idempotent_effect": "value"})
+_NUMBER_VALUE = _picked(
+    {"hash_after_delay": "delayMs", "fail_then_hash": "failuresBeforeSuccess", "idempotent_effect": "delayAfterEffectMs"}
+)
 _CHECKED = f"""checked AS (
     SELECT *, CASE
-      WHEN task_type NOT IN ('hash_after_delay', 'fail_then_hash', 'idempotent_effect') THEN 'unsupported task type'
-      WHEN attempt_count < 1 THEN 'execution requires a positive claimed attemptCount'
-      WHEN json_type(payload) NOT IN ('OBJECT', 'ARRAY') THEN task_type || ' payload must be an object'
-      WHEN task_type = 'idempotent_effect' AND json_exists(payload, '$.idempotencyKey')
-        THEN 'idempotent_effect keys are application-owned; omit payload.idempotencyKey'
-      WHEN task_type <> 'idempotent_effect' AND NOT coalesce({_TEXT.format('input')}, false)
-        THEN task_type || ' payload.input must be a non-empty string'
-      WHEN task_type = 'idempotent_effect' AND NOT coalesce({_TEXT.format('value')}, false)
-        THEN 'idempotent_effect payload.value must be a non-empty string'
-      WHEN task_type = 'hash_after_delay' AND NOT coalesce({_INT.format('delayMs', 60000)}, false)
-        THEN 'hash_after_delay payload.delayMs must be an integer in [0, 60000]'
-      WHEN task_type = 'idempotent_effect' AND NOT coalesce({_INT.format('delayAfterEffectMs', 60000)}, false)
-        THEN 'idempotent_effect payload.delayAfterEffectMs must be an integer in [0, 60000]'
-      WHEN task_type = 'fail_then_hash' AND NOT coalesce({_INT.format('failuresBeforeSuccess', 9007199254740991)}, false)
-        THEN 'fail_then_hash payload.failuresBeforeSuccess must be a nonnegative safe integer'
-      WHEN task_type = 'idempotent_effect' AND NOT {_UUID_SQL} THEN 'idempotent_effect requires a UUID step identity'
-      END AS invalid,
-      CASE WHEN task_type = 'fail_then_hash' AND attempt_count <= TRY_CAST(json_extract_string(payload, '$.failuresBeforeSuccess') AS DOUBLE)
-        THEN 'fail_then_hash deterministic failure on attempt ' || attempt_count END AS runtime
-    FROM v_tasks)"""
+      WHEN task_type NOT IN ('hash_after_delay', 'fail_then_hash', 'idempotent_effect') THEN '{fixed.ERROR_TASK_TYPE}"' || task_type || '"'
+      WHEN attempt_count < 1 THEN '{fixed.ERROR_ATTEMPT}'
+      WHEN json_type(payload) NOT IN ('OBJECT', 'ARRAY') THEN {_message(fixed.ERROR_OBJECT, "payload")}
+      WHEN task_type = 'idempotent_effect' AND json_exists(payload, '$.idempotencyKey') THEN '{fixed.ERROR_OWN_KEY}'
+      WHEN NOT coalesce(json_type(txt) = 'VARCHAR' AND length(json_extract_string(txt, '$')) > 0, false)
+        THEN {_message(fixed.ERROR_TEXT, "txt")}
+      WHEN NOT coalesce(json_type(num) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND dbl = floor(dbl) AND dbl BETWEEN 0 AND
+          CASE task_type WHEN 'fail_then_hash' THEN {fixed.MAX_SAFE_INTEGER} ELSE {fixed.MAX_TASK_DELAY_MS} END, false)
+        THEN {_message(fixed.ERROR_NUMBER, "num")}
+      WHEN task_type = 'idempotent_effect' AND NOT {_UUID_SQL} THEN '{fixed.ERROR_STEP_ID}' END AS invalid,
+      CASE WHEN task_type = 'fail_then_hash' AND attempt_count <= dbl THEN '{fixed.ERROR_DELIBERATE}' || attempt_count END AS runtime
+    FROM (SELECT *, TRY_CAST(CAST(num AS VARCHAR) AS DOUBLE) AS dbl
+      FROM (SELECT *, {_TEXT_VALUE} AS txt, {_NUMBER_VALUE} AS num FROM v_tasks)))"""
 _CLASS = "CASE WHEN invalid IS NOT NULL THEN 'INVALID' WHEN runtime IS NOT NULL THEN 'RUNTIME' END AS error_class"
 
 
