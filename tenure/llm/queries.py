@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenure.llm import licenses, line_dedup, line_frequency, mixing, near_dedup, preferences
+from tenure.llm import compression, html_text, licenses, line_dedup, line_frequency, mixing, near_dedup, preferences, retrieval
 from tenure.llm.registry import query, table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -29,6 +29,21 @@ def _(spark, sf):
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+@query("op2_main_text")
+def _(spark, sf):
+    return html_text.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op3_compression_quality")
+def _(spark, sf):
+    return compression.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op4_latent_decontamination")
+def _(spark, sf):
+    return retrieval.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 _OP5 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
   k AS (SELECT *, {_LOW.format(f"trim(line, {_BLANKS})")} AS key FROM l),
   f AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
