@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenure.llm import compression, html_text, licenses, line_dedup, line_frequency, mixing, near_dedup, preferences, retrieval
+from tenure.llm import compression, html_text, language_model, licenses, line_dedup, line_frequency, mixing, near_dedup, preferences, retrieval
 from tenure.llm.registry import query, table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -84,6 +84,11 @@ def _(spark, sf):
     )
 
 
+@query("op7_attention_scores")
+def _(spark, sf):
+    return language_model.score(table(spark, sf, "documents"))
+
+
 _OP8 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
   s AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
   w AS (SELECT *, [3, 1, 2][place % 3 + 1] AS weight, 2 * source_size AS cap FROM s),
