@@ -133,32 +133,73 @@ def _sets(size: int):
     return run
 
 
-def _linked(percent: int):
+def _compared(percent: int):
     def run(batches):
         last, left = None, None
         for batch in batches:
-            us, vs, hit = [], [], []
+            out = []
             for u, v, a, b in zip(*(batch.column(c) for c in ("u", "v", "a", "b")), strict=True):
                 if last != u:
                     last, left = u, np.frombuffer(a.as_buffer(), np.uint64)
                 right = np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = sorted((left, right), key=len)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                us.append(u)
-                vs.append(v)
-                hit.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(hit, pa.bool_())], names=["u", "v", "linked"])
+                at = np.searchsorted(left, right)
+                at[at == len(left)] = 0
+                new = right[left[at] != right]  # in rising order, as right is
+                both = len(right) - len(new)
+                linked = 100 * both >= percent * (len(left) + len(right) - both)
+                head = new[: (100 - percent) * len(right) // 100 + 1].view(np.int64)
+                out.append((u.as_py(), v.as_py(), linked, len(new), len(left) - both, len(right), head))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _COMPARED.values(), strict=True)], names=list(_COMPARED))
 
     return run
 
 
+_COMPARED = {"u": pa.int64(), "v": pa.int64(), "linked": pa.bool_(), "new": pa.int64(), "gone": pa.int64(), "size": pa.int64(), "head": pa.list_(pa.int64())}
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v, linked) of the pairs, compared on their full sets."""
+    """The pairs (u, v) compared on their full sets.
+
+    linked; new: how much of v is not in u; gone: how much of u is not in v; size of v;
+    head: the lowest of the new elements, as many as can decide (see ``_across``).
+    """
     of = lambda end, name: sets.select(F.col("id").alias(end), F.col("shingles").alias(name))
     both = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b")
-    return stored(both.mapInArrow(_linked(percent), "u long, v long, linked boolean"), "links")
+    return stored(both.mapInArrow(_compared(percent), "u long, v long, linked boolean, new long, gone long, size long, head array<long>"), "links")
+
+
+def _across(seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that may be linked though their common leader does not link them.
+
+    Take x and y, compared with the same leader, y not linked to it. Seen from the leader
+    each has lost some elements and has some new ones, and
+    |x ^ y| >= |gone x - gone y| + new x + new y - 2 |new in both|.
+    So either the counts alone allow a link, which with y unlinked needs an x smaller than
+    the leader, or x and y share new elements. A linked pair shares at least
+    ``percent`` of either set, hence at least (new - (100 - percent) % of the size) new
+    elements, and then the lowest shared one lies in both heads. Nothing else is a pair, so
+    a large group around one text costs its members, not its pairs.
+    """
+    label = labels.select(F.col("id").alias("v"), F.col("component").alias("label"))
+    rows = seen.join(label, "v", "left").select("u", "v", "linked", "new", "gone", "size", "head", F.coalesce("label", "v").alias("label"))
+    rows = stored(rows, "compared")
+    named = lambda df, end: df.select("u", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "u"])
+    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
+    open_rows = rows.filter(~F.col("linked"))
+
+    parts = lambda df: df.select("u", "v", "size", "label", F.explode("head").alias("element"))
+    x, y = named(parts(rows), "x"), named(parts(open_rows), "y")
+    sharing = y.join(x, (y["u"] == x["u"]) & (y["element_y"] == x["element_x"]) & apart).select("v_x", "v_y")
+
+    p, q = 100 + percent, 100 - percent
+    less = rows.groupBy(F.col("u").alias("_u")).agg(F.max(F.col("gone") - F.col("new")).alias("most")).filter("most > 0")
+    near = open_rows.join(less, F.col("u") == F.col("_u")).filter(
+        p * (F.col("new") + F.col("gone")) <= q * (2 * F.col("size") - F.col("new") + F.col("gone")) + p * F.col("most")
+    ).drop("_u", "most", "head")
+    x, y = named(rows.filter("gone > new").drop("head"), "x"), named(near, "y")
+    allowed = p * (F.col("new_x") + F.col("new_y") + F.abs(F.col("gone_x") - F.col("gone_y"))) <= q * (F.col("size_x") + F.col("size_y"))
+    counted = y.join(x, (y["u"] == x["u"]) & allowed & apart).select("v_x", "v_y")
+    return sharing.unionAll(counted).select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v")).distinct()
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -175,12 +216,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
     limit, one time in a million, and less often above it.
 
     1. Equal sets are one class from the start, so exact copies cost one row each.
-    2. In each bucket (equal band keys) one class leads: the one with the most company
-       over all its buckets. All others are compared with it only.
-    3. Members of a bucket that still are in different components get a second leader,
-       and what then still differs is compared between components. Inside a component
-       nothing is compared again, so a large group of copies never turns into all its
-       pairs, and no pair of a bucket stays undecided.
+    2. Each bucket (equal band keys) has a leader: the class with the most company in its
+       buckets, or the one that leads that class elsewhere. All members are compared with
+       it only.
+    3. What a leader does not link may still be linked with each other; ``_across`` finds
+       those pairs without listing all. No pair of a bucket stays undecided.
 
     Texts are compared as A-Z lower-cased words between ASCII white space; a text with
     fewer words than ``size`` is one shingle; a null or wordless text is linked with
@@ -195,49 +235,20 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
     crowded = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("company")).filter(F.col("company") > 1)
     members = stored(exploded.join(crowded, "key"), "buckets")
     weights = members.groupBy("id").agg(F.sum("company").alias("weight"))
-    weighted = stored(members.join(weights, "id").select("key", "id", "n", "weight"), "buckets")
+    heaviest = lambda c: F.max_by(F.struct(F.col(c).alias("id"), F.col("weight").alias("weight")), F.struct("weight", -F.col(c)))
+    first = stored(members.join(weights, "id").groupBy("key").agg(heaviest("id").alias("top")).select("key", F.col("top.id").alias("top"), "top.weight"), "leaders")
+    above = members.join(first, "key").groupBy("id").agg(heaviest("top").alias("boss")).select(F.col("id").alias("top"), F.col("boss.id").alias("u"))
+    leaders = first.select("key", "top").join(above, "top").select("key", "u")
+    pairs = members.join(leaders, "key").select("u", F.col("id").alias("v")).filter("u <> v").distinct()
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
         weights.select("id"), "id", "left_semi"
     )
     sets = stored(wanted.mapInArrow(_sets(size), "id long, shingles binary"), "shingles")
-
-    def between(open_rows: DataFrame, leaders: DataFrame | None) -> DataFrame:
-        """Pairs (u, v) to compare, in buckets, of different components and of sizes that can reach the limit."""
-        named = lambda rows, x: rows.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "label")])
-        pairs = named(open_rows, "v").join(named(open_rows if leaders is None else leaders, "u"), "key")
-        fits = (F.col("label_u") != F.col("label_v")) & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        if leaders is None:
-            fits &= F.col("id_u") < F.col("id_v")
-        return pairs.filter(fits).select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
-
-    rows_now, done, label_of = weighted.withColumn("label", F.col("id")), None, None
-    for leading in (True, True, False):
-        leaders = None
-        if leading:
-            chief = F.max_by(F.struct("id", "n", "label"), F.struct("weight", -F.col("id")))
-            leaders = rows_now.groupBy("key").agg(chief.alias("chief")).select("key", "chief.*")
-        pairs = between(rows_now, leaders)
-        if done is not None:
-            known = done.select(F.least("u", "v").alias("_a"), F.greatest("u", "v").alias("_b"))
-            pairs = pairs.join(known, (F.least("u", "v") == F.col("_a")) & (F.greatest("u", "v") == F.col("_b")), "left_anti")
-        checked = _verified(pairs, sets, percent)
-        done = checked if done is None else done.unionAll(checked)
-        label_of = components(done.filter("linked").select("u", "v"))
-        if leading:
-            label = F.coalesce("component", F.col("id"))
-            labelled = weighted.join(label_of, "id", "left").select("key", "id", "n", "weight", label.alias("label"))
-            mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-            left = stored(labelled.join(mixed_keys, "key"), "buckets")
-            if leading and leaders is not None:
-                # the next leader is of another component than the one before
-                before = leaders.select("key", F.col("id").alias("_id"))
-                of_before = before.join(label_of.withColumnRenamed("id", "_id"), "_id", "left").select(
-                    "key", F.coalesce("component", F.col("_id")).alias("_label")
-                )
-                rows_now = stored(left.join(of_before, "key", "left").withColumn(
-                    "weight", F.when(F.col("label") == F.col("_label"), F.lit(0)).otherwise(F.col("weight"))
-                ).drop("_label"), "buckets")
+    led = _verified(pairs, sets, percent)
+    links = led.filter("linked").select("u", "v")
+    found = _verified(_across(led, components(links), percent), sets, percent)
+    label_of = components(links.unionAll(found.filter("linked").select("u", "v")))
     class_of = classes.select("set_key", "id").join(label_of, "id", "left").select(
         F.col("set_key").alias("_set"), F.coalesce("component", F.col("id")).alias("component_id")
     )
