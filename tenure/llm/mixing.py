@@ -123,7 +123,7 @@ def _mixed(rows: DataFrame, share: float, repeats: int, weights, schedules) -> D
     quota = F.floor("target")
     uses = F.array(*[
         F.struct(
-            (time_of((at + F.lit(k) * F.col("source_size")) / quota, F.col("place") % len(schedules), schedules)).alias("position"),
+            time_of(F.try_divide(at + F.lit(k) * F.col("source_size"), quota), F.col("place") % len(schedules), schedules).alias("position"),
             F.greatest(F.lit(0), F.least(F.col("size"), quota - F.lit(k) * F.col("source_size") - at)).alias("words"),
         )
         for k in range(repeats)
