@@ -106,13 +106,15 @@ def effect_consistency(observations: DataFrame, store: DataFrame) -> DataFrame:
     """Keys whose observations disagree among themselves or with the store.
 
     ``observations``: step_id, applied, effect_id; ``store``: step_id, effect_id.
-    Least and greatest id tell whether there are several; no ids are collected.
+    Least and greatest id and the number of missing ones tell whether there are several,
+    a missing id being one of its own; no ids are collected.
     """
     seen = observations.groupBy("step_id").agg(
         F.count("*").alias("observations"),
         F.count_if("applied").alias("applied"),
         F.min("effect_id").alias("least"),
         F.max("effect_id").alias("greatest"),
+        F.count_if(F.col("effect_id").isNull()).alias("missing"),
     )
     joined = seen.join(store.select("step_id", F.col("effect_id").alias("stored")), "step_id", "left")
     flags = joined.select(
@@ -120,10 +122,10 @@ def effect_consistency(observations: DataFrame, store: DataFrame) -> DataFrame:
         "observations",
         "applied",
         (F.col("applied") != 1).alias("not_applied_once"),
-        (~F.col("least").eqNullSafe(F.col("greatest"))).alias("several_ids"),
+        ((F.col("missing") > 0) & F.col("least").isNotNull() | ~F.col("least").eqNullSafe(F.col("greatest"))).alias("several_ids"),
         (
             F.col("stored").isNotNull()
-            & (~F.col("least").eqNullSafe(F.col("stored")) | ~F.col("greatest").eqNullSafe(F.col("stored")))
+            & ((F.col("missing") > 0) | ~F.col("least").eqNullSafe(F.col("stored")) | ~F.col("greatest").eqNullSafe(F.col("stored")))
         ).alias("differs_from_store"),
     )
     return flags.where(F.col("not_applied_once") | F.col("several_ids") | F.col("differs_from_store"))

@@ -109,7 +109,7 @@ def _verdict(payload: Column, fields: Column) -> Column:
     value = F.try_variant_get(number, "$", "double")
     # Arrays pass the object test of the rules and fail at the first field.
     is_object = kind.rlike("^(OBJECT|ARRAY)")
-    own_key = (task == fixed.IDEMPOTENT_EFFECT) & kind.rlike("(<|, )idempotencyKey: ")
+    own_key = (task == fixed.IDEMPOTENT_EFFECT) & F.try_variant_get(payload, "$.idempotencyKey", "variant").isNotNull()
     has_text = (F.schema_of_variant(text) == "STRING") & (F.length(F.try_variant_get(text, "$", "string")) > 0)
     numeric = F.schema_of_variant(number).rlike("^(BIGINT|DECIMAL.*|DOUBLE|FLOAT)$")
     has_number = numeric & (value == F.floor(value)) & (value >= 0) & (value <= fields["limit"])
