@@ -152,8 +152,8 @@ def test_model_gradients_and_normalisation():
             moved.append(m.gradients(q, x, y, uni)[0])
         assert abs((moved[0] - moved[1]) / 2e-5 - g[n][i]) < 2e-5 + 0.01 * abs(g[n][i])
     counts = np.array([50.0, 30, 20, 10])
-    scorer = m.Scorer(m.started(), counts, 4)
-    whole = sum(np.exp(scorer.score([np.array([2, z])], 0)[0]) for z in range(4))
+    scorer = m.Scorer(m.started(), counts, 5)  # one id of the five was never seen
+    whole = sum(np.exp(scorer.score([np.array([2, z])], 0)[0]) for z in range(5))
     assert abs(whole / np.exp(scorer.score([np.array([2])], 0)[0]) - 1) < 1e-3
 
 
