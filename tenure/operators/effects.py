@@ -53,7 +53,9 @@ def apply_effects(requests: DataFrame, store: DataFrame, order: Sequence[str] =
         "idempotency_key", "__part", entry(False, *[F.col(c) for c in order]).alias("e")
     )
     empty = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in order]
-    kept = store.select("idempotency_key", entry(True, *empty).alias("e"))
+    # Of the store only the keys asked for move on; a small batch is broadcast to it by Spark's size check.
+    wanted = asked.select("idempotency_key").distinct()
+    kept = store.select("idempotency_key", entry(True, *empty).alias("e")).join(wanted, "idempotency_key", "left_semi")
     # A key's requests are cut to one row per part before they move, and every
     # part of a hot key gets the key's first entry back, so no task sees a
     # whole key: a key has at most PARTS rows here, and its row in the store.

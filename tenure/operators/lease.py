@@ -207,24 +207,13 @@ def stale_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
-def _earliest_match(steps: DataFrame, writes: DataFrame, op: str) -> DataFrame:
-    """RUNNING steps joined with the earliest write of their owner and generation, if it is in time.
+def settle_steps(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
+    """How all owner writes together leave each RUNNING step, one row per step.
 
-    A later write of the same owner is accepted only if the earliest is, so the
-    log is first cut to one row per (step, worker, version), before it moves.
+    Renewals, completions and failures decide about the same row: a renewal moves the
+    deadline of what comes after it, and the first completion or failure in time ends the
+    step. The three operators below show parts of this one result, so they never disagree.
     """
-    payload = F.struct("ts", "seq", "retryable", "error", "result")
-    earliest = (
-        writes.where(F.col("op") == op)
-        .groupBy("step_id", F.col("worker_id").alias("current_worker_id"), "lease_version")
-        .agg(F.min(payload).alias("w"))
-    )
-    owned = steps.where(F.col("status") == "RUNNING").join(earliest, ["step_id", "current_worker_id", "lease_version"])
-    return owned.where(F.col("w.ts") < F.col("lease_expires_at")).select(*[owned[c] for c in steps.columns], "w")
-
-
-def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
-    """After-images of renewed steps: only the deadline moves. Adds the number of renewals."""
     held = steps.where((F.col("status") == "RUNNING") & (F.col("lease_version") > 0)).select(
         "step_id",
         "lease_version",
@@ -232,8 +221,20 @@ def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DE
         F.col("lease_expires_at").alias("deadline0"),
     )
     # Both sides are plain shuffles, so a step with most writes is split by the adaptive skew join.
-    rows = writes.where(F.col("op") == "RENEW").join(held, ["step_id", "lease_version", "worker_id"])
-    settled = settle_generations(held, rows, lease_ms, slice_s).where(F.col("renewals") > 0)
+    rows = writes.where(F.col("op").isin(*OWNER_OPS)).join(held, ["step_id", "lease_version", "worker_id"])
+    return settle_generations(held, rows, lease_ms, slice_s)
+
+
+def _ended_by(steps: DataFrame, settled: DataFrame, op: str) -> DataFrame:
+    """The steps that ``op`` ends, with that write as ``w``."""
+    write = F.struct(*[F.col(f"end_{name}").alias(name) for name in ("ts", "seq", "retryable", "error", "result")])
+    ends = settled.where(F.col("end_op") == op).select("step_id", write.alias("w"))
+    return steps.join(ends, "step_id").select(*steps.columns, "w")
+
+
+def apply_renewals(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
+    """After-images of steps renewed and not ended: only the deadline moves. Adds the number of renewals."""
+    settled = settle_steps(steps, writes, lease_ms, slice_s).where((F.col("renewals") > 0) & F.col("end_op").isNull())
     renewed = settled.select("step_id", "deadline", "renewals")
     joined = steps.join(renewed, "step_id").withColumn("lease_expires_at", F.col("deadline"))
     return joined.select(*steps.columns, "renewals")
@@ -252,9 +253,9 @@ def _ended(rows: DataFrame, steps: DataFrame, changes: dict[str, Column]) -> Dat
     )
 
 
-def apply_completions(steps: DataFrame, writes: DataFrame) -> DataFrame:
-    """After-images and events of accepted completions: the earliest in time per step."""
-    rows = _earliest_match(steps, writes, "COMPLETE")
+def apply_completions(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
+    """After-images and events of accepted completions, at most one per step."""
+    rows = _ended_by(steps, settle_steps(steps, writes, lease_ms, slice_s), "COMPLETE")
     return _ended(
         rows,
         steps,
@@ -267,13 +268,13 @@ def apply_completions(steps: DataFrame, writes: DataFrame) -> DataFrame:
     )
 
 
-def apply_failures(steps: DataFrame, writes: DataFrame) -> DataFrame:
-    """After-images and events of accepted failure reports.
+def apply_failures(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
+    """After-images and events of accepted failure reports, at most one per step.
 
     Retryable with attempts left: RETRY_WAIT after a backoff. Otherwise
     DEAD_LETTERED, and available_at stays as it was.
     """
-    rows = _earliest_match(steps, writes, "FAIL")
+    rows = _ended_by(steps, settle_steps(steps, writes, lease_ms, slice_s), "FAIL")
     retry = F.coalesce(F.col("w.retryable"), F.lit(False)) & (F.col("attempt_count") < F.col("max_attempts"))
     reason = F.when(F.col("w.retryable"), F.lit(fixed.REASON_BUDGET)).otherwise(F.lit(fixed.REASON_NON_RETRYABLE))
     return _ended(

@@ -114,17 +114,28 @@ def _(spark, sf):
     return lease.authorize(v.steps(spark, sf), v.step_writes(spark, sf)).select("seq", "step_id", "op", "decision", "accepted")
 
 
+# Owner writes one by one: a renewal in time moves the deadline, the first end in time is the last write that counts.
+_REPLAYED = (
+    """owned AS (SELECT w.*, s.lease_expires_at AS due, row_number() OVER (PARTITION BY w.step_id ORDER BY w.ts, w.seq) AS i
+        FROM v_step_writes w JOIN v_steps s ON s.step_id = w.step_id AND s.status = 'RUNNING' AND s.lease_version > 0
+          AND s.lease_version = w.lease_version AND s.current_worker_id = w.worker_id)""",
+    f"""replayed AS (SELECT step_id, CAST(0 AS BIGINT) AS i, due AS deadline, CAST(0 AS BIGINT) AS renewals, CAST(0 AS BIGINT) AS last FROM owned WHERE i = 1
+        UNION ALL SELECT o.step_id, o.i,
+          CASE WHEN r.last = 0 AND o.op = 'RENEW' AND o.ts < r.deadline THEN o.ts + {_STEP_LEASE} ELSE r.deadline END,
+          r.renewals + CASE WHEN r.last = 0 AND o.op = 'RENEW' AND o.ts < r.deadline THEN 1 ELSE 0 END,
+          CASE WHEN r.last = 0 AND o.op <> 'RENEW' AND o.ts < r.deadline THEN o.i ELSE r.last END
+        FROM replayed r JOIN owned o ON o.step_id = r.step_id AND o.i = r.i + 1)""",
+    "final AS (SELECT * FROM replayed QUALIFY row_number() OVER (PARTITION BY step_id ORDER BY i DESC) = 1)",
+)
+
+
 @query(
     "fen4_apply_renewals",
     with_views(
-        f"""SELECT step_id, 'RUNNING' AS status, lease_version, current_worker_id, max(ts) + {_STEP_LEASE} AS lease_expires_at, count(*) AS renewals
-        FROM good GROUP BY step_id, lease_version, current_worker_id""",
-        f"""owned AS (SELECT w.step_id, w.ts, w.seq, s.lease_version, s.current_worker_id,
-              coalesce(lag(w.ts) OVER (PARTITION BY w.step_id ORDER BY w.ts, w.seq) + {_STEP_LEASE}, s.lease_expires_at) AS due
-            FROM v_step_writes w JOIN v_steps s ON w.op = 'RENEW' AND s.step_id = w.step_id AND s.status = 'RUNNING'
-              AND s.lease_version > 0 AND s.lease_version = w.lease_version AND s.current_worker_id = w.worker_id)""",
-        """good AS (SELECT * FROM (SELECT *, sum(CASE WHEN ts >= due THEN 1 ELSE 0 END)
-              OVER (PARTITION BY step_id ORDER BY ts, seq) AS misses FROM owned) WHERE misses = 0)""",
+        """SELECT step_id, 'RUNNING' AS status, lease_version, current_worker_id, deadline AS lease_expires_at, renewals
+        FROM final JOIN v_steps USING (step_id) WHERE renewals > 0 AND last = 0""",
+        *_REPLAYED,
+        recursive=True,
     ),
 )
 def _(spark, sf):
@@ -133,10 +144,8 @@ def _(spark, sf):
 
 
 _ENDED = ("step_id", "status", "lease_version", "attempt_count", "current_worker_id", "event_type", "event_worker_id", "event_at")
-_FIRST = """won AS (SELECT * FROM (
-    SELECT j.step_id, j.seq, j.ts, j.retryable, j.error, j.result, j.worker_id, s.lease_version, s.attempt_count, s.max_attempts, s.available_at,
-      row_number() OVER (PARTITION BY j.step_id ORDER BY j.ts, j.seq) AS rn
-    FROM judged j JOIN v_steps s USING (step_id) WHERE j.decision = 'ACCEPTED' AND j.op = '{op}') WHERE rn = 1)"""
+_WON = """won AS (SELECT o.step_id, o.seq, o.ts, o.retryable, o.error, o.result, o.worker_id, s.lease_version, s.attempt_count, s.max_attempts, s.available_at
+    FROM final f JOIN owned o ON o.step_id = f.step_id AND o.i = f.last JOIN v_steps s ON s.step_id = o.step_id WHERE o.op = '{op}')"""
 
 
 @query(
@@ -145,12 +154,13 @@ _FIRST = """won AS (SELECT * FROM (
         """SELECT step_id, 'SUCCEEDED' AS status, lease_version, attempt_count, CAST(NULL AS VARCHAR) AS current_worker_id,
           'STEP_SUCCEEDED' AS event_type, worker_id AS event_worker_id, ts AS event_at, result,
           '{"leaseVersion":' || lease_version || ',"attemptCount":' || attempt_count || '}' AS data FROM won""",
-        _JUDGED,
-        _FIRST.format(op="COMPLETE"),
+        *_REPLAYED,
+        _WON.format(op="COMPLETE"),
+        recursive=True,
     ),
 )
 def _(spark, sf):
-    rows = lease.apply_completions(v.steps(spark, sf), v.step_writes(spark, sf))
+    rows = lease.apply_completions(v.steps(spark, sf), v.step_writes(spark, sf), STEP_LEASE_MS)
     return rows.select(*_ENDED, "result", event_data().alias("data"))
 
 
@@ -169,12 +179,13 @@ def _(spark, sf):
             CASE WHEN retryable AND attempt_count < max_attempts
               THEN ts + to_milliseconds(CAST(500 * power(2, least(greatest(attempt_count - 1, 0), 3)) AS BIGINT))
               ELSE available_at END AS due FROM won)""",
-        _JUDGED,
-        _FIRST.format(op="FAIL"),
+        *_REPLAYED,
+        _WON.format(op="FAIL"),
+        recursive=True,
     ),
 )
 def _(spark, sf):
-    rows = lease.apply_failures(v.steps(spark, sf), v.step_writes(spark, sf))
+    rows = lease.apply_failures(v.steps(spark, sf), v.step_writes(spark, sf), STEP_LEASE_MS)
     return rows.select(*_ENDED, "last_error", "available_at", event_data().alias("data"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tenure.functions.scalars import plus_ms
 from tenure.operators import recover
 from tenure.plans import views as v
 from tenure.plans.lease_queries import REPLAY_DECISIONS, REPLAY_EVENTS, replay_ctes
@@ -13,7 +14,7 @@ from tenure.plans.views import AS_OF, LEASE_MS, with_views
 from tenure.session import scratch_path
 from tenure.sources.sinks import committed_events, current_state, write_transitions
 from tenure.streaming.batches import OrderedRelease, Sweeper, event_rate_stream
-from tenure.streaming.effects import dedupe_effects_stream
+from tenure.streaming.effects import EffectLog
 from tenure.streaming.heartbeats import heartbeat_stream
 from tenure.streaming.lifecycle import lifecycle_stream
 from tenure.streaming.run import arriving, drain, drain_batches
@@ -73,7 +74,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     requests, steps = arriving(v.effect_requests(spark, sf), "requests", "ts", parts=3)
-    return drain(dedupe_effects_stream(requests), "effects", steps).select("idempotency_key", "seq", "outcome")
+    log = EffectLog(scratch_path(spark, "effect-log"))
+    drain_batches(requests, log, "effects", steps)
+    return log.outcomes(spark).select("idempotency_key", "seq", "outcome")
 
 
 _STALE_S = 6 * 3600
@@ -82,11 +85,12 @@ _STALE_S = 6 * 3600
 @query(
     "stm4_heartbeat_alerts",
     with_views(f"""
-        SELECT worker_id, max(ts) AS last_heartbeat_at, max(ts) + to_seconds({_STALE_S}) AS silent_since FROM v_beats GROUP BY worker_id
-        HAVING max(ts) + to_seconds({_STALE_S}) <= {_CLOCK.format('ts', 'v_beats')}"""),
+        SELECT worker_id, ts AS last_heartbeat_at, ts + to_seconds({_STALE_S}) AS silent_since
+        FROM (SELECT DISTINCT worker_id, ts, lead(ts) OVER (PARTITION BY worker_id ORDER BY ts) AS following FROM v_beats)
+        WHERE coalesce(following > ts + to_seconds({_STALE_S}), true) AND ts + to_seconds({_STALE_S}) <= {_CLOCK.format('ts', 'v_beats')}"""),
 )
 def _(spark, sf):
-    stream, steps = arriving(v.beats(spark, sf), "beats")
+    stream, steps = arriving(v.beats(spark, sf), "beats", "ts", parts=3)
     return drain(heartbeat_stream(stream, _STALE_S), "alerts", steps)
 
 
@@ -122,10 +126,14 @@ def _(spark, sf):
     with_views("""
         SELECT step_id, CASE WHEN status = 'RUNNING' AND lease_expires_at <= clock THEN CASE WHEN attempt_count < max_attempts THEN 'READY' ELSE 'DEAD_LETTERED' END
             WHEN status = 'RETRY_WAIT' AND available_at <= clock THEN 'READY' ELSE status END AS status, lease_version, attempt_count
-        FROM v_steps, (SELECT max(available_at) AS clock FROM v_steps)"""),
+        FROM v_steps, (SELECT max(CASE WHEN status = 'RETRY_WAIT' THEN available_at - to_days(CAST(step_id % 60 AS INTEGER))
+          ELSE available_at END) AS clock FROM v_steps)"""),
 )
 def _(spark, sf):
+    """A step waiting for a retry arrives up to 59 days before it is due, any other when it is available."""
     sweeper = Sweeper(scratch_path(spark, "sweeps"))
-    stream, steps = arriving(v.steps(spark, sf), "steps", "available_at", parts=3)
+    waits = F.when(F.col("status") == "RETRY_WAIT", (F.col("step_id") % 60) * 86_400_000).otherwise(0)
+    told = v.steps(spark, sf).withColumn("arrived_at", plus_ms(F.col("available_at"), -waits))
+    stream, steps = arriving(told, "steps", "arrived_at", parts=3)
     drain_batches(stream, sweeper, "sweeps", steps)
     return sweeper.state(spark).select("step_id", "status", "lease_version", "attempt_count")

@@ -15,11 +15,13 @@ from tenure.sources.sinks import append_rows, current_state, write_transitions
 class OrderedRelease:
     """Hold events until every older transaction is done, then pass them on in (xid, id) order.
 
-    For ``foreachBatch``. Three folders below ``path``, each written one
+    For ``foreachBatch``. Four folders below ``path``, each written one
     partition per batch, so a batch run again replaces what it wrote:
-    arrivals, cursor (the watermark reached), and released. A batch releases
-    the commit numbers between the last watermark and the new one; row groups
-    outside that range are skipped by their statistics.
+    arrivals, cursor (the watermark reached), released, and late. A batch
+    releases the commit numbers between the last watermark and the new one; row
+    groups outside that range are skipped by their statistics. An event under
+    the watermark reached before its batch cannot be released in order any
+    more: it goes to late, so every event is in one of the two or still waits.
     """
 
     def __init__(self, path: str, watermark: Callable[[DataFrame, int], int | None]):
@@ -37,6 +39,8 @@ class OrderedRelease:
         due = arrivals.where((F.col("xid") >= reached) & (F.col("xid") < upto)).drop("batch_id")
         ordered = due.repartitionByRange("xid", "id").sortWithinPartitions("xid", "id")
         append_rows(ordered, f"{self.path}/released", batch_id)
+        mine = arrivals.where(F.col("batch_id") == batch_id).drop("batch_id")
+        append_rows(mine.where(F.coalesce(F.col("xid") < reached, F.lit(True))), f"{self.path}/late", batch_id)
         append_rows(spark.range(1).select(F.lit(upto).cast("bigint").alias("xid")), f"{self.path}/cursor", batch_id)
 
     def _reached(self, spark: SparkSession, batch_id: int) -> int:
@@ -48,27 +52,33 @@ class OrderedRelease:
     def released(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/released").drop("batch_id")
 
+    def late(self, spark: SparkSession) -> DataFrame:
+        """Events that came under the watermark, or without a commit number."""
+        return spark.read.parquet(f"{self.path}/late").drop("batch_id")
+
 
 class Sweeper:
-    """Take in step rows and sweep the state at each batch's event time.
+    """Take in step rows and sweep the state at the time reached by their arrival.
 
     For ``foreachBatch``; one sweep per trigger. New rows and swept rows are
-    separate partitions of the transition log, numbered two per batch.
+    separate partitions of the transition log, numbered two per batch. The clock
+    is the greatest ``arrived_at`` so far, a column of the batches that the state
+    does not keep. A due time is no clock: a waiting step's lies in the future.
     """
 
-    def __init__(self, path: str, event_time: str = "available_at"):
+    def __init__(self, path: str, arrived_at: str = "arrived_at"):
         self.path = path
-        self.event_time = event_time
+        self.arrived_at = arrived_at
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         intake, swept = 2 * batch_id, 2 * batch_id + 1
-        append_rows(batch.withColumns(_no_event()), self.path, intake)
-        state = current_state(spark, self.path, before=swept)
-        # Batches are committed in order, so the greatest event time so far is the clock.
-        as_of = state.agg(F.max(self.event_time)).first()[0]
+        clock = f"{self.path}-clock"
+        append_rows(batch.agg(F.max(self.arrived_at).alias("at")), clock, batch_id)
+        append_rows(batch.drop(self.arrived_at).withColumns(_no_event()), self.path, intake)
+        as_of = spark.read.parquet(clock).where(F.col("batch_id") <= batch_id).agg(F.max("at")).first()[0]
         if as_of is not None:
-            write_transitions(recover.sweep(state, F.lit(as_of)), self.path, swept)
+            write_transitions(recover.sweep(current_state(spark, self.path, before=swept), F.lit(as_of)), self.path, swept)
 
     def state(self, spark: SparkSession) -> DataFrame:
         return current_state(spark, self.path)

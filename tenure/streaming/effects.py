@@ -1,51 +1,47 @@
-"""First-wins effects on a stream; the store is the state and never expires."""
+"""First-wins effects on a stream, decided by the batch operator."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
-
-from tenure.functions.scalars import canonical_json
-from tenure.operators.effects import effect_result
-
-_OUT = "idempotency_key STRING, effect_type STRING, request STRING, ts TIMESTAMP, seq BIGINT, outcome STRING, result STRING"
-
-_out_row = Row(*[column.split()[0] for column in _OUT.split(",")])
-
-
-class _FirstWins(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "effect_type STRING, canon STRING, result STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self.stored.get()
-        # The rows of one key in one batch, which the source's trigger limit bounds.
-        for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            if stored is None:
-                stored = (row.effect_type, row.canon, row.minted)
-                self.stored.update(stored)
-                outcome = "APPLIED"
-            else:
-                outcome = "REUSED" if (row.effect_type, row.canon) == (stored[0], stored[1]) else "CONFLICT"
-            result = None if outcome == "CONFLICT" else stored[2]
-            yield _out_row(key[0], row.effect_type, row.request, row.ts, row.seq, outcome, result)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
 
-def dedupe_effects_stream(requests: DataFrame) -> DataFrame:
-    """Outcome and result of each valid request. Batches are taken in order, rows within one by (ts, seq)."""
-    ready = requests.withColumns(
-        {"canon": canonical_json(F.col("request")), "minted": effect_result(F.col("idempotency_key"), F.col("request"))}
-    ).where(F.col("canon").isNotNull())
-    return ready.groupBy("idempotency_key").transformWithState(
-        _FirstWins(), outputStructType=StructType.fromDDL(_OUT), outputMode="Append", timeMode="None"
-    )
+from tenure.operators.effects import apply_effects, new_store_rows
+from tenure.sources.sinks import append_rows
+
+_STORE = "idempotency_key STRING, effect_type STRING, request STRING, result STRING, created_at TIMESTAMP"
+
+
+class EffectLog:
+    """Decide each batch of requests against what is stored, and store what it applies.
+
+    For ``foreachBatch``. Two folders below ``path``, each written one partition per batch,
+    so a batch run again replaces what it wrote: outcomes (every request, invalid ones too)
+    and store. Batches are taken in order, rows within one by (ts, seq), so the outcomes are
+    those of ``apply_effects`` over all requests if none arrives before an older one.
+    ``initial`` are effects stored earlier.
+    """
+
+    def __init__(self, path: str, initial: DataFrame | None = None):
+        self.path = path
+        self.initial = initial
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        append_rows(apply_effects(batch, self.store(spark, batch_id)), f"{self.path}/outcomes", batch_id)
+        decided = spark.read.parquet(f"{self.path}/outcomes").where(F.col("batch_id") == batch_id)
+        append_rows(new_store_rows(decided), f"{self.path}/store", batch_id)
+
+    def store(self, spark: SparkSession, before: int | None = None) -> DataFrame:
+        """Effects stored before the batch, or all of them."""
+        rows = spark.createDataFrame([], _STORE)
+        if self.initial is not None:
+            rows = self.initial.select(rows.columns).unionByName(rows)
+        if before == 0:
+            return rows
+        written = spark.read.parquet(f"{self.path}/store")
+        if before is not None:
+            written = written.where(F.col("batch_id") < before)
+        return rows.unionByName(written.select(rows.columns))
+
+    def outcomes(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/outcomes").drop("batch_id")

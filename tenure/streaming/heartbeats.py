@@ -2,58 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 from tenure.functions import fixed
 
-_OUT = "worker_id STRING, last_us BIGINT, silent_us BIGINT"
-
-_out_row = Row(*[column.split()[0] for column in _OUT.split(",")])
-
-
-class _Silence(StatefulProcessor):
-    """The last beat of a worker and one timer, moved by every later beat."""
-
-    def __init__(self, stale_us: int):
-        self.stale_us = stale_us
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at BIGINT")
+def silences(beats: DataFrame, stale_s: float = fixed.HEARTBEAT_STALE_S) -> DataFrame:
+    """One row per silence: worker_id, last_heartbeat_at, silent_since.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        known = self.last.get()[0] if self.last.exists() else None
-        newest = max(row.ts_us for row in rows)
-        if known is None or newest > known:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update((newest,))
-            self.handle.registerTimer(-(-(newest + self.stale_us) // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        last = self.last.get()[0]
-        # A beat may have come in the batch whose watermark fires an older timer.
-        if -(-(last + self.stale_us) // 1000) == expiredTimerInfo.getExpiryTimeInMs():
-            yield _out_row(key[0], last, last + self.stale_us)
-
-    def close(self) -> None:
-        pass
+    Beats of a worker up to ``stale_s`` apart belong to one session; its last beat starts
+    the silence. So each silence counts, however the beats are cut into batches, and the
+    last session of a worker counts too: the caller knows how far the beats reach.
+    """
+    session = F.session_window("ts", f"{round(stale_s * 1000)} milliseconds")
+    return beats.groupBy("worker_id", session).agg(F.max("ts").alias("last_heartbeat_at")).select(
+        "worker_id", "last_heartbeat_at", F.col("session_window.end").alias("silent_since")
+    )
 
 
 def heartbeat_stream(beats: DataFrame, stale_s: float = fixed.HEARTBEAT_STALE_S, delay: str = "0 seconds") -> DataFrame:
-    """One row per silence: worker_id, last_heartbeat_at, silent_since."""
-    rows = beats.withWatermark("ts", delay).withColumn("ts_us", F.unix_micros("ts"))
-    alerts = rows.groupBy("worker_id").transformWithState(
-        _Silence(int(stale_s * 1_000_000)), outputStructType=StructType.fromDDL(_OUT), outputMode="Append", timeMode="EventTime"
-    )
-    return alerts.select(
-        "worker_id",
-        F.timestamp_micros("last_us").alias("last_heartbeat_at"),
-        F.timestamp_micros("silent_us").alias("silent_since"),
-    )
+    """``silences`` of a stream, each once, after the watermark has passed silent_since."""
+    return silences(beats.withWatermark("ts", delay), stale_s)

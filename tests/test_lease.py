@@ -116,6 +116,20 @@ def test_apply_failures_retries_or_gives_up(spark):
     assert {r.step_id: len(r.last_error) for r in got.collect()}["retry"] == 201
 
 
+def test_owner_writes_of_all_kinds_decide_once(spark):
+    """The first end in time counts, later writes do not; a renewal lets a later completion in."""
+    s = steps(spark, [running("once", deadline=10), running("longer", deadline=30), running("late", deadline=5)])
+    w = table(spark, "owner_writes", [
+        write(1, "once", "COMPLETE", 1), write(2, "once", "FAIL", 2, retryable=True), write(3, "once", "RENEW", 3),
+        write(4, "longer", "RENEW", 20), write(5, "longer", "COMPLETE", 29.9),
+        write(6, "late", "RENEW", 4), write(7, "late", "RENEW", 14), write(8, "late", "FAIL", 14.5, retryable=True),
+    ])
+    ended = lease.apply_completions(s, w, LEASE)
+    assert rows(ended, "step_id", "status", "event_at") == [("longer", "SUCCEEDED", at(29.9)), ("once", "SUCCEEDED", at(1))]
+    assert lease.apply_failures(s, w, LEASE).count() == 0
+    assert rows(lease.apply_renewals(s, w, LEASE), "step_id", "lease_expires_at", "renewals") == [("late", at(14), 1)]
+
+
 # --- the replay ----------------------------------------------------------------
 
 

@@ -4,13 +4,14 @@ from tests.helpers import NOW, at, rows, running, steps, table
 from tests.test_lease import LEASE, plain_replay, random_log, write
 
 from tenure.operators import recover
+from tenure.operators.effects import apply_effects
 from tenure.schemas import schema
 from tenure.session import scratch_path, shared_folder
 from tenure.sources.relations import read_relation, synthetic_steps, tail_events
 from tenure.sources.sinks import append_rows, committed_events, current_state, write_transitions
 from tenure.streaming.batches import OrderedRelease, Sweeper, event_rate_stream
-from tenure.streaming.effects import dedupe_effects_stream
-from tenure.streaming.heartbeats import heartbeat_stream
+from tenure.streaming.effects import EffectLog
+from tenure.streaming.heartbeats import heartbeat_stream, silences
 from tenure.streaming.lifecycle import lifecycle_stream
 from tenure.streaming.run import drain, drain_batches
 
@@ -62,7 +63,9 @@ def test_effects_are_first_wins_across_batches(spark):
         [request(2, "k", '{"value":"v"}', 5), request(1, "k", '{"value":"w"}', 5), request(3, "l", '{"value":1}', 9)],
         [request(4, "k", '{ "value":"w"}', 1), request(5, "l", '{"value":2}', 1)],
     ])
-    got = drain(dedupe_effects_stream(feed.stream), "effects", feed)
+    log = EffectLog(scratch_path(spark, "effect-log"))
+    drain_batches(feed.stream, log, "effects", feed)
+    got = log.outcomes(spark)
     assert rows(got, "seq", "outcome") == [(1, "APPLIED"), (2, "CONFLICT"), (3, "APPLIED"), (4, "REUSED"), (5, "CONFLICT")]
     stored = {r.seq: r.result for r in got.collect()}
     assert stored[4] == stored[1] is not None
@@ -79,6 +82,49 @@ def test_a_later_beat_moves_the_alert(spark):
     assert rows(got, "worker_id", "last_heartbeat_at", "silent_since") == [("quiet", at(0), at(6))]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_effects_equal_the_batch_however_they_are_cut(spark, parts):
+    """Blank and long keys, blank types and broken JSON are answered too; an older store counts."""
+    bodies = ['{"value":1}', '{"value": 1}', '{"value":2}', "no json"]
+    asked = [
+        {"idempotency_key": [" ", "k" * 201, "a", "b", "old"][i % 5], "effect_type": ["t", "t", "t", " "][i % 4],
+         "request": bodies[(i // 3) % 4], "ts": at(i), "seq": i}
+        for i in range(42)
+    ]
+    store = spark.createDataFrame(
+        [("old", "t", '{"value":2}', "{}", at(-9))], "idempotency_key string, effect_type string, request string, result string, created_at timestamp"
+    )
+    size = -(-len(asked) // parts)
+    feed = Feed(spark, "effect_requests", [asked[i : i + size] for i in range(0, len(asked), size)])
+    log = EffectLog(scratch_path(spark, "effect-log"), store)
+    drain_batches(feed.stream, log, "effects", feed)
+    wanted = apply_effects(table(spark, "effect_requests", asked), store)
+    got = rows(log.outcomes(spark), "seq", "outcome", "result")
+    assert got == rows(wanted, "seq", "outcome", "result") and len(got) == 42
+    assert {o for _, o, _ in got} == {"APPLIED", "REUSED", "CONFLICT", "INVALID"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_every_silence_counts_however_beats_are_cut(spark, parts):
+    seconds = [("a", 0), ("a", 4), ("b", 5), ("a", 10), ("a", 100), ("b", 101), ("a", 106.001), ("z", 120)]
+    beats = [{"worker_id": w, "ts": at(t)} for w, t in seconds]
+    size = -(-len(beats) // parts)
+    feed = Feed(spark, "heartbeats", [beats[i : i + size] for i in range(0, len(beats), size)])
+    got = rows(drain(heartbeat_stream(feed.stream, stale_s=6), "alerts", feed), "worker_id", "last_heartbeat_at", "silent_since")
+    assert got == [(w, at(t), at(t + 6)) for w, t in [("a", 10), ("a", 100), ("a", 106.001), ("b", 5), ("b", 101)]]
+    twin = silences(table(spark, "heartbeats", beats), 6).where("silent_since <= timestamp'2024-06-01 12:02:00'")
+    assert rows(twin, "worker_id", "last_heartbeat_at", "silent_since") == got
+
+
+def test_ordered_release_reports_what_comes_too_late(spark):
+    parts = [[{"xid": 9, "id": 1}], [{"xid": 19, "id": 2}], [{"xid": 4, "id": 3}, {"xid": 29, "id": 4}]]
+    feed = Feed(spark, spark.createDataFrame([], "xid long, id long").schema, parts)
+    release = OrderedRelease(scratch_path(spark, "release"), lambda _, batch: 10 * (batch + 1))
+    drain_batches(feed.stream, release, "release", feed)
+    assert rows(release.released(spark), "id") == [(1,), (2,), (4,)]
+    assert rows(release.late(spark), "xid", "id") == [(4, 3)]
+
+
 def test_ordered_release_loses_nothing(spark):
     """Transaction 10 is still open when 11 and 12 arrive; nothing overtakes it."""
     parts = [[{"xid": 11, "id": 2}, {"xid": 9, "id": 1}], [{"xid": 12, "id": 4}], [{"xid": 10, "id": 3}], [{"xid": 20, "id": 5}]]
@@ -95,17 +141,22 @@ def test_ordered_release_loses_nothing(spark):
     assert release.released(spark).count() == 5
 
 
-def test_sweeper_follows_the_event_time(spark):
-    s = schema("steps")
-    feed = Feed(spark, s, [
-        [r.asDict() for r in steps(spark, [running("a", deadline=5), {"step_id": "w", "status": "RETRY_WAIT", "available_at": at(3)}]).collect()],
-        [r.asDict() for r in steps(spark, [{"step_id": "later", "available_at": at(6)}]).collect()],
-    ])
+def test_sweeper_follows_arrival_and_promotes_nothing_early(spark):
+    s = schema("steps").add("arrived_at", "timestamp")
+
+    def told(seconds, *found):
+        return [{**r.asDict(), "arrived_at": at(seconds)} for r in steps(spark, list(found)).collect()]
+
+    waiting = {"step_id": "w", "status": "RETRY_WAIT", "available_at": at(3)}
+    far = {"step_id": "far", "status": "RETRY_WAIT", "available_at": at(3_600)}
+    feed = Feed(spark, s, [told(0, running("a", deadline=5), waiting, far), told(3, {"step_id": "x"}), told(6, {"step_id": "y"})])
     sweeper = Sweeper(scratch_path(spark, "sweeps"))
     drain_batches(feed.stream, sweeper, "sweeps", feed)
-    assert rows(sweeper.state(spark), "step_id", "status") == [("a", "READY"), ("later", "READY"), ("w", "READY")]
+    assert rows(sweeper.state(spark), "step_id", "status") == [
+        ("a", "READY"), ("far", "RETRY_WAIT"), ("w", "READY"), ("x", "READY"), ("y", "READY"),
+    ]
     assert rows(committed_events(spark, sweeper.path), "step_id", "event_type", "created_at", "xid") == [
-        ("a", "LEASE_RECOVERED", at(6), 3), ("w", "RETRY_READY", at(3), 1),
+        ("a", "LEASE_RECOVERED", at(6), 5), ("w", "RETRY_READY", at(3), 3),
     ]
 
 
