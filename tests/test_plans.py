@@ -83,7 +83,9 @@ def test_fixed_values():
 
 def test_entry(spark):
     assert driver.entry(spark).columns == ["metric", "n", "p50", "p95", "p99", "max"]
-    assert set(SQL) == set(QUERIES)
+    text = re.compile(r"op\d+_|pipeline$")  # the text operators' queries have SQL only where SQL can say it
+    assert set(SQL) <= set(QUERIES)
+    assert all(text.match(name) for name in set(QUERIES) - set(SQL))
 
 
 @pytest.fixture(scope="module")
