@@ -50,6 +50,14 @@ HEADLINE = (
     "met3_latency_percentiles",
     "stm5_ordered_release",
     "stm6_event_rate",
+    "fen3_stale_summary",
+    "evt7_conformance",
+    "evt7_lifecycle_conformance",
+    "met4_spread",
+    "stm1_lifecycle_events",
+    "stm3_dedupe_effects",
+    "stm4_heartbeat_alerts",
+    "stm7_sweep_stream",
 )
 
 

@@ -11,8 +11,6 @@ from tenure.functions import fixed
 from tenure.functions.scalars import canonical_json, effect_id, effect_key
 from tenure.operators.ordered import salt
 
-PARTS = 64
-
 
 def effect_result(key: Column, request: Column) -> Column:
     """Result minted for a new effect: its id and the request's value."""
@@ -38,7 +36,7 @@ def apply_effects(requests: DataFrame, store: DataFrame, order: Sequence[str] =
     else under a used key. INVALID: bad key, type or JSON. ``order`` must be a
     total order within a key.
     """
-    checked = requests.withColumns({"__invalid": _invalid(), "__part": salt(*order, parts=PARTS)})
+    checked = requests.withColumns({"__invalid": _invalid(), "__part": salt(*order)})
 
     def entry(stored: bool, *at: Column) -> Column:
         return F.struct(
@@ -58,7 +56,7 @@ def apply_effects(requests: DataFrame, store: DataFrame, order: Sequence[str] =
     kept = store.select("idempotency_key", entry(True, *empty).alias("e")).join(wanted, "idempotency_key", "left_semi")
     # A key's requests are cut to one row per part before they move, and every
     # part of a hot key gets the key's first entry back, so no task sees a
-    # whole key: a key has at most PARTS rows here, and its row in the store.
+    # whole key: a key has at most that many rows here, and its row in the store.
     parts = asked.groupBy("idempotency_key", "__part").agg(F.min("e").alias("e"))
     entries = kept.withColumn("__part", F.lit(-1).cast("bigint")).unionByName(parts)
     firsts = entries.withColumn("__first", F.min("e").over(Window.partitionBy("idempotency_key")))

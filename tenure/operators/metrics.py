@@ -120,9 +120,11 @@ def latency_percentiles(steps: DataFrame, approximate: bool = False, digits: int
 def spread(runs: DataFrame, by: str, rate: str, medians: Sequence[str] = ()) -> DataFrame:
     """Per configuration: runs, median, least and greatest rate, spread in percent of the median."""
     base = runs.groupBy(by).agg(F.count("*").alias("runs"), F.min(rate).alias("min_rate"), F.max(rate).alias("max_rate"))
-    for name in (rate, *medians):
-        median = exact_percentiles(runs, [by], name, (0.5,))
-        base = base.join(median.select(by, F.col("percentiles")[0].alias(f"median_{name}")), by, "left")
+    names = (rate, *medians)
+    pairs = F.array(*[F.struct(F.lit(n).alias("__name"), F.col(n).cast("double").alias("__value")) for n in names])
+    found = exact_percentiles(runs.select(by, F.inline(pairs)), [by, "__name"], "__value", (0.5,))
+    of = lambda n: F.max(F.when(F.col("__name") == n, F.col("percentiles")[0])).alias(f"median_{n}")
+    base = base.join(found.groupBy(by).agg(*[of(n) for n in names]), by, "left")
     centre = F.col(f"median_{rate}")
     return base.withColumn("spread_percent", tenth((F.col("max_rate") - F.col("min_rate")) / centre * 100))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SLICE = "__slice"
@@ -95,9 +95,14 @@ def running(
     return joined.select(*columns, *merged)
 
 
-def salt(*columns: str, parts: int = 64) -> Column:
+def fan_out() -> int:
+    """Parts a hot key is cut into: the session's shuffle partitions, 64 at least, so they grow with what it is set up for."""
+    return max(64, int(SparkSession.active().conf.get("spark.sql.shuffle.partitions")))
+
+
+def salt(*columns: str, parts: int | None = None) -> Column:
     """Slice for joins that need no order: spreads a key over ``parts`` by its rows' own values."""
-    return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("bigint")
+    return F.pmod(F.xxhash64(*columns), F.lit(parts or fan_out())).cast("bigint")
 
 
 def join_one(many: DataFrame, one: DataFrame, keys: Sequence[str], slice_by: Column, how: str = "inner") -> DataFrame:

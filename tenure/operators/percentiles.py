@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.operators.ordered import Running, join_one, running, salt
 
-# Groups up to this size are ranked as they are. In larger ones only the values
-# in a narrow bracket around each percentile are; the bracket is ten times as
-# wide as the sketch may be wrong, and ten ranks or more.
-RANK_ALL_UP_TO = 10_000
+# How far the edges lie from a percentile: ten times what the sketch may be wrong.
 BRACKET = 1e-3
 SKETCH_ACCURACY = 10_000
 SLICES = 1024
@@ -24,79 +21,70 @@ def exact_percentiles(
     value: str,
     fractions: Sequence[float],
     fixed_keys: bool = False,
-    rank_all_up_to: int = RANK_ALL_UP_TO,
     bracket: float = BRACKET,
     accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """One row per key with ``n``, ``max`` and ``percentiles`` (linear interpolation).
 
-    First pass: a mergeable sketch gives bounds around each percentile. Second
-    pass: values below the lower bound are only counted, those inside the
-    bounds are counted per value, and these counts are ranked in slices. The
-    bounds decide how much is ranked, never the result: should a wanted rank
-    fall outside them, the job fails. ``fixed_keys`` says that the keys are a
-    short list known in advance, so that the bounds can be broadcast.
+    First pass: a mergeable sketch gives two edges around each percentile; all
+    edges of a key cut its values into a few parts. Second pass: the parts are
+    counted, exactly. Third pass: the parts that hold a wanted rank, usually
+    the narrow ones, are counted per value, and these counts are ranked in
+    slices. The sketch decides how much is ranked, never the result: where it
+    is off, the wanted rank lies in a neighbouring part and that one is ranked.
+    ``fixed_keys`` says that the keys are a short list known in advance, so that
+    the edges can be broadcast; else values are counted before they move, so a
+    frequent value is one row.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    cuts = [c for p in fractions for c in (max(p - bracket, 0.0), min(p + bracket, 1.0))]
+    values = rows.withColumn("c", F.lit(1)) if fixed_keys else rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+
+    def with_key(one: DataFrame) -> DataFrame:
+        """The values with the single row of their key, and the part they lie in: how many edges are below."""
+        joined = values.join(F.broadcast(one), keys) if fixed_keys else join_one(values, one, keys, salt("v"))
+        below = F.aggregate("b.edges", F.lit(0), lambda k, e: k + F.when(e < F.col("v"), 1).otherwise(0))
+        return joined.withColumn("part", below)
+
+    cuts = sorted({c for p in fractions for c in (max(p - bracket, 0.0), min(p + bracket, 1.0))})
     bounds = rows.groupBy(*keys).agg(
         F.count("v").alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
-        F.percentile_approx("v", cuts, F.lit(accuracy)).alias("cuts"),
+        F.percentile_approx("v", cuts, F.lit(accuracy)).alias("edges"),
     )
-    whole = F.col("n") <= rank_all_up_to
-    ranks = [F.lit(p) * (F.col("n") - 1) for p in fractions]
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.floor(rank).alias("rank"),
-                (rank - F.floor(rank)).alias("part"),
-                F.when(whole, F.col("low")).otherwise(F.col("cuts")[2 * i]).alias("from"),
-                F.when(whole, F.col("high")).otherwise(F.col("cuts")[2 * i + 1]).alias("to"),
-                "n",
-                "high",
-            )
-            for i, rank in enumerate(ranks)
-        ]
-    )
-    targets = bounds.select(*keys, targets.alias("targets"))
-    if fixed_keys:
-        joined = rows.join(F.broadcast(targets), keys)
-    else:
-        joined = join_one(rows, targets, keys, salt("v"))
+    about = bounds.select(*keys, F.struct("n", "low", "high", F.array_sort(F.array_distinct("edges")).alias("edges")).alias("b"))
+    counts = with_key(about).groupBy(*keys, "part").agg(F.sum("c").alias("c"), F.first("b").alias("b"))
 
-    wanted = joined.select(*keys, "v", F.explode("targets").alias("t")).where(F.col("v") <= F.col("t.to"))
-    below = F.col("v") < F.col("t.from")
-    wide = F.nullif(F.col("t.to") - F.col("t.from"), F.lit(0.0))
-    place = F.coalesce(F.floor((F.col("v") - F.col("t.from")) / wide * SLICES), F.lit(0))
-    counted = wanted.groupBy(
-        *keys,
-        F.col("t.i").alias("i"),
-        F.when(below, float("-inf")).otherwise(F.col("v")).alias("v"),
-        F.when(below, F.lit(-1)).otherwise(place).cast("bigint").alias("slice"),
-    ).agg(F.count("*").alias("c"), F.first("t").alias("t"))
-    ranked = running(counted, [*keys, "i"], ["v"], F.col("slice"), upto=Running("sum", F.col("c")))
-    rank = F.col("t.rank")
-    picked = ranked.groupBy(*keys, "i").agg(
-        F.first("t").alias("t"),
-        F.max((F.col("slice") < 0) & (F.col("upto") > rank)).alias("missed"),
-        F.min(F.when(F.col("upto") > rank, F.col("v"))).alias("lower"),
-        F.min(F.when(F.col("upto") > rank + 1, F.col("v"))).alias("upper"),
+    n = F.col("b.n")
+    places = [F.lit(p) * (n - 1) for p in fractions]
+    ranks = [(F.floor(x), F.least(F.floor(x) + 1, n - 1)) for x in places]
+    # A key has one row per part here, fewer than three for each fraction.
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before, upto = F.col("before"), F.col("before") + F.col("c")
+    held = counts.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0))).where(
+        F.exists(F.array(*[r for pair in ranks for r in pair]), lambda r: (r >= before) & (r < upto))
     )
-    part = F.col("t.part")
-    missed = F.col("missed") | F.col("lower").isNull() | ((part > 0) & F.col("upper").isNull())
-    result = (
-        F.when(missed, F.raise_error(F.lit("percentile outside its bracket; widen it")).cast("double"))
-        .when(part == 0, F.col("lower"))
-        .otherwise(F.col("lower") + part * (F.col("upper") - F.col("lower")))
+    marks = held.groupBy(*keys).agg(F.first("b").alias("b"), F.collect_list(F.struct("part", "before")).alias("parts"))
+
+    mark = F.get(F.filter("parts", lambda x: x["part"] == F.col("part")), F.lit(0))
+    inside = with_key(marks).withColumn("mark", mark).where(F.col("mark").isNotNull())
+    counted = inside.groupBy(*keys, "part", "v").agg(
+        F.sum("c").alias("c"), F.first("mark.before").alias("before"), F.first("b").alias("b")
     )
-    # One row per fraction: the list is as short as ``fractions``.
-    listed = picked.groupBy(*keys).agg(
-        F.first("t.n").alias("n"),
-        F.first("t.high").alias("max"),
-        F.array_sort(F.collect_list(F.struct("i", result.alias("p")))).alias("ps"),
+    low = F.coalesce(F.get("b.edges", F.col("part") - 1), F.col("b.low"))
+    high = F.coalesce(F.get("b.edges", F.col("part")), F.col("b.high"))
+    place = F.coalesce(F.floor((F.col("v") - low) / F.nullif(high - low, F.lit(0.0)) * SLICES), F.lit(0)).cast("bigint")
+    ranked = running(counted, [*keys, "part"], ["v"], place, here=Running("sum", F.col("c")))
+    reached = F.col("before") + F.col("here")
+    picked = ranked.groupBy(*keys).agg(
+        F.first("b").alias("b"),
+        *[F.min(F.when(reached > r, F.col("v"))).alias(f"{end}{i}") for i, pair in enumerate(ranks) for end, r in zip(("lower", "upper"), pair)],
     )
-    return listed.select(*keys, "n", "max", F.transform("ps", lambda x: x["p"]).alias("percentiles"))
+    result = [
+        F.when(x == F.floor(x), F.col(f"lower{i}")).otherwise(
+            F.col(f"lower{i}") + (x - F.floor(x)) * (F.col(f"upper{i}") - F.col(f"lower{i}"))
+        )
+        for i, x in enumerate(places)
+    ]
+    return picked.select(*keys, n.alias("n"), F.col("b.high").alias("max"), F.array(*result).alias("percentiles"))

@@ -11,11 +11,14 @@ from tenure.functions import fixed
 from tenure.functions.scalars import floor_bucket, is_legal_transition, is_uuid
 from tenure.operators.ordered import Running, running
 
-_REQUIRED = ("status", "priority", "available_at", "lease_version", "attempt_count", "max_attempts", "task_type", "payload")
+_REQUIRED = (
+    "step_id", "status", "priority", "available_at", "lease_version", "attempt_count", "max_attempts", "task_type", "payload",
+    "created_at", "updated_at",
+)
 
 
 def audit_steps(steps: DataFrame) -> DataFrame:
-    """(step_id, rule) for every broken table rule."""
+    """(step_id, rule) for every broken table rule, of the columns that ``steps`` has."""
     c = F.col
     broken = [
         (c("attempt_count") < 0, "attempt_count_nonnegative"),
@@ -29,7 +32,7 @@ def audit_steps(steps: DataFrame) -> DataFrame:
             ),
             "running_requires_owner",
         ),
-        *[(c(name).isNull(), f"{name}_not_null") for name in _REQUIRED],
+        *[(c(name).isNull(), f"{name}_not_null") for name in _REQUIRED if name in steps.columns],
     ]
     rules = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for test, rule in broken]))
     return steps.select("step_id", F.explode(rules).alias("rule"))

@@ -85,8 +85,8 @@ _RESULTS = (
     """held AS (SELECT o_orderkey AS step_id, CASE WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' ELSE 'RUNNING' END AS status,
         'k' || (o_orderkey - CASE WHEN o_orderkey % 40 = 1 THEN 1 ELSE 0 END) AS idempotency_key,
         '{"effectId":"e' || (o_orderkey + CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END) || '"}' AS result FROM orders)""",
-    """kept AS (SELECT 'k' || (l_orderkey - l_orderkey % 20) AS idempotency_key, '{"effectId":"e' || (l_orderkey - l_orderkey % 20) || '"}' AS result
-        FROM lineitem WHERE l_orderkey % 20 < 2)""",
+    """kept AS (SELECT 'k' || l_orderkey || CASE WHEN l_linenumber > 1 AND l_orderkey % 7 > 0 THEN '-' || l_linenumber ELSE '' END AS idempotency_key,
+        '{"effectId":"e' || l_orderkey || '"}' AS result FROM lineitem)""",
     """counted AS (SELECT idempotency_key, count(*) AS n, min(json_extract_string(result, '$.effectId')) AS stored FROM kept GROUP BY 1)""",
 )
 
@@ -102,7 +102,8 @@ _RESULTS = (
     ),
 )
 def _(spark, sf):
-    o, li = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem").where(F.col("l_orderkey") % 20 < 2)
+    """Every line keeps an effect: the first of an order under the order's key, later ones under their own or, now and then, the same."""
+    o, li = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem")
     steps = o.select(
         F.col("o_orderkey").alias("step_id"),
         F.expr("CASE WHEN o_orderstatus = 'F' THEN 'SUCCEEDED' ELSE 'RUNNING' END").alias("status"),
@@ -110,8 +111,8 @@ def _(spark, sf):
         F.expr("""concat('{"effectId":"e', o_orderkey + CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END, '"}')""").alias("result"),
     )
     store = li.select(
-        F.expr("concat('k', l_orderkey - l_orderkey % 20)").alias("idempotency_key"),
-        F.expr("""concat('{"effectId":"e', l_orderkey - l_orderkey % 20, '"}')""").alias("result"),
+        F.expr("concat('k', l_orderkey, CASE WHEN l_linenumber > 1 AND l_orderkey % 7 > 0 THEN concat('-', l_linenumber) ELSE '' END)").alias("idempotency_key"),
+        F.expr("""concat('{"effectId":"e', l_orderkey, '"}')""").alias("result"),
     )
     return effects.reconcile_results(steps, store)
 

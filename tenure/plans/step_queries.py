@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed, scalars
 from tenure.operators import recover, select, tasks, validate
-from tenure.operators.history import emit_events
+from tenure.operators.history import event_data
 from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.views import AS_OF, with_views
@@ -283,9 +283,8 @@ _K = 8
 def _(spark, sf):
     claimed = select.assign_batch(v.steps(spark, sf), v.workers(spark, sf), AS_OF, fixed.DEFAULT_LEASE_MS, _K)
     told = claimed.withColumns({"event_worker_id": F.col("worker_id"), "reason": F.lit(None).cast("string")})
-    data = emit_events(told).select("step_id", "data")
     columns = ("step_id", "status", "current_worker_id", "lease_version", "attempt_count", "lease_expires_at")
-    return claimed.select(*columns).join(data, "step_id")
+    return told.select(*columns, event_data().alias("data"))
 
 
 _RECOVERED = """
@@ -306,8 +305,6 @@ _DUE_SQL = f"FROM v_steps WHERE status = 'RETRY_WAIT' AND available_at <= TIMEST
 
 
 def _with_data(rows):
-    from tenure.operators.history import event_data
-
     columns = ("step_id", "status", "current_worker_id", "lease_version", "attempt_count", "event_type", "event_worker_id")
     return rows.select(*columns, event_data().alias("data"))
 

@@ -15,12 +15,18 @@ def read_relation(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema(kind)).parquet(path)
 
 
-def tail_relation(spark: SparkSession, path: str, kind: str, max_files: int = 1) -> DataFrame:
-    """A relation's folder as a stream; the checkpoint of the query is the cursor."""
-    return spark.readStream.schema(schema(kind)).option("maxFilesPerTrigger", max_files).parquet(path)
+def tail_relation(spark: SparkSession, path: str, kind: str, max_files: int | None = None) -> DataFrame:
+    """A relation's folder as a stream; the checkpoint of the query is the cursor.
 
+    A trigger takes all files that are new, or at most ``max_files`` of them.
+    """
+    stream = spark.readStream.schema(schema(kind))
+    if max_files is not None:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    return stream.parquet(path)
 
-def tail_events(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+
+def tail_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The event log as a stream. Start the query with ``trigger(processingTime=fixed.TAIL_POLL)``."""
     return tail_relation(spark, path, "step_events", max_files)
 
