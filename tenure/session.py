@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A batch of long texts is cut by its bytes: a Python worker holds one in several forms at a time.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     # Duplicate keys in a JSON object: the last one wins, as in a jsonb column.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
