@@ -68,7 +68,7 @@ _OP6 = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, regexp_ext
   f AS (SELECT source, key, count(DISTINCT coalesce(CASE WHEN key = k[1] THEN k[2] ELSE k[1] END, 0)) AS n FROM e GROUP BY ALL),
   h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
   c AS (SELECT f.source, key, true AS common FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE n >= 10 AND n >= ceil(docs * 0.2)),
-  d AS (SELECT doc_id, sum(length(line)) AS line_chars, coalesce(sum(length(line)) FILTER (common), 0) AS gone, count(*) - count(DISTINCT line) AS dup
+  d AS (SELECT doc_id, sum(length(line)) AS line_chars, coalesce(sum(length(line)) FILTER (common), 0)::BIGINT AS gone, count(*) - count(DISTINCT line) AS dup
     FROM l LEFT JOIN c ON l.key = c.key AND l.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
   m AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
     coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(gone, 0) AS gone_chars, coalesce(line_chars, 0) AS line_chars
