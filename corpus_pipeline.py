@@ -9,29 +9,30 @@ from pyspark.sql import functions as F
 
 from tenure.llm import line_dedup, line_frequency, mixing, near_dedup, retrieval
 from tenure.llm.common import stored
-from tenure.session import show_package
+from tenure.session import prepare
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of operator 6, without lines common on their host."""
+    prepare(spark)
     return line_frequency.filtered(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5 over the corpus: a line that a tenth of all documents repeat stays where it occurs first."""
-    show_package(spark)
+    prepare(spark)
     return line_dedup.deduplicated(docs, min_share=0.1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1 on five words and 0.8: the first document of each group stays."""
-    show_package(spark)
+    prepare(spark)
     return near_dedup.first_of_each(docs, size=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents that hold a benchmark passage go."""
-    show_package(spark)
+    prepare(spark)
     return retrieval.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

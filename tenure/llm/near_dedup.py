@@ -21,7 +21,9 @@ from tenure.llm.common import stored
 from tenure.llm.components import components
 
 _MULTIPLY = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
-_CHUNK = 200_000
+# Shingles signed at a time and words remembered: what bounds a Python worker's memory besides its batch.
+_CHUNK = 50_000
+_KNOWN = 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +36,7 @@ class _Words(dict):
     """Hash of each word seen, computed once."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > _KNOWN:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
