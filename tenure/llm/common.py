@@ -11,6 +11,7 @@ from tenure.session import scratch_path
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NO_ID = -(2**63)
 
 
 def text_of(column: str = "text") -> Column:
@@ -18,6 +19,11 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def doc_key() -> list[Column]:
+    """What tells documents apart: doc_id (null has a value of its own) and the text's hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_of()).alias("text_key")]
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import ascii_lower, stored, text_of
+from tenure.llm.common import ascii_lower, doc_key, stored, text_of
 
 # Fixed value: what is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
-NO_ID = -(2**63)
 
 _KEY = ("h", "g")
 _ROW = ("doc", "text_key", "pos")
@@ -31,11 +30,6 @@ _TYPES = {"doc": pa.int64(), "text_key": pa.int64(), "pos": pa.int32(), "h": pa.
 _DROP, _OPEN, _EDGE = 0, 1, 2
 
 
-def doc_key() -> list:
-    """What tells documents apart: doc_id (null has a value of its own) and the text's hash."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_of()).alias("text_key")]
-
-
 def line_rows(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(h, g, doc, text_key, pos) of every line whose key has ``min_chars`` code points."""
     key = ascii_lower(F.btrim(F.col("line"), F.lit(BLANKS)))
