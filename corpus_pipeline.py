@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5 over the corpus: a line that a tenth of all documents repeat stays where it occurs first."""
+    """Operator 5 over the corpus: a line that ten documents repeat stays where it occurs first."""
     prepare(spark)
-    return line_dedup.deduplicated(docs, min_share=0.1)
+    return line_dedup.deduplicated(docs, min_docs=10)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,15 +214,14 @@ def dedup(docs: DataFrame, *more: str, min_docs: int = 10, min_chars: int = 1, k
     return joined.mapInArrow(_applied(out.names), out)
 
 
-def deduplicated(docs: DataFrame, min_share: float = 0.1, min_docs: int = 10) -> DataFrame:
-    """The documents, in their own columns, without the lines that ``min_share`` of all documents repeat.
+def deduplicated(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """The documents, in their own columns, without the lines that ``min_docs`` documents repeat, at any size of the input.
 
     The first occurrence of such a line stays; a document of which nothing but white
     space is left, though it had lines, goes.
     """
-    limit = max(min_docs, int(min_share * docs.count()))
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = dedup(docs, *others, min_docs=limit, keep_first=True)
+    done = dedup(docs, *others, min_docs=min_docs, keep_first=True)
     left = done.filter((F.col("n_dropped") == 0) | (F.length(F.btrim(F.col("kept_text"), F.lit(BLANKS))) > 0))
     back = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return left.select(*[back.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

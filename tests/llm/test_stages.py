@@ -21,3 +21,13 @@ def test_quality_rules_have_a_limit_that_does_not_grow_with_the_host(spark):
     assert got[300] == rows[200][1] and all(got[300 + i] == _words(300 + i, 60) for i in range(1, 12))
     assert got[400] == rows[212][1] and not set(range(401, 412)) & set(got)
     assert all(got[500 + i] == _words(800, 60) for i in range(15)) and len(got) == 200 + 12 + 1 + 15
+
+
+def test_line_dedup_has_a_limit_that_does_not_grow_with_the_corpus(spark):
+    planted = _words(900, 55)
+    rows = [(i, _words(i, 30), "a") for i in range(300)]
+    rows += [(400 + i, f"{planted}\n{_words(400 + i, 30)}", "a") for i in range(12)] + [(500 + i, planted, "a") for i in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got[400] == rows[300][1] and all(got[400 + i] == _words(400 + i, 30) for i in range(1, 12))
+    assert set(got) == {*range(300), *range(400, 412)}  # those with nothing else go
