@@ -31,7 +31,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = "\n"
 #: Words at least as frequent as one in so many tokens are sent to every task: by arithmetic there are no more of them than this.
 HEAD_WORDS = 1_000_000
-TRAIN_SHARE, ROUNDS, BATCH, LEAST_STEPS = 32, 2, 64, 60
+ROUNDS, BATCH, LEAST_STEPS = 2, 64, 60
+#: Subword ids that a training task holds at a time.
+TRAIN_IDS = 400_000
 _PART = 4096
 _KEPT_WORDS = 1_200_000
 
@@ -101,33 +103,54 @@ def _sequences(cut: Subwords, texts: list[str | None], known: dict[bytes, list[i
     return out
 
 
+def _chunks(cut: Subwords, batches, most: int = TRAIN_IDS):
+    """The texts as lists of sequences of about ``most`` ids together; no text is left out."""
+    known: dict[bytes, list[int]] = {}
+    held, size = [], 0
+    for b in batches:
+        for text in b.column("text").to_pylist():
+            held += _sequences(cut, [text], known)
+            size += len(held[-1])
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _trained(shared):
-    """One task's training: all windows of its texts in a fixed random order, as often as gives LEAST_STEPS steps."""
+    """One task's training: all windows of its texts, chunk by chunk in a random order, again if they give too few steps."""
 
     def run(batches):
         start, cut, counts, seed = shared.value
-        known: dict[bytes, list[int]] = {}
-        texts = [s for b in batches for s in _sequences(cut, b.column("text").to_pylist(), known)]
-        if not texts:
-            return
-        inputs, targets, starts, _ = attention.windows(texts, cut.places(b"\n")[0])
         worker = attention.Trainer(attention.unpacked(start), counts, cut.size, 0.04)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         steps = np.arange(attention.WINDOW)
-        while True:
+
+        def learn(chunk) -> int:
+            inputs, targets, starts, _ = attention.windows(chunk, cut.places(b"\n")[0])
             order = rng.permutation(len(starts))
             for s in range(0, len(order), BATCH):
                 place = starts[order[s : s + BATCH], None] + steps
                 worker.step(inputs[place], targets[place[:, attention.BACK :]])
-            if worker.steps >= LEAST_STEPS:
-                break
-        flat = attention.packed(worker.p).astype(np.float64) * len(starts)
+            return len(starts)
+
+        learned, again = 0, []
+        for chunk in _chunks(cut, batches):
+            learned += learn(chunk)
+            again = [*again, chunk] if worker.steps < LEAST_STEPS else []
+        if not learned:
+            return
+        while worker.steps < LEAST_STEPS:
+            for chunk in again:
+                learn(chunk)
+        flat = attention.packed(worker.p).astype(np.float64) * learned
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(range(-(-len(flat) // _PART)), pa.int32()),
                 pa.array([part] * -(-len(flat) // _PART), pa.int32()),
-                pa.array([float(len(starts))] * -(-len(flat) // _PART), pa.float64()),
+                pa.array([float(learned)] * -(-len(flat) // _PART), pa.float64()),
                 pa.array([flat[i : i + _PART].tobytes() for i in range(0, len(flat), _PART)], pa.binary()),
             ],
             names=["slice", "part", "weight", "flat"],
@@ -149,15 +172,15 @@ def _added(table: pa.Table) -> pa.Table:
 _SLICES = "slice int, part int, weight double, flat binary"
 
 
-def trained(docs: DataFrame, cut: Subwords, counts: np.ndarray, share: int = TRAIN_SHARE, rounds: int = ROUNDS) -> np.ndarray:
-    """Parameters after ``rounds`` of training on one in ``share`` documents, chosen by hash, so the work grows with the corpus."""
+def trained(docs: DataFrame, cut: Subwords, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Parameters after ``rounds`` of training on all documents, so the work grows with the corpus."""
     spark = docs.sparkSession
     flat = attention.packed(attention.started())
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(text_of().alias("text"))
+    texts = docs.select(text_of().alias("text"))
     for seed in range(rounds):
         shared = spark.sparkContext.broadcast((flat, cut, counts, seed))
         # two levels, so that no group holds a row of every task
-        some = chosen.mapInArrow(_trained(shared), _SLICES).groupBy("slice", F.col("part") % 16).applyInArrow(lambda t: _added(t), _SLICES)
+        some = texts.mapInArrow(_trained(shared), _SLICES).groupBy("slice", F.col("part") % 16).applyInArrow(lambda t: _added(t), _SLICES)
         got = some.groupBy("slice").applyInArrow(lambda t: _added(t), _SLICES).collect()  # one copy of the parameters
         if got:
             flat = np.concatenate([np.frombuffer(r["flat"]) / r["weight"] for r in sorted(got, key=lambda r: r["slice"])]).astype(np.float32)
