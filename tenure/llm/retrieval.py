@@ -21,7 +21,10 @@ from tenure.llm.common import text_of
 
 PASSAGE, PASSAGE_STEP = 32, 16
 WINDOW_STEP = 32  # windows are two steps long, so every passage lies whole in one
-BLOCK_WORDS = 100_000
+BLOCK_WORDS = 20_000
+# Axes of a block: at least AXES, and one for so many passages, so that a larger block keeps as much of them.
+AXES, PASSAGES_PER_AXIS = 128, 3
+ANSWER, ANSWER_SPAN = 5, 8
 _TOKENS = 40_000
 
 
@@ -124,10 +127,21 @@ def common_subsequence(a: list, b: list) -> int:
     return len(a) - state.bit_count()
 
 
+def closest_span(a: list, b: list, width: int) -> tuple[int, int]:
+    """(length, start) of the longest common subsequence of ``a`` and ``width`` neighbouring words of ``b``."""
+    known, best = set(a), (0, 0)
+    for start in range(len(b)):
+        if b[start] in known:
+            best = max(best, (common_subsequence(a, b[start : start + width]), -start))
+            if best[0] == len(a) or start + width >= len(b):
+                break
+    return best[0], -best[1]
+
+
 class Index:
     """One block of items in latent space."""
 
-    def __init__(self, spark: SparkSession, items, docs: DataFrame, rank: int = 128):
+    def __init__(self, spark: SparkSession, items, docs: DataFrame):
         self.items = items
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in items for w in words))}
         shared = spark.sparkContext.broadcast(self.vocabulary)
@@ -142,7 +156,7 @@ class Index:
             at, n = np.unique([self.vocabulary[w] for w in items[i][1][a:b]], return_counts=True)
             weights = n * idf[at]
             rows.append((at.tolist(), (weights / max(np.linalg.norm(weights), 1e-12)).tolist()))
-        axes = randomised_svd(spark, rows, len(self.vocabulary), min(rank, len(rows)))
+        axes = randomised_svd(spark, rows, len(self.vocabulary), min(max(AXES, -(-len(rows) // PASSAGES_PER_AXIS)), len(rows)))
         self.words = (axes * idf[:, None]).astype(np.float32)
         latent = np.zeros((len(rows), axes.shape[1]), np.float32)
         for r, (i, a, b) in enumerate(self.cut):
@@ -152,24 +166,33 @@ class Index:
         self.unit = latent / np.sqrt(self.squared)[:, None]
 
 
-def _searched(index, min_cosine: float, min_cover: float, min_match: float, min_paraphrase: float, paraphrase_cosine: float):
+def _searched(index, min_cover: float, min_match: float, min_paraphrase: float, paraphrase_cosine: float):
     def run(batches):
         one: Index = index.value
         known, vectors, unit, length = one.vocabulary, one.words, one.unit, np.sqrt(one.squared)
         words_of = [[known[w] for w in one.items[i][1][a:b]] for i, a, b in one.cut]
-        ends = [[known[w] for w in words[-5:]] for _, words in one.items]
+        ends = [[known[w] for w in words[-ANSWER:]] for _, words in one.items]
 
-        def judged(ids: np.ndarray, near: list[tuple[int, int, float]]) -> dict[int, tuple]:
-            """The best span of each item among the candidates (window, passage, cosine) of one document."""
+        def judged(ids: np.ndarray, near: list[tuple[int, int]]) -> dict[int, tuple]:
+            """The best span of each item among the candidates (window, passage) of one document."""
             best: dict[int, tuple] = {}
-            for window, p, cosine in near:
-                item = one.cut[p][0]
+            for window, p in near:
+                item, start, _end = one.cut[p]
                 low, high = max(0, (window - 1) * WINDOW_STEP), (window + 3) * WINDOW_STEP
-                here = ids[low:high].tolist()
-                share = common_subsequence(words_of[p], here) / len(words_of[p])
+                here, size = ids[low:high].tolist(), len(words_of[p])
+                at_most = common_subsequence(words_of[p], here) / size  # in a longer span, so no span has more
+                if at_most < min_paraphrase or (item in best and best[item][0] >= at_most):
+                    continue
+                width = -(-3 * size // 2)
+                found, at = closest_span(words_of[p], here, width)
+                share, at = found / size, low + at
                 if share < min_paraphrase or (item in best and best[item][0] >= share):
                     continue
-                answer = common_subsequence(ends[item], ids[low : high + 3 * WINDOW_STEP].tolist()) / len(ends[item])
+                span = ids[at : at + width]
+                state = vectors[span[span >= 0]].sum(0)
+                cosine = float(state @ unit[p] / max(float(np.sqrt((state**2).sum())), 1e-9))
+                rest = ids[at : at - (-3 * (len(one.items[item][1]) - start) // 2)].tolist()
+                answer = closest_span(ends[item], rest, ANSWER_SPAN)[0] / len(ends[item])
                 if share >= min_match or (answer >= 0.8 and cosine >= paraphrase_cosine):
                     best[item] = (share, cosine, answer, low)
             return best
@@ -191,13 +214,12 @@ def _searched(index, min_cosine: float, min_cover: float, min_match: float, min_
             inner[first[1:] - 1] = False  # a document's last step has none after it
             whole[inner] += sums[1:][inner]
             dots = whole @ unit.T
-            norms = np.sqrt((whole**2).sum(1))
-            near = (dots >= min_cover * length) & (dots >= min_cosine * norms[:, None])
+            near = dots >= min_cover * length
             window, passage = np.nonzero(near)
             owner = np.searchsorted(first, window, side="right") - 1
             for d in np.unique(owner):
                 mine = owner == d
-                cases = [(int(w - first[d]), int(p), float(dots[w, p] / norms[w])) for w, p in zip(window[mine], passage[mine], strict=True)]
+                cases = [(int(w - first[d]), int(p)) for w, p in zip(window[mine], passage[mine], strict=True)]
                 for item, (share, cosine, answer, low) in judged(docs[d][1], cases).items():
                     yield docs[d][0], one.items[item][0], share, cosine, answer, low
 
@@ -225,18 +247,19 @@ _FOUND = "doc_id long, item_id long, match double, cosine double, answer double,
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.2, min_cover: float = 0.35, min_match: float = 0.8,
+    docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.35, min_match: float = 0.8,
     min_paraphrase: float = 0.6, paraphrase_cosine: float = 0.6,
 ) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
-    doc_id, item_id, match (longest common subsequence as a share of the item's passage),
-    cosine (of window and passage in latent space), answer (how much of the item's last
-    five words follow in order), near_word (where the searched window begins).
+    doc_id, item_id, match (longest common subsequence as a share of the item's passage, in
+    a span of 1.5 times its length), cosine (of span and passage in latent space), answer
+    (how much of the item's last five words follow in order within eight), near_word (where
+    the searched window begins).
 
-    A window is a candidate for a passage if its cosine is at least ``min_cosine`` and it
-    holds ``min_cover`` of the passage's weight. A candidate counts with ``min_match``, or
-    with ``min_paraphrase`` and its answer (0.8 of it).
+    A window is a candidate for a passage if it holds ``min_cover`` of the passage's weight,
+    whatever else stands in it. A candidate counts with ``min_match``, or with
+    ``min_paraphrase``, its answer (0.8 of it) and ``paraphrase_cosine``.
 
     Null or empty texts, on either side, hold nothing; items with a null id are left out;
     a null doc_id is reported as null; repeated rows are reported each. Empty tables give
@@ -246,7 +269,7 @@ def contaminated(
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     for items in blocks(benchmark):
         index = spark.sparkContext.broadcast(Index(spark, items, docs))  # bounded by the block
-        found = rows.mapInArrow(_searched(index, min_cosine, min_cover, min_match, min_paraphrase, paraphrase_cosine), _FOUND)
+        found = rows.mapInArrow(_searched(index, min_cover, min_match, min_paraphrase, paraphrase_cosine), _FOUND)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], _FOUND) if out is None else out
 
