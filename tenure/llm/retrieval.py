@@ -275,6 +275,10 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, in their own columns."""
-    leaks = contaminated(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_leak"]), "left_anti")
+    """The documents that hold no benchmark item, in their own columns.
+
+    Leaks are told by the text, so rows with a null or repeated doc_id are judged each by its own.
+    """
+    key = F.xxhash64(text_of())
+    leaks = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, key == leaks["_leak"], "left_anti")

@@ -22,3 +22,11 @@ def test_scattered_words_are_no_item(spark):
     docs = [(1, scattered), (2, "a b c " + " ".join(item) + " d e f"), (3, "a b " + " filler ".join(item[:4]) + " " + " ".join(item[4:]))]
     assert _found(spark, docs, [(7, " ".join(item))]) == {(2, 7), (3, 7)}
     assert retrieval.closest_span(list("abc"), list("xaxxbxabyc"), 4) == (3, 6)
+
+
+def test_stage_judges_rows_without_an_id_each(spark):
+    item = "when does the river bend towards the old mill"
+    docs = [(None, f"so {item} then"), (None, "a clean text"), (None, "another clean text"), (4, "one more"), (4, f"{item} again"), (4, "one more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = retrieval.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r["text"] for r in left) == ["a clean text", "another clean text", "one more", "one more"]
