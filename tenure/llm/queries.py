@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tenure.llm import compression, html_text, language_model, licenses, line_dedup, line_frequency, mixing, near_dedup, preferences, retrieval
+from tenure.llm import (
+    compression, hard_negatives, html_text, language_model, lexical, licenses, line_dedup, line_frequency, mixing, near_dedup, preferences, repeats, retrieval,
+)
 from tenure.llm.registry import query, table
 
 _WS = r"[\x20\x09-\x0D]"
@@ -144,3 +146,52 @@ def _(spark, sf):
 @query("op10_license_scan")
 def _(spark, sf):
     return licenses.scan(table(spark, sf, "documents")).drop("spans")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP11 = f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+  s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+  i AS (SELECT item_id, t, count(*) AS k FROM (SELECT item_id, unnest(regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_TERM}')) AS t FROM benchmark) GROUP BY ALL),
+  v AS (SELECT row, t, count(*) AS tf FROM (SELECT row, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+  g AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM v, s GROUP BY t, docs),
+  m AS (SELECT row, doc_id, 25 + (75 * len(w) * docs) // total AS m FROM d, s),
+  r AS (SELECT item_id, row, doc_id, sum(k * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM i JOIN v USING (t) JOIN g USING (t) JOIN m USING (row) GROUP BY ALL)
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query("op11_fp_tree_search", _OP11)
+def _(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+_OP12 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum([p[1] * p[2] FOR p IN list_zip(a.x, b.x)])::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+  SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id,
+    positive_score, score AS negative_score FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10"""
+
+
+@query("op12_cover_tree_negatives", _OP12)
+def _(spark, sf):
+    return hard_negatives.mine(table(spark, sf, "embeddings"))
+
+
+_OP13 = f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+  g AS (SELECT doc_id, unnest([array_to_string(w[i:i + 19], ' ') FOR i IN range(1, len(w) - 18)]) AS g, unnest(range(1, len(w) - 18)) AS i FROM t WHERE len(w) >= 20),
+  f AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+  r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f),
+  x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+  k AS (SELECT x.doc_id, count(*) AS n_words, count(r.p) AS n_removed, string_agg(word, ' ' ORDER BY x.p) FILTER (r.p IS NULL) AS kept
+    FROM x LEFT JOIN r ON x.doc_id = r.doc_id AND x.p = r.p GROUP BY x.doc_id)
+  SELECT t.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)"""
+
+
+@query("op13_suffix_tree_dedup", _OP13)
+def _(spark, sf):
+    done = repeats.removed(table(spark, sf, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))

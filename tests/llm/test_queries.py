@@ -17,7 +17,7 @@ NAMES = sorted(registry.QUERIES)
 @pytest.fixture(scope="module")
 def sql(small):
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     return c
 
@@ -26,8 +26,8 @@ def _texts(sql):
     return dict(sql.execute("SELECT doc_id, text FROM documents").fetchall())
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
