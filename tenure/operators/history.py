@@ -64,7 +64,7 @@ class Cursor:
 START = Cursor()
 
 
-def _page_limit(limit: int) -> int:
+def page_limit(limit: int) -> int:
     if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
         raise ValueError(f"limit must be a positive integer, got {limit!r}")
     return min(limit, fixed.MAX_PAGE)
@@ -74,7 +74,7 @@ def page(
     events: DataFrame, after: Cursor = START, watermark: int | None = None, limit: int = fixed.DEFAULT_PAGE, step_id=None
 ) -> DataFrame:
     """The next events in (xid, id) order that no running transaction can still precede."""
-    size = _page_limit(limit)
+    size = page_limit(limit)
     xid, id_ = F.col("xid"), F.col("id")
     # The comparison on xid alone prunes row groups; the rest settles ties.
     rows = events.where((xid >= after.xid) & ((xid > after.xid) | (id_ > after.id)))

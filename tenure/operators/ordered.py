@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenure.session import scratch_path
+
 _SLICE = "__slice"
 FAN = 1024
 
@@ -115,3 +117,24 @@ def join_one(many: DataFrame, one: DataFrame, keys: Sequence[str], slice_by: Col
     rows = many.withColumn(_SLICE, slice_by)
     placed = rows.select(*keys, _SLICE).distinct().join(one, keys)
     return rows.join(placed, [*keys, _SLICE], how).drop(_SLICE)
+
+
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """``df`` plus each row's place in ``order``, from 1, without a task that sees all rows.
+
+    Rows are written sorted by range; a row's place is its place in its range after the
+    sizes of the ranges before, one row each. ``order`` must tell all rows apart.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "ranked")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The number holds the range in its upper 31 bits and counts the range's rows in the lower 33.
+    ranges.withColumn("__id", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.schema(df.schema.add("__id", "long")).parquet(path)
+    rows = rows.withColumn("__range", F.shiftrightunsigned("__id", 33))
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.join(sizes.select("__range", before.alias("__before")), "__range")
+    place = F.col("__before") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.select(*df.columns, place.alias(name))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.functions.scalars import instant, plus_ms, seconds_between, tenth
+from tenure.operators.ordered import ranked
 
 
 def _claim_order():
@@ -70,18 +71,17 @@ def excluding_busy(steps: DataFrame, busy: DataFrame) -> DataFrame:
     return steps.join(busy.select("step_id").distinct(), "step_id", "left_anti")
 
 
-def assign_batch(steps: DataFrame, workers: DataFrame, as_of, lease_ms: int, k: int) -> DataFrame:
-    """Match the first ``k`` claimable steps with the first ``k`` workers, one each.
+def assign_batch(steps: DataFrame, workers: DataFrame, as_of, lease_ms: int, k: int | None = None) -> DataFrame:
+    """Match the first ``k`` claimable steps with the first ``k`` workers, one each; all of them without ``k``.
 
-    Returns the after-image of each claim, with the worker's id. Only the ``k``
-    selected rows of either side are numbered in one partition, so ``k`` is the
-    number of idle workers, not a table size.
+    Returns the after-image of each claim, with the worker's id. Both sides are ranked by
+    range, see :func:`tenure.operators.ordered.ranked`, so ``k`` may be as large as a table.
     """
     now = instant(as_of)
-    order = Window.orderBy(*_claim_order())
-    chosen = next_claimable(steps, as_of, k).withColumn("slot", F.row_number().over(order))
-    idle = workers.select("worker_id").distinct().orderBy("worker_id").limit(k)
-    idle = idle.withColumn("slot", F.row_number().over(Window.orderBy("worker_id")))
+    chosen = ranked(claimable(steps, as_of), _claim_order(), "slot")
+    idle = ranked(workers.select("worker_id").distinct(), [F.col("worker_id")], "slot")
+    if k is not None:
+        chosen, idle = chosen.where(F.col("slot") <= k), idle.where(F.col("slot") <= k)
     return (
         chosen.join(idle, "slot")
         .drop("slot")

@@ -145,13 +145,14 @@ _REQUESTS = """asked AS (SELECT lower(step_id) AS id, available_at, step_id, 'st
         FROM asked a LEFT JOIN kept s USING (idempotency_key)""",
         _CHECKED,
         _REQUESTS,
-        """kept AS (SELECT 'step:abcdef01-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || ':demo_receipt' AS idempotency_key,
-            'val-' || (o_orderkey + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END) AS val FROM orders WHERE o_orderkey % 3 = 0)""",
+        """kept AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'step:abcdef01-0000-4000-8000-' ELSE 'step:abcdef02-0000-4000-8000-' END || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') || ':demo_receipt' AS idempotency_key,
+            'val-' || (o_orderkey + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 0 END) AS val FROM orders)""",
     ),
 )
 def _(spark, sf):
-    o = v.table(spark, sf, "orders").where(F.col("o_orderkey") % 3 == 0)
-    step_id = F.concat(F.lit("abcdef01-0000-4000-8000-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
+    """A third of the stored receipts belong to the tasks' steps, the others to steps of somebody else."""
+    o = v.table(spark, sf, "orders")
+    step_id = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "abcdef01-0000-4000-8000-").otherwise("abcdef02-0000-4000-8000-"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
     value = F.concat(F.lit("val-"), (F.col("o_orderkey") + F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0)).cast("string"))
     store = o.select(
         scalars.effect_key(step_id).alias("idempotency_key"),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tenure.functions import fixed
+from tenure.operators import grammar, metrics
 from tenure.operators import history as h
-from tenure.operators import metrics
+from tenure.operators.ordered import Running, running
 from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.views import EVENTS_START, LOG_SLICE, with_views
+from tenure.session import scratch_path
+from tenure.sources.event_log import EventLog
 from tenure.sources.sinks import event_wire
 
 _TERMINAL = "('STEP_SUCCEEDED', 'STEP_DEAD_LETTERED')"
@@ -71,6 +74,33 @@ def _(spark, sf):
     return h.page(v.plain_events(spark, sf), watermark=_WATERMARK, step_id=7).select("id", "xid", "step_id", "event_type")
 
 
+def _laid_out(spark, sf) -> EventLog:
+    """The log taken in by three batches, in files of a few pages."""
+    log = EventLog(scratch_path(spark, "event-log"), rows_per_file=2_000)
+    e = v.plain_events(spark, sf).select("id", "xid", "step_id", "event_type")
+    for batch in range(3):
+        log.append(e.where(F.pmod(F.floor(F.col("id") / 1_000), F.lit(3)) == batch), batch)
+    return log
+
+
+@query(
+    "evt2_page_from_files",
+    with_views(f"{_PAGE} WHERE xid < {_WATERMARK} AND (xid > 400 OR (xid = 400 AND id > 390)) ORDER BY xid, id LIMIT 500"),
+)
+def _(spark, sf):
+    return _laid_out(spark, sf).page(spark, h.Cursor(400, 390), _WATERMARK, limit=500)
+
+
+@query("evt2_page_of_step_from_files", with_views(f"{_PAGE} WHERE xid > 100 AND step_id = 7 ORDER BY xid, id LIMIT 20"))
+def _(spark, sf):
+    return _laid_out(spark, sf).page(spark, h.Cursor(100, 2**62), limit=20, step_id=7)
+
+
+@query("evt3_cursor_from_files", with_views("SELECT xid, id FROM v_plain_events WHERE id = 777"))
+def _(spark, sf):
+    return _laid_out(spark, sf).cursor_of(spark, 777)
+
+
 @query("evt3_resolve_cursor", with_views("SELECT xid, id FROM v_plain_events WHERE id = 777"))
 def _(spark, sf):
     return h.cursor_of(v.plain_events(spark, sf), 777)
@@ -116,6 +146,17 @@ def _(spark, sf):
 
 
 _BY_DAY = "CAST(step_id * 1000 + floor((epoch_us(created_at) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000) AS BIGINT)"
+_SHORT = f"""short AS (SELECT day_id AS step_id, id, xid, event_type, CAST(sum(CASE WHEN event_type = 'STEP_CLAIMED' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY day_id ORDER BY xid, id) AS INTEGER) AS lease_version
+    FROM (SELECT *, {_BY_DAY} AS day_id FROM v_plain_events))"""
+
+
+def _short(spark, sf):
+    """Histories per user and day, short enough that some are as expected."""
+    day = F.floor((F.unix_micros("created_at") - F.unix_micros(F.lit(EVENTS_START).cast("timestamp"))) / 86_400_000_000)
+    e = v.plain_events(spark, sf).withColumn("step_id", (F.col("step_id") * 1000 + day).cast("bigint"))
+    claimed = F.when(F.col("event_type") == fixed.STEP_CLAIMED, 1).otherwise(0)
+    return running(e, ["step_id"], ["xid", "id"], h.xid_slice(LOG_SLICE), lease_version=Running("sum", claimed))
 
 
 @query(
@@ -123,20 +164,66 @@ _BY_DAY = "CAST(step_id * 1000 + floor((epoch_us(created_at) - epoch_us(TIMESTAM
     with_views(
         """SELECT step_id, count(*) AS n_events FROM short GROUP BY step_id
         HAVING string_agg(event_type || ':v' || lease_version, ' ' ORDER BY xid, id) <> 'STEP_CLAIMED:v1 LEASE_RECOVERED:v1'""",
-        f"""short AS (SELECT day_id AS step_id, id, xid, event_type, CAST(sum(CASE WHEN event_type = 'STEP_CLAIMED' THEN 1 ELSE 0 END)
-            OVER (PARTITION BY day_id ORDER BY xid, id) AS INTEGER) AS lease_version
-            FROM (SELECT *, {_BY_DAY} AS day_id FROM v_plain_events))""",
+        _SHORT,
     ),
 )
 def _(spark, sf):
-    """Histories per user and day, short enough that some are as expected."""
-    from tenure.operators.ordered import Running, running
+    return h.conformance(_short(spark, sf), "STEP_CLAIMED:v1 LEASE_RECOVERED:v1", LOG_SLICE)
+
+
+def _walked(pattern: grammar.Automaton, events: str) -> tuple[str, ...]:
+    """The same automaton walked event by event."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    moves = ", ".join(f"({', '.join(map(text, m))})" for m in pattern.moves)
+    accepting = ", ".join(map(text, pattern.accepting))
+    return (
+        f"""SELECT step_id, max(n) AS n_events, arg_max(state, n) AS state, arg_max(state, n) IN ({accepting}) AS accepted,
+          max(bad) AS first_illegal_id, bool_and(steady) AS generations_ok FROM walk WHERE n > 0 GROUP BY step_id""",
+        f"moves AS (SELECT * FROM (VALUES {moves}) m(a, e, b))",
+        f"""listed AS (SELECT *, row_number() OVER w AS n, lease_version = count(*) FILTER (event_type = 'STEP_CLAIMED') OVER w AS steady
+          FROM {events} WINDOW w AS (PARTITION BY step_id ORDER BY xid, id ROWS UNBOUNDED PRECEDING))""",
+        f"""walk AS (SELECT step_id, 0::BIGINT AS n, {text(pattern.start)} AS state, NULL::BIGINT AS bad, true AS steady FROM (SELECT DISTINCT step_id FROM listed)
+          UNION ALL SELECT w.step_id, l.n, coalesce(m.b, '{grammar.DEAD}'), CASE WHEN bad IS NULL AND m.b IS NULL THEN l.id ELSE bad END, l.steady
+          FROM walk w JOIN listed l ON l.step_id = w.step_id AND l.n = w.n + 1 LEFT JOIN moves m ON m.a = w.state AND m.e = l.event_type)""",
+    )
 
-    day = F.floor((F.unix_micros("created_at") - F.unix_micros(F.lit(EVENTS_START).cast("timestamp"))) / 86_400_000_000)
-    e = v.plain_events(spark, sf).withColumn("step_id", (F.col("step_id") * 1000 + day).cast("bigint"))
-    claimed = F.when(F.col("event_type") == fixed.STEP_CLAIMED, 1).otherwise(0)
-    e = running(e, ["step_id"], ["xid", "id"], h.xid_slice(LOG_SLICE), lease_version=Running("sum", claimed))
-    return h.conformance(e, "STEP_CLAIMED:v1 LEASE_RECOVERED:v1", LOG_SLICE)
+
+def _recursive(body: str, *ctes: str) -> str:
+    return with_views(body, *ctes, recursive=True)
+
+
+_BUDGET = grammar.lifecycle(max_attempts=3)
+_OPEN, _ONE, _TWO = "as new", "one retry", "two retries"
+# At most two retries in a row; every other event takes the count back.
+_RETRIES = grammar.Automaton(
+    _OPEN,
+    (_OPEN, _ONE),
+    (
+        *[(s, e, _OPEN) for s in (_OPEN, _ONE, _TWO) for e in ("STEP_CLAIMED", "STEP_SUCCEEDED", "LEASE_RECOVERED", "RETRY_READY")],
+        (_OPEN, "STEP_RETRY_SCHEDULED", _ONE),
+        (_ONE, "STEP_RETRY_SCHEDULED", _TWO),
+    ),
+)
+
+
+_WALKED = _walked(_BUDGET, "short")
+
+
+@query("evt7_pattern", _recursive(_WALKED[0], _SHORT, *_WALKED[1:]))
+def _(spark, sf):
+    """Histories of a user's day: any crashes and retries in up to three claims, then an end."""
+    return grammar.matches(_short(spark, sf), _BUDGET)
+
+
+_HOT = "hot AS (SELECT * REPLACE (CASE WHEN step_id % 3 = 0 THEN 0 ELSE step_id END AS step_id) FROM v_events)"
+_HOT_WALKED = _walked(_RETRIES, "hot")
+
+
+@query("evt7_pattern_of_long_histories", _recursive(_HOT_WALKED[0], _HOT, *_HOT_WALKED[1:]))
+def _(spark, sf):
+    """Whole histories, a third of all events in one of them."""
+    e = v.events(spark, sf).withColumn("step_id", F.when(F.col("step_id") % 3 == 0, 0).otherwise(F.col("step_id")).cast("bigint"))
+    return grammar.matches(e, _RETRIES)
 
 
 _PAIRS = ", ".join(f"'{a or ''}>{b}'" for a, b in fixed.EVENT_SUCCESSORS)

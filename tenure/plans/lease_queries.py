@@ -9,7 +9,7 @@ from tenure.operators.history import event_data
 from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.views import EVENTS_END, LEASE_MS, STEP_LEASE_MS, with_views
-from tenure.session import cut_lineage
+from tenure.session import written
 
 _LEASE = f"to_milliseconds({LEASE_MS})"
 _STEP_LEASE = f"to_milliseconds({STEP_LEASE_MS})"
@@ -189,51 +189,61 @@ def _(spark, sf):
     return rows.select(*_ENDED, "last_error", "available_at", event_data().alias("data"))
 
 
-def replay_ctes(as_of: str, writes: str = "v_fold_writes") -> tuple[str, ...]:
+_FRESH = """SELECT DISTINCT step_id, 'READY' AS status, 0 AS version, 0 AS attempts, 3 AS budget, CAST(NULL AS VARCHAR) AS worker,
+    CAST(NULL AS TIMESTAMP) AS deadline, CAST(NULL AS TIMESTAMP) AS due FROM logged"""
+
+
+def replay_ctes(as_of: str, writes: str = "v_fold_writes", start: str = _FRESH) -> tuple[str, ...]:
     """The row-by-row replay as a recursive query; a closing END row applies the timers at ``as_of``."""
-    backoff = "to_milliseconds(CAST(500 * power(2, least(greatest(version - 1, 0), 3)) AS BIGINT))"
+    backoff = "to_milliseconds(CAST(500 * power(2, least(greatest(attempts - 1, 0), 3)) AS BIGINT))"
     return (
         f"""logged AS (
             SELECT step_id, seq, ts, op, worker_id, lease_version, retryable, error, result FROM {writes} WHERE ts <= {as_of}
             UNION ALL SELECT DISTINCT step_id, 9223372036854775807, {as_of}, 'END', NULL, NULL, NULL, NULL, NULL
-              FROM {writes} WHERE ts <= {as_of})""",
+              FROM (SELECT step_id FROM {writes} WHERE ts <= {as_of}{_also(start)}))""",
         "numbered AS (SELECT *, row_number() OVER (PARTITION BY step_id ORDER BY ts, seq) AS rn FROM logged)",
         f"""replay AS (
-            SELECT DISTINCT step_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, '' AS op,
-              'READY' AS before, 'READY' AS status, 0 AS version, CAST(NULL AS VARCHAR) AS worker, CAST(NULL AS TIMESTAMP) AS deadline,
-              CAST(NULL AS TIMESTAMP) AS due, CAST(NULL AS VARCHAR) AS last_error, CAST(NULL AS VARCHAR) AS result,
-              false AS accepted, 'READY' AS was, CAST(NULL AS VARCHAR) AS old_worker, CAST(NULL AS TIMESTAMP) AS old_deadline,
+            SELECT step_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS TIMESTAMP) AS ts, '' AS op,
+              status AS before, status, version, attempts, budget, worker, deadline,
+              due, CAST(NULL AS VARCHAR) AS last_error, CAST(NULL AS VARCHAR) AS result,
+              false AS accepted, status AS was, CAST(NULL AS VARCHAR) AS old_worker, CAST(NULL AS TIMESTAMP) AS old_deadline,
               CAST(NULL AS TIMESTAMP) AS old_due, 0 AS old_version
-            FROM logged
+            FROM ({start})
             UNION ALL
             SELECT step_id, rn, seq, ts, op, before,
               CASE WHEN NOT ok THEN before WHEN op = 'CLAIM' THEN 'RUNNING' WHEN op = 'COMPLETE' THEN 'SUCCEEDED'
-                WHEN op = 'FAIL' THEN CASE WHEN retryable AND version < 3 THEN 'RETRY_WAIT' ELSE 'DEAD_LETTERED' END ELSE before END,
+                WHEN op = 'FAIL' THEN CASE WHEN retryable AND attempts < budget THEN 'RETRY_WAIT' ELSE 'DEAD_LETTERED' END ELSE before END,
               CASE WHEN ok AND op = 'CLAIM' THEN version + 1 ELSE version END,
+              CASE WHEN ok AND op = 'CLAIM' THEN attempts + 1 ELSE attempts END, budget,
               CASE WHEN ok AND op = 'CLAIM' THEN worker_id WHEN ok AND op IN ('COMPLETE', 'FAIL') THEN NULL
                 WHEN before <> 'RUNNING' THEN NULL ELSE worker END,
               CASE WHEN ok AND op IN ('CLAIM', 'RENEW') THEN ts + {_LEASE} WHEN ok AND op IN ('COMPLETE', 'FAIL') THEN NULL
                 WHEN before <> 'RUNNING' THEN NULL ELSE deadline END,
-              CASE WHEN ok AND op = 'FAIL' AND retryable AND version < 3 THEN ts + {backoff} WHEN ok AND op = 'CLAIM' THEN NULL
+              CASE WHEN ok AND op = 'FAIL' AND retryable AND attempts < budget THEN ts + {backoff} WHEN ok AND op = 'CLAIM' THEN NULL
                 WHEN was = 'RUNNING' AND before <> 'RUNNING' THEN NULL ELSE due END,
               CASE WHEN ok AND op = 'FAIL' THEN error ELSE last_error END,
               CASE WHEN ok AND op = 'COMPLETE' THEN new_result ELSE result END,
               ok, was, worker, deadline, due, version
             FROM (
-              SELECT *, coalesce(CASE WHEN op = 'CLAIM' THEN before = 'READY' AND version < 3
+              SELECT *, coalesce(CASE WHEN op = 'CLAIM' THEN before = 'READY' AND attempts < budget AND coalesce(due <= ts, true)
                   WHEN op = 'END' THEN false
                   ELSE before = 'RUNNING' AND worker_id = worker AND lease_version = version AND deadline > ts END, false) AS ok
               FROM (
                 SELECT n.step_id, n.rn, n.seq, n.ts, n.op, n.worker_id, n.lease_version, n.retryable, n.error, n.result AS new_result,
-                  r.status AS was, r.version, r.worker, r.deadline, r.due, r.last_error, r.result,
-                  CASE WHEN r.status = 'RUNNING' AND r.deadline <= n.ts THEN CASE WHEN r.version < 3 THEN 'READY' ELSE 'DEAD_LETTERED' END
+                  r.status AS was, r.version, r.attempts, r.budget, r.worker, r.deadline, r.due, r.last_error, r.result,
+                  CASE WHEN r.status = 'RUNNING' AND r.deadline <= n.ts THEN CASE WHEN r.attempts < r.budget THEN 'READY' ELSE 'DEAD_LETTERED' END
                     WHEN r.status = 'RETRY_WAIT' AND r.due <= n.ts THEN 'READY' ELSE r.status END AS before
                 FROM replay r JOIN numbered n ON n.step_id = r.step_id AND n.rn = r.rn + 1)))""",
     )
 
 
+def _also(start: str) -> str:
+    """Steps that have no write, where the start names them."""
+    return "" if start == _FRESH else f" UNION SELECT step_id FROM ({start})"
+
+
 REPLAY_DECISIONS = "SELECT step_id, seq, op, accepted FROM replay WHERE rn > 0 AND op <> 'END'"
-REPLAY_STATE = """SELECT step_id, status, version AS lease_version, version AS attempt_count,
+REPLAY_STATE = """SELECT step_id, status, version AS lease_version, attempts AS attempt_count,
     worker AS current_worker_id, deadline AS lease_expires_at, due AS available_at, last_error, result
     FROM replay WHERE op = 'END'"""
 REPLAY_EVENTS = """
@@ -256,7 +266,7 @@ _END = f"TIMESTAMP '{EVENTS_END}'"
 
 def _log(spark, sf):
     """The writes as a written table, which a log of owner writes is; every round reads it."""
-    return cut_lineage(v.fold_writes(spark, sf))
+    return written(v.fold_writes(spark, sf), "fold-writes")
 
 
 @query("stm2_fold_decisions", with_views(REPLAY_DECISIONS, *replay_ctes(_END), recursive=True))
@@ -276,3 +286,65 @@ def _(spark, sf):
 def _(spark, sf):
     rows = fold.fold_events(fold.lifecycle_fold(_log(spark, sf), EVENTS_END, LEASE_MS), EVENTS_END)
     return rows.select("step_id", "lease_version", "event_type", "created_at", "worker_id", "reason", "error")
+
+
+# Every kind of step at the start, with budgets of their own; every seventh is not known.
+_BEGUN = """begun AS (SELECT DISTINCT step_id, CASE step_id % 7 WHEN 3 THEN 'RETRY_WAIT' WHEN 4 THEN 'RUNNING' WHEN 5 THEN
+    CASE WHEN step_id % 2 = 0 THEN 'PENDING' ELSE 'SUCCEEDED' END ELSE 'READY' END AS status,
+  CAST(step_id % 2 AS INTEGER) AS version, CAST(step_id % 3 AS INTEGER) AS attempts, CAST(1 + step_id % 5 AS INTEGER) AS budget,
+  CASE WHEN step_id % 7 = 4 THEN 'w' || (step_id // 100 % 8) END AS worker,
+  CASE WHEN step_id % 7 = 4 THEN TIMESTAMP '2024-01-01' + to_days(CAST(3 * (step_id % 100) + 1 AS INTEGER)) END AS deadline,
+  TIMESTAMP '2024-01-01' + to_hours(CAST(step_id % 96 AS INTEGER)) AS available_at FROM v_fold_writes WHERE step_id % 7 <> 6)"""
+_START = """SELECT step_id, status, version, attempts, budget, worker, deadline, CASE WHEN status IN ('READY', 'RETRY_WAIT') THEN available_at END AS due FROM begun
+    UNION ALL SELECT DISTINCT step_id, 'READY', 0, 0, 3, NULL, NULL, NULL FROM v_fold_writes WHERE step_id % 7 = 6"""
+
+
+def _begun(log):
+    """The same steps as rows of the relation."""
+    c, day = F.col("step_id"), 86_400_000
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    held = c % 7 == 4
+    ended = F.when(c % 2 == 0, "PENDING").otherwise("SUCCEEDED")
+    return log.select("step_id").distinct().where(c % 7 != 6).select(
+        "step_id",
+        F.when(c % 7 == 3, "RETRY_WAIT").when(held, "RUNNING").when(c % 7 == 5, ended).otherwise("READY").alias("status"),
+        (c % 2).cast("int").alias("lease_version"),
+        (c % 3).cast("int").alias("attempt_count"),
+        (1 + c % 5).cast("int").alias("max_attempts"),
+        F.when(held, F.concat(F.lit("w"), (F.floor(c / 100) % 8).cast("string"))).alias("current_worker_id"),
+        F.when(held, v.plus_ms(start, (3 * (c % 100) + 1) * day)).alias("lease_expires_at"),
+        v.plus_ms(start, c % 96 * 3_600_000).alias("available_at"),
+        F.lit(None).cast("string").alias("last_error"),
+        F.lit(None).cast("string").alias("result"),
+    )
+
+
+_GIVEN = (_BEGUN, *replay_ctes(_END, start=_START))
+_GIVEN_STATE = REPLAY_STATE.replace("due AS available_at", "coalesce(due, available_at) AS available_at").replace(
+    "FROM replay", "FROM replay LEFT JOIN (SELECT step_id, available_at FROM begun) USING (step_id)"
+)
+
+
+def _replayed(spark, sf):
+    log = written(v.fold_writes(spark, sf), "fold-writes")
+    begun = written(_begun(log), "begun")
+    return log, begun, fold.lifecycle_fold(log, EVENTS_END, LEASE_MS, steps=begun)
+
+
+@query("stm2_given_decisions", with_views(REPLAY_DECISIONS, *_GIVEN, recursive=True))
+def _(spark, sf):
+    """Steps begin in any state, each with its own budget."""
+    log, _begun_rows, generations = _replayed(spark, sf)
+    return fold.fold_decisions(log, generations, EVENTS_END).select("step_id", "seq", "op", "accepted")
+
+
+@query("stm2_given_state", with_views(_GIVEN_STATE, *_GIVEN, recursive=True))
+def _(spark, sf):
+    log, begun, generations = _replayed(spark, sf)
+    return fold.fold_state(log, generations, EVENTS_END, begun)
+
+
+@query("stm2_given_events", with_views(REPLAY_EVENTS, *_GIVEN, recursive=True))
+def _(spark, sf):
+    rows = fold.fold_events(_replayed(spark, sf)[2], EVENTS_END)
+    return rows.select("step_id", "lease_version", "event_type", "created_at", "worker_id", "reason", "error")

@@ -29,7 +29,7 @@ def _(spark, sf):
             CASE WHEN g.n IS NULL THEN 'EVENT_WITHOUT_GRANT'
               WHEN NOT coalesce(g.n = 1 AND e.n = 1 AND g.owner = e.owner, false) THEN 'GRANT_WITHOUT_MATCHING_EVENT' END AS problem
           FROM (SELECT step_id, lease_version, count(*) AS n, min(claimer_id) AS owner FROM v_grants {_PAIR}) g
-          FULL JOIN (SELECT step_id, lease_version, count(*) AS n, min(worker_id) AS owner FROM v_grant_events {_PAIR}) e
+          FULL JOIN (SELECT step_id, lease_version, count(*) AS n, min(worker_id) AS owner FROM v_grant_events WHERE event_type = 'STEP_CLAIMED' {_PAIR}) e
             USING (step_id, lease_version))
         WHERE problem IS NOT NULL"""),
 )

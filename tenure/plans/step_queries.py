@@ -10,7 +10,8 @@ from tenure.operators.history import event_data
 from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.views import AS_OF, with_views
-from tenure.sources.relations import synthetic_steps
+from tenure.session import scratch_path
+from tenure.sources.relations import read_relation, synthetic_steps
 
 _ORDER = "ORDER BY priority DESC, available_at ASC, step_id ASC"
 _CLAIMABLE = f"""SELECT * FROM v_steps
@@ -18,9 +19,17 @@ _CLAIMABLE = f"""SELECT * FROM v_steps
 _SHORT = "step_id, priority, available_at"
 
 
-@query("src1_read_relation", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query(
+    "src1_read_relation",
+    with_views("""SELECT CAST(step_id AS VARCHAR) AS step_id, status, priority, available_at, current_worker_id, lease_version, attempt_count, max_attempts,
+        last_error, lease_expires_at, task_type, payload, result, CAST(NULL AS TIMESTAMP) AS created_at, CAST(NULL AS TIMESTAMP) AS updated_at FROM v_steps"""),
+)
 def _(spark, sf):
-    return v.table(spark, sf, "orders")
+    """Steps from files that lack two columns of the relation and hold the others in another order."""
+    path = scratch_path(spark, "steps")
+    s = v.steps(spark, sf).withColumn("step_id", F.col("step_id").cast("string"))
+    s.select(*sorted(s.columns)).write.parquet(path)
+    return read_relation(spark, path, "steps")
 
 
 @query(
@@ -269,24 +278,34 @@ def _(spark, sf):
 _K = 8
 
 
-@query(
-    "asg1_assign_batch",
-    with_views(
+def _assigned(workers: str, bound: str = "") -> str:
+    return with_views(
         f"""SELECT c.step_id, 'RUNNING' AS status, w.worker_id AS current_worker_id, lease_version + 1 AS lease_version,
           attempt_count + 1 AS attempt_count, TIMESTAMP '{AS_OF}' + INTERVAL 30 SECOND AS lease_expires_at,
           '{{"leaseVersion":' || (lease_version + 1) || ',"attemptCount":' || (attempt_count + 1) || '}}' AS data
         FROM (SELECT *, row_number() OVER ({_ORDER}) AS slot FROM ({_CLAIMABLE})) c
-        JOIN (SELECT worker_id, row_number() OVER (ORDER BY worker_id) AS slot FROM v_workers) w USING (slot)
-        WHERE slot <= {_K}"""
-    ),
-)
-def _(spark, sf):
-    claimed = select.assign_batch(v.steps(spark, sf), v.workers(spark, sf), AS_OF, fixed.DEFAULT_LEASE_MS, _K)
+        JOIN (SELECT worker_id, row_number() OVER (ORDER BY worker_id) AS slot FROM {workers}) w USING (slot) {bound}"""
+    )
+
+
+def _claims(claimed):
     told = claimed.withColumns({"event_worker_id": F.col("worker_id"), "reason": F.lit(None).cast("string")})
     columns = ("step_id", "status", "current_worker_id", "lease_version", "attempt_count", "lease_expires_at")
     return told.select(*columns, event_data().alias("data"))
 
 
+@query("asg1_assign_batch", _assigned("v_workers", f"WHERE slot <= {_K}"))
+def _(spark, sf):
+    return _claims(select.assign_batch(v.steps(spark, sf), v.workers(spark, sf), AS_OF, fixed.DEFAULT_LEASE_MS, _K))
+
+
+@query("asg1_assign_all", _assigned("(SELECT DISTINCT 'c' || l_suppkey || ':' || l_linenumber AS worker_id FROM lineitem)"))
+def _(spark, sf):
+    """Every worker there is, here one for each supplier and line number, gets a step while there are any."""
+    crew = v.table(spark, sf, "lineitem").select(F.concat(F.lit("c"), F.col("l_suppkey"), F.lit(":"), F.col("l_linenumber")).alias("worker_id"))
+    return _claims(select.assign_batch(v.steps(spark, sf), crew, AS_OF, fixed.DEFAULT_LEASE_MS))
+
+
 _RECOVERED = """
     SELECT step_id, CASE WHEN attempt_count < max_attempts THEN 'READY' ELSE 'DEAD_LETTERED' END AS status,
       CAST(NULL AS VARCHAR) AS current_worker_id, lease_version, attempt_count,

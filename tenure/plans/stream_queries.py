@@ -4,31 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tenure.functions import fixed
 from tenure.functions.scalars import plus_ms
-from tenure.operators import recover
+from tenure.operators import history, recover
 from tenure.plans import views as v
+from tenure.plans.arrivals import arriving, drain, drain_batches
 from tenure.plans.lease_queries import REPLAY_DECISIONS, REPLAY_EVENTS, replay_ctes
 from tenure.plans.registry import query
 from tenure.plans.step_queries import _EXPIRED_SQL, _RECOVERED
 from tenure.plans.views import AS_OF, LEASE_MS, with_views
 from tenure.session import scratch_path
 from tenure.sources.sinks import committed_events, current_state, write_transitions
+from tenure.sources.state import StateTable
 from tenure.streaming.batches import OrderedRelease, Sweeper, event_rate_stream
 from tenure.streaming.effects import EffectLog
 from tenure.streaming.heartbeats import heartbeat_stream
 from tenure.streaming.lifecycle import lifecycle_stream
-from tenure.streaming.run import arriving, drain, drain_batches
+from tenure.streaming.tail import Tail
 
 
 # The watermark counts in milliseconds.
 _CLOCK = "(SELECT date_trunc('milliseconds', max({0})) FROM {1})"
 
 
-@query("src2_tail_events", with_views("SELECT id, xid, step_id, event_type, created_at FROM v_plain_events"))
+@query(
+    "src2_tail_events",
+    with_views(f"""SELECT id, xid, step_id, event_type, created_at, position, (position - 1) // {fixed.STREAM_PAGE} AS page
+        FROM (SELECT *, row_number() OVER (ORDER BY xid, id) AS position FROM v_plain_events)
+        WHERE xid < (SELECT max(id) + 1 FROM v_plain_events)"""),
+)
 def _(spark, sf):
+    """The log arrives in three parts, each followed up to what no later commit can precede; pages of a poll's size."""
     e = v.plain_events(spark, sf).select("id", "xid", "step_id", "event_type", "created_at")
-    stream, steps = arriving(e, "log", "id", parts=3)
-    return drain(stream, "tail", steps)
+    news, steps = arriving(e, "log", "id", parts=3)
+    tail = Tail(steps.read, scratch_path(spark, "tail"), lambda log: log.agg(F.max("id") + 1).first()[0], slice_width=v.LOG_SLICE)
+    drain_batches(news, tail, "tail-state", steps)
+    return tail.events(spark)
 
 
 @query("snk1_write_transitions", with_views(f"{_RECOVERED} {_EXPIRED_SQL}"))
@@ -43,6 +54,54 @@ def _(spark, sf):
     return state.join(told, "step_id")
 
 
+_LATER = "1999-03-01 00:00:00"
+
+
+def _swept_until(spark, sf) -> StateTable:
+    """All steps taken in, swept at two times, with a snapshot in between."""
+    table = StateTable(scratch_path(spark, "swept"), buckets=8)
+    table.put(v.steps(spark, sf), 0)
+    table.commit(recover.sweep(table.state(spark, live_only=True), AS_OF), 1)
+    table.compact(spark, 1)
+    table.commit(recover.sweep(table.state(spark, live_only=True), _LATER), 2)
+    return table
+
+
+_SWEEPS = f"""sweeps AS (SELECT *,
+    CASE WHEN due_at <= TIMESTAMP '{AS_OF}' THEN 1 WHEN due_at <= TIMESTAMP '{_LATER}' THEN 2 END AS xid,
+    CASE WHEN status = 'RETRY_WAIT' THEN 'RETRY_READY' WHEN attempt_count < max_attempts THEN 'LEASE_RECOVERED' ELSE 'STEP_DEAD_LETTERED' END AS event_type
+  FROM (SELECT *, CASE status WHEN 'RUNNING' THEN lease_expires_at WHEN 'RETRY_WAIT' THEN available_at END AS due_at FROM v_steps))"""
+
+
+@query(
+    "snk1_snapshot_state",
+    with_views(
+        """SELECT step_id, lease_version, attempt_count, CASE WHEN xid IS NULL THEN current_worker_id END AS current_worker_id,
+          CASE WHEN xid IS NULL THEN status WHEN event_type = 'STEP_DEAD_LETTERED' THEN 'DEAD_LETTERED' ELSE 'READY' END AS status FROM sweeps""",
+        _SWEEPS,
+    ),
+)
+def _(spark, sf):
+    """The snapshot with the newer batch laid over it."""
+    return _swept_until(spark, sf).state(spark).select("step_id", "lease_version", "attempt_count", "current_worker_id", "status")
+
+
+@query(
+    "snk1_committed_history",
+    with_views(
+        """SELECT step_id, event_type || ':v' || lease_version AS history, xid, CASE WHEN status = 'RUNNING' THEN current_worker_id END AS worker_id
+        FROM sweeps WHERE xid IS NOT NULL""",
+        _SWEEPS,
+    ),
+)
+def _(spark, sf):
+    """Events read back with their generations, none lost by a reader that follows ids, next to each step's history."""
+    events = _swept_until(spark, sf).events(spark)
+    lost = history.missed_by_id_cursor(events).select("id")
+    found = events.join(lost, "id", "left_anti").select("step_id", "xid", "worker_id")
+    return history.history(events).join(found, "step_id")
+
+
 def _lifecycle(spark, sf):
     stream, steps = arriving(v.fold_writes(spark, sf), "writes")
     return drain(lifecycle_stream(stream, LEASE_MS), "lifecycle", steps)

@@ -355,9 +355,9 @@ def effect_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effect_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effects applied earlier, with their request's keys in another order."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 5 == 0)
-    key = _text("step:", F.col("o_orderkey"), ":1")
+    """Effects applied earlier, with their request's keys in another order; only every fifth has a key that is asked for."""
+    o = table(spark, sf_dir, "orders")
+    key = _text(F.when(F.col("o_orderkey") % 5 == 0, "step:").otherwise("other:"), F.col("o_orderkey"), ":1")
     return o.select(
         key.alias("idempotency_key"),
         F.lit("O").alias("effect_type"),
@@ -375,9 +375,9 @@ _V_EFFECT_REQUESTS = """
 """
 # In the form requests have, so that texts can be compared.
 _V_EFFECT_STORE = """
-    SELECT 'step:' || o_orderkey || ':1' AS idempotency_key, 'O' AS effect_type, '{"flag":"N","value":1}' AS request,
+    SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'step:' ELSE 'other:' END || o_orderkey || ':1' AS idempotency_key, 'O' AS effect_type, '{"flag":"N","value":1}' AS request,
       '{"effectId":"old-' || o_orderkey || '"}' AS result, o_orderdate AS created_at
-    FROM orders WHERE o_orderkey % 5 = 0
+    FROM orders
 """
 
 
@@ -423,21 +423,22 @@ _V_GRANTS = """
 
 
 def grant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claim events for the same generations, some missing, some extra, some by another worker."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 9 != 0)
+    """Events for the same generations: some no claims, some extra, some by another worker."""
+    li = table(spark, sf_dir, "lineitem")
     shift = F.when(F.col("l_partkey") % 11 == 0, 1).otherwise(0)
     return li.select(
         F.col("l_orderkey").alias("step_id"),
         (F.col("l_linenumber") + F.when(F.col("l_partkey") % 17 == 0, 7).otherwise(0)).alias("lease_version"),
         _text("c", F.col("l_suppkey") + shift).alias("worker_id"),
-        F.lit(fixed.STEP_CLAIMED).alias("event_type"),
+        F.when(F.col("l_partkey") % 9 == 0, fixed.LEASE_RECOVERED).otherwise(fixed.STEP_CLAIMED).alias("event_type"),
     )
 
 
 _V_GRANT_EVENTS = """
     SELECT l_orderkey AS step_id, l_linenumber + CASE WHEN l_partkey % 17 = 0 THEN 7 ELSE 0 END AS lease_version,
-      'c' || (l_suppkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END) AS worker_id, 'STEP_CLAIMED' AS event_type
-    FROM lineitem WHERE l_partkey % 9 <> 0
+      'c' || (l_suppkey + CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END) AS worker_id,
+      CASE WHEN l_partkey % 9 = 0 THEN 'LEASE_RECOVERED' ELSE 'STEP_CLAIMED' END AS event_type
+    FROM lineitem
 """
 
 
@@ -461,8 +462,9 @@ _V_COUNTERS = """
 
 
 def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where((F.col("event_type") == "signup") & (_k() >= 50))
-    return e.select(_text("w", F.col("user_id") % 200).alias("worker_id"), "ts")
+    """Half of the sign-ups register a worker that beats, the others one that never does."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    return e.select(_text(F.when(_k() >= 50, "w").otherwise("n"), F.col("user_id") % 200).alias("worker_id"), "ts")
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -478,8 +480,8 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _V_REGISTRATIONS = """
-    SELECT 'w' || (user_id % 200) AS worker_id, ts FROM events
-    WHERE event_type = 'signup' AND CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50
+    SELECT CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) >= 50 THEN 'w' ELSE 'n' END || (user_id % 200) AS worker_id, ts
+    FROM events WHERE event_type = 'signup'
 """
 _V_BEATS = "SELECT 'w' || (user_id % 200) AS worker_id, ts, event_id AS seq FROM events WHERE event_type <> 'signup'"
 _V_WORKERS = "SELECT 'w' || (user_id % 8) AS worker_id, min(ts) AS started_at, max(ts) AS last_heartbeat_at FROM events GROUP BY 1"

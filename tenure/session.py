@@ -74,6 +74,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df, name: str, *partition_by: str):
+    """Write ``df`` to the shared folder and go on from its files, which filters and columns can prune."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df):
     """Write ``df`` to the checkpoint folder and go on from the written rows."""
     spark = df.sparkSession

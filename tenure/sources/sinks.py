@@ -5,62 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.operators.history import event_data
-from tenure.schemas import EVENT_DATA, schema
+from tenure.schemas import EVENT_DATA
+from tenure.sources.state import StateTable, append_rows
 
-_EVENT = ("event_type", "event_worker_id", "event_at", "event_data")
-
-
-def append_rows(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Write one batch as its own partition; writing it again replaces it."""
-    (
-        rows.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+__all__ = ["append_rows", "committed_events", "current_state", "event_wire", "write_transitions"]
 
 
 def write_transitions(transitions: DataFrame, path: str, batch_id: int) -> None:
-    """Commit state changes and their events together.
-
-    One row holds the after-image of a step and its event, so neither can be
-    there without the other. A batch is one partition, replaced as a whole:
-    writing it again changes nothing.
-    """
-    rows = transitions.where(F.col("event_type").isNotNull()).withColumn("event_data", event_data())
-    columns = [c for c in schema("steps").names if c in rows.columns]
-    append_rows(rows.select(*columns, *_EVENT), path, batch_id)
-
-
-def _log(spark: SparkSession, path: str) -> DataFrame:
-    # The partition number comes back as whatever its text looks like.
-    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    """Commit state changes and their events together, once for each batch number."""
+    StateTable(path).commit(transitions, batch_id)
 
 
 def current_state(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Newest after-image of every step written, in batches under ``before`` if given."""
-    rows = _log(spark, path)
-    if before is not None:
-        rows = rows.where(F.col("batch_id") < before)
-    images = [c for c in rows.columns if c not in (*_EVENT, "batch_id", "step_id")]
-    newest = rows.groupBy("step_id").agg(
-        F.max_by(F.struct(*images), F.struct("batch_id", "lease_version", "event_at")).alias("s")
-    )
-    return newest.select("step_id", "s.*")
+    return StateTable(path).state(spark, before)
 
 
 def committed_events(spark: SparkSession, path: str) -> DataFrame:
-    """The history those rows hold; the batch number is the commit number."""
-    return _log(spark, path).where(F.col("event_type").isNotNull()).select(
-        "step_id",
-        F.col("event_worker_id").alias("worker_id"),
-        "event_type",
-        F.col("event_data").alias("data"),
-        F.col("event_at").alias("created_at"),
-        F.col("batch_id").alias("xid"),
-    )
+    """The history those rows hold, with ids, generations and the batch as commit number."""
+    return StateTable(path).events(spark)
 
 
 def event_wire(events: DataFrame) -> DataFrame:

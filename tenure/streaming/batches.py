@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions import fixed
 from tenure.operators import metrics, recover
-from tenure.sources.sinks import append_rows, current_state, write_transitions
+from tenure.sources.state import StateTable, append_rows
 
 
 class OrderedRelease:
@@ -64,29 +64,43 @@ class Sweeper:
     separate partitions of the transition log, numbered two per batch. The clock
     is the greatest ``arrived_at`` so far, a column of the batches that the state
     does not keep. A due time is no clock: a waiting step's lies in the future.
+
+    Every ``compact_every`` batches the state under the running batch becomes a
+    snapshot, so a trigger opens the last snapshot's live steps, fewer than
+    ``compact_every`` earlier batches and as many rows of the clock. A batch that
+    is run again finds the snapshot there, or writes it again if it was lost.
     """
 
-    def __init__(self, path: str, arrived_at: str = "arrived_at"):
+    def __init__(self, path: str, arrived_at: str = "arrived_at", compact_every: int = 16, buckets: int = 16):
         self.path = path
         self.arrived_at = arrived_at
+        self.compact_every = compact_every
+        self.table = StateTable(path, buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         intake, swept = 2 * batch_id, 2 * batch_id + 1
-        clock = f"{self.path}-clock"
-        append_rows(batch.agg(F.max(self.arrived_at).alias("at")), clock, batch_id)
-        append_rows(batch.drop(self.arrived_at).withColumns(_no_event()), self.path, intake)
-        as_of = spark.read.parquet(clock).where(F.col("batch_id") <= batch_id).agg(F.max("at")).first()[0]
-        if as_of is not None:
-            write_transitions(recover.sweep(current_state(spark, self.path, before=swept), F.lit(as_of)), self.path, swept)
+        if batch_id and batch_id % self.compact_every == 0:
+            self.table.compact(spark, intake - 1)
+        # Each batch's clock holds the greatest time up to it, so the one before is enough.
+        arrived = batch.agg(F.max(self.arrived_at).alias("at"))
+        if batch_id:
+            arrived = arrived.unionByName(self._clock(spark, batch_id - 1)).agg(F.max("at").alias("at"))
+        append_rows(arrived, f"{self.path}-clock", batch_id)
+        self.table.put(batch.drop(self.arrived_at), intake)
+        as_of = self._clock(spark, batch_id).first()
+        if as_of is not None and as_of[0] is not None:
+            state = self.table.state(spark, before=swept, live_only=True)
+            self.table.commit(recover.sweep(state, F.lit(as_of[0])), swept)
+
+    def _clock(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.schema("at TIMESTAMP").parquet(f"{self.path}-clock/batch_id={batch_id}")
 
     def state(self, spark: SparkSession) -> DataFrame:
-        return current_state(spark, self.path)
-
+        return self.table.state(spark)
 
-def _no_event() -> dict:
-    text = F.lit(None).cast("string")
-    return {"event_type": text, "event_worker_id": text, "event_at": F.lit(None).cast("timestamp"), "event_data": text}
+    def events(self, spark: SparkSession) -> DataFrame:
+        return self.table.events(spark)
 
 
 def event_rate_stream(events: DataFrame, width: str = "1 second", delay: str = "0 seconds") -> DataFrame:

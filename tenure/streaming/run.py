@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import TimestampType
 
-from tenure.session import ROCKSDB_PROVIDER, scratch_path
+from tenure.session import ROCKSDB_PROVIDER
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -29,43 +27,3 @@ def start_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     use_rocksdb(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def arriving(df: DataFrame, name: str, order: str | None = None, parts: int = 1) -> tuple[DataFrame, Iterator[int]]:
-    """``df`` as a stream of files, and an iterator whose every step lets the next part arrive.
-
-    Parts are equal ranges of ``order``. Each is written by all executors and
-    stays whole in one batch as long as the query runs once per step.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.where(F.lit(False)).write.parquet(path)
-    stream = spark.readStream.schema(df.schema).parquet(path)
-    if parts == 1:
-        slices = F.lit(0)
-    else:
-        place = F.unix_micros(order) if isinstance(df.schema[order].dataType, TimestampType) else F.col(order)
-        low, high = df.agg(F.min(place), F.max(place)).first()
-        slices = F.least(F.floor((place - low) * parts / max(high - low, 1)), F.lit(parts - 1))
-
-    def steps() -> Iterator[int]:
-        for part in range(parts):
-            df.where(slices == part).write.mode("append").parquet(path)
-            yield part
-
-    return stream, steps()
-
-
-def drain(stream: DataFrame, name: str, steps: Iterable[int] = (0,)) -> DataFrame:
-    """Run a stream over what its source has, once per step, and read the result back."""
-    spark = stream.sparkSession
-    base = scratch_path(spark, name)
-    for _step in steps:
-        start_to_table(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
-
-
-def drain_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str, steps: Iterable[int] = (0,)) -> None:
-    base = scratch_path(stream.sparkSession, name)
-    for _step in steps:
-        start_batches(stream, each, f"{base}/checkpoint").awaitTermination()

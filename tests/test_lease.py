@@ -147,10 +147,17 @@ def random_log(seed, n=600):
     return log
 
 
-def plain_replay(log, as_of, lease_s=10.0, max_attempts=3):
-    """Row by row, as the rules say."""
+def plain_replay(log, as_of, lease_s=10.0, max_attempts=3, begun=None):
+    """Row by row, as the rules say; ``begun`` has rows of steps as they were before."""
     decisions, events, state = {}, [], {}
-    for step in sorted({w["step_id"] for w in log if w["ts"] <= as_of}):
+    for step in sorted({w["step_id"] for w in log if w["ts"] <= as_of} | set(begun or ())):
+        if begun:
+            first = {"status": "READY", "lease_version": 0, "attempt_count": 0, "max_attempts": max_attempts, **begun.get(step, {})}
+            found = replay_given(first, [w for w in log if w["step_id"] == step and w["ts"] <= as_of], as_of, lease_s)
+            decisions |= found[0]
+            events += [(step, *e) for e in found[1]]
+            state[step] = found[2]
+            continue
         status, version, worker, deadline, due, error, result = "READY", 0, None, None, None, None, None
         mine = sorted((w for w in log if w["step_id"] == step and w["ts"] <= as_of), key=lambda w: (w["ts"], w["seq"]))
         for w in [*mine, None]:
@@ -190,6 +197,65 @@ def plain_replay(log, as_of, lease_s=10.0, max_attempts=3):
     return decisions, sorted(events, key=str), state
 
 
+def replay_given(step, writes, as_of, lease_s):
+    """One step from a given row: (decisions, events, (status, generation, attempts, worker, deadline))."""
+    decisions, events = {}, []
+    status, version, attempts, budget = (step[c] for c in ("status", "lease_version", "attempt_count", "max_attempts"))
+    worker, deadline, due = step.get("current_worker_id"), step.get("lease_expires_at"), step.get("available_at")
+    for w in [*sorted(writes, key=lambda w: (w["ts"], w["seq"])), {"op": "END", "ts": as_of, "seq": None}]:
+        now, left = w["ts"], attempts < budget
+        if status == "RUNNING" and deadline <= now:
+            events.append((version, fixed.LEASE_RECOVERED if left else fixed.STEP_DEAD_LETTERED, deadline, worker))
+            status, worker, deadline, due = "READY" if left else "DEAD_LETTERED", None, None, None
+        elif status == "RETRY_WAIT" and due <= now:
+            events.append((version, fixed.RETRY_READY, due, None))
+            status = "READY"
+        if w["op"] == "CLAIM":
+            ok = status == "READY" and left and (due is None or due <= now)
+            if ok:
+                status, version, attempts, worker, deadline, due = "RUNNING", version + 1, attempts + 1, w["worker_id"], now + (at(lease_s) - NOW), None
+                events.append((version, fixed.STEP_CLAIMED, now, worker))
+        else:
+            ok = status == "RUNNING" and (w.get("worker_id"), w.get("lease_version")) == (worker, version)
+            if ok and w["op"] == "RENEW":
+                deadline = now + (at(lease_s) - NOW)
+            elif ok and w["op"] == "COMPLETE":
+                events.append((version, fixed.STEP_SUCCEEDED, now, worker))
+                status, worker, deadline = "SUCCEEDED", None, None
+            elif ok:
+                retry = w["retryable"] and left
+                events.append((version, fixed.STEP_RETRY_SCHEDULED if retry else fixed.STEP_DEAD_LETTERED, now, worker))
+                status, due = ("RETRY_WAIT", now + (at(0.5 * 2 ** min(max(attempts - 1, 0), 3)) - NOW)) if retry else ("DEAD_LETTERED", None)
+                worker = deadline = None
+        if w["seq"] is not None:
+            decisions[w["seq"]] = ok
+    return decisions, events, (status, version, attempts, worker, deadline)
+
+
+def test_fold_from_given_steps_with_budgets_of_their_own(spark):
+    """Every status at the start, spent and large budgets, steps without writes and writes without a step."""
+    log = random_log(3, 500)
+    begun = {}
+    for i in range(0, 46):
+        status = ("READY", "RUNNING", "RETRY_WAIT", "READY", "PENDING", "SUCCEEDED", "RUNNING")[i % 7]
+        begun[f"s{i}"] = {
+            "status": status, "lease_version": i % 3, "attempt_count": i % 4, "max_attempts": (1, 2, 3, 7)[i // 2 % 4], "available_at": at(i % 5 * 9),
+            **({"current_worker_id": "a", "lease_expires_at": at(i % 6 * 11)} if status == "RUNNING" else {}),
+        }
+    del begun["s9"], begun["s17"]
+    until = at(400.0)
+    decisions, events, state = plain_replay(log, until, begun=begun)
+    w = table(spark, "owner_writes", log)
+    given = steps(spark, [{"step_id": k, "current_worker_id": None, "lease_expires_at": None, **b} for k, b in begun.items()])
+    generations = fold.lifecycle_fold(w, until, LEASE, slice_s=5, steps=given)
+    assert {r.seq: r.accepted for r in fold.fold_decisions(w, generations, until).collect()} == decisions
+    told = fold.fold_events(generations, until).collect()
+    assert sorted(((r.step_id, r.lease_version, r.event_type, r.created_at, r.worker_id) for r in told), key=str) == sorted(events, key=str)
+    final = fold.fold_state(w, generations, until, given).collect()
+    assert {r.step_id: (r.status, r.lease_version, r.attempt_count, r.current_worker_id, r.lease_expires_at) for r in final} == state
+    assert {r.attempt_count for r in final} >= set(range(5)) and len(final) == len(state)
+
+
 @pytest.mark.parametrize("seed,until", [(1, 90.0), (2, 700.0)])
 def test_fold_equals_a_row_by_row_replay(spark, seed, until):
     log = random_log(seed)

@@ -169,3 +169,13 @@ def test_busy_probe_stops_at_the_first_match(spark, small):
 
     plan = select.any_in_status(views.steps(spark, small), "READY")._jdf.queryExecution().executedPlan().toString()
     assert "Limit" in plan
+
+
+def test_assign_batch_ranks_both_sides_by_range(spark):
+    """All workers of a table, ties down to the id, without a window over all rows."""
+    s = steps(spark, [{"step_id": f"s{i:03}", "priority": i % 3, "available_at": at(-(i % 4) - 1)} for i in range(150)]).repartition(5)
+    workers = spark.createDataFrame([(f"w{i:03}",) for i in range(90)], "worker_id string").repartition(3)
+    got = dict(rows(select.assign_batch(s, workers, NOW, 30_000), "current_worker_id", "step_id"))
+    order = sorted(range(150), key=lambda i: (-(i % 3), -(i % 4), f"s{i:03}"))
+    assert got == {f"w{k:03}": f"s{i:03}" for k, i in enumerate(order[:90])}
+    assert select.assign_batch(s, workers.where("false"), NOW, 30_000).count() == 0

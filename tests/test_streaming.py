@@ -3,8 +3,9 @@ import pytest
 from tests.helpers import NOW, at, rows, running, steps, table
 from tests.test_lease import LEASE, plain_replay, random_log, write
 
-from tenure.operators import recover
+from tenure.operators import history, recover
 from tenure.operators.effects import apply_effects
+from tenure.plans.arrivals import drain, drain_batches
 from tenure.schemas import schema
 from tenure.session import scratch_path, shared_folder
 from tenure.sources.relations import read_relation, synthetic_steps, tail_events
@@ -13,7 +14,6 @@ from tenure.streaming.batches import OrderedRelease, Sweeper, event_rate_stream
 from tenure.streaming.effects import EffectLog
 from tenure.streaming.heartbeats import heartbeat_stream, silences
 from tenure.streaming.lifecycle import lifecycle_stream
-from tenure.streaming.run import drain, drain_batches
 
 
 class Feed:
