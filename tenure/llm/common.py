@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +45,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: dict[int, list[str]] = {}
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete what ``stored`` has written for this session, once no result needs it any more; the number of tables."""
-    paths = _WRITTEN.pop(id(spark._jsparkSession), [])
+def written(spark: SparkSession) -> list[str]:
+    """Places of the tables that ``stored`` has written for this session, in order."""
+    return list(_WRITTEN.get(id(spark._jsparkSession), []))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no result needs any more."""
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN[id(spark._jsparkSession)] = [p for p in written(spark) if p not in set(paths)]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what ``stored`` has written for this session, once no result needs it any more; the number of tables."""
+    paths = written(spark)
+    discard(spark, paths)
     return len(paths)
 
 
@@ -71,3 +83,27 @@ def ranked(df: DataFrame, key: str, name: str = "rank") -> DataFrame:
     offsets = F.create_map(*[F.lit(x).cast("long") for pair in starts for x in pair])
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.element_at(offsets, F.shiftright("_id", 33))
     return rows.select(*df.columns, place.alias(name))
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_file`` and ``_index``, which tell every row from every other, equal ones too.
+
+    They are a row's place in the files it is read from, so they are the same whenever it is
+    read. Rows that do not come straight from files are written to the shared folder first.
+    """
+    try:
+        return docs.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_index": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return row_keyed(stored(docs, "rows"))
+
+
+def rest(docs: DataFrame, *but: str) -> Column:
+    """All columns but those as one struct, ``_rest``, so that their names meet no others."""
+    held = [c for c in docs.columns if c not in but]
+    return F.struct(*[F.col(f"`{c}`") for c in held] or [F.lit(None).alias("_")]).alias("_rest")
+
+
+def restored(df: DataFrame, docs: DataFrame, **made: Column) -> DataFrame:
+    """The columns of ``docs``, in their types: from ``made``, or out of ``_rest``."""
+    out = [(made[c] if c in made else F.col("_rest").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
+    return df.select(*out)

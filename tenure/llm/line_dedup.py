@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import ascii_lower, doc_key, stored, text_of
+from tenure.llm.common import ascii_lower, doc_key, rest, restored, stored, text_of
 
 # Fixed value: what is stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -207,7 +207,7 @@ def dedup(docs: DataFrame, *more: str, min_docs: int = 10, min_chars: int = 1, k
     """
     bitmaps = keep_bitmaps(docs, min_docs, min_chars, keep_first)
     text_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c) for c in more], *doc_key(), text_of().alias("_text"))
-    joined = text_rows.join(bitmaps, ["doc", "text_key"], "left").select("doc_id", *more, "_text", "keep_bitmap")
+    joined = text_rows.join(bitmaps.hint("merge"), ["doc", "text_key"], "left").select("doc_id", *more, "_text", "keep_bitmap")
     out = joined.select("doc_id", *more).withColumns(
         {"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_text": F.lit("")}
     ).schema
@@ -218,10 +218,12 @@ def deduplicated(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """The documents, in their own columns, without the lines that ``min_docs`` documents repeat, at any size of the input.
 
     The first occurrence of such a line stays; a document of which nothing but white
-    space is left, though it had lines, goes.
+    space is left, though it had lines, goes. A null or empty text stays as it is; rows with
+    the same doc_id (null is one) and text lose the same lines. An empty table gives an empty
+    result. Other columns pass through, whatever their names.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = dedup(docs, *others, min_docs=min_docs, keep_first=True)
+    carried = docs.select("doc_id", "text", rest(docs, "doc_id", "text", "n_chars"), F.col("text").isNull().alias("_none"))
+    done = dedup(carried, "_rest", "_none", min_docs=min_docs, keep_first=True)
     left = done.filter((F.col("n_dropped") == 0) | (F.length(F.btrim(F.col("kept_text"), F.lit(BLANKS))) > 0))
-    back = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return left.select(*[back.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    kept = F.when(~F.col("_none"), F.col("kept_text"))
+    return restored(left, docs, doc_id=F.col("doc_id"), text=kept, n_chars=F.length(kept).cast("long"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import NO_ID, SPACE, ascii_lower, doc_key, stored, text_of, words
+from tenure.llm.common import NO_ID, SPACE, ascii_lower, doc_key, rest, restored, stored, text_of, words
 
 # White space that is no part of a word, and the characters counted as symbols.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -161,18 +161,25 @@ def filtered(docs: DataFrame, min_docs: int = 10, least_left: float = 0.5) -> Da
     of near copies stays whole and the others are judged by what they have of their own.
     A document is rejected as in ``judge``. Each document carries its own common lines
     only, so nothing grows with the number of lines of a host.
+
+    A null or wordless text fails the base rules; a null source is a host of its own; rows
+    with the same doc_id (null is one) and text are judged alike and each stay or go; an
+    empty table gives an empty result. Other columns pass through, whatever their names.
+
+    Both sides of the join move, at any size: a plan that broadcasts small tables only would
+    need more disk than they let expect.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     common = stored(site_lines(docs, min_docs), "common-lines").select(F.col("host").alias("_of"), F.col("key").alias("_key"), "first")
     each = _each_line(docs)
     repeats = each.join(common, each["host"].eqNullSafe(common["_of"]) & (each["key"] == common["_key"])).filter(
         F.struct("doc", "text_key") != F.col("first")
     )
     per_doc = stored(repeats.groupBy("host", "doc", "text_key").agg(F.collect_set("key").alias("common")), "own-common-lines")
-    rows = measured(docs, *others).withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_text_key": F.xxhash64("_text")})
+    carried = docs.select("doc_id", "source", "text", rest(docs, "doc_id", "text", "n_chars"))
+    rows = measured(carried, "_rest").withColumns({"_doc": F.coalesce("doc_id", F.lit(NO_ID)), "_text_key": F.xxhash64("_text")})
     same = rows["_host"].eqNullSafe(per_doc["host"]) & (rows["_doc"] == per_doc["doc"]) & (rows["_text_key"] == per_doc["text_key"])
-    both = rows.join(per_doc, same, "left").drop("host", "doc", "text_key", "_doc", "_text_key")
+    both = rows.join(per_doc.hint("merge"), same, "left").drop("host", "doc", "text_key", "_doc", "_text_key")
     # one undivided condition: a part of it moved below the join would measure every text a second time
     kept = _judged(both, least_left).filter(F.when(F.col("gone_chars") >= 0, F.col("kept")).otherwise(False))
-    back = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return kept.select(*[back.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return restored(kept, docs, **made)

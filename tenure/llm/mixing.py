@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.common import WORD, ranked, stored, text_of
+from tenure.llm.common import WORD, ranked, row_keyed, stored, text_of
 
 WEIGHTS = (3, 1, 2)
 #: Weight over time, as (time, weight) knots with straight lines between, repeating like WEIGHTS.
@@ -24,9 +24,10 @@ SCHEDULES = (
 ROWS_PER_SLICE = 50_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the digest that orders a source's documents."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size in words, the digest that orders a source's documents, and the columns named in ``more``."""
     return docs.select(
+        *more,
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"),
@@ -96,10 +97,27 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS,
     source's documents go by the digest of doc_id, then doc_id, then size.
     """
     rows = stored(sized(docs), "mix-sizes")
-    return _mixed(rows, share, repeats, weights, schedules)
+    return _mixed(rows, share, repeats, weights, schedules).orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def _mixed(rows: DataFrame, share: float, repeats: int, weights, schedules) -> DataFrame:
+def sequence(docs: DataFrame, share: float = 1.5, repeats: int = 2, weights=WEIGHTS, schedules=SCHEDULES) -> DataFrame:
+    """The documents that a mix uses, in the order of their first use: the columns of ``docs``, size, target, taken, position.
+
+    Every row is a document of its own, also where doc_ids are null or repeated, and comes
+    out at most once; other cases are as in ``mix``. A column of ``docs`` that has the name
+    of an added one gives way to it. Rows are placed by narrow columns, and the place is
+    joined back by the row's own key.
+    """
+    keyed = row_keyed(docs)
+    rows = stored(sized(keyed, "_file", "_index"), "mix-sizes")
+    added = ("size", "target", "taken", "position")
+    plan = _mixed(rows, share, repeats, weights, schedules, "_file", "_index").filter("taken > 0").select("_file", "_index", *added)
+    kept = [c for c in docs.columns if c not in added]
+    used = keyed.select(*[F.col(f"`{c}`") for c in kept], "_file", "_index").join(stored(plan, "mix-plan").hint("merge"), ["_file", "_index"])
+    return used.select(*[F.col(f"`{c}`") for c in kept], *added).orderBy("position", "doc_id")
+
+
+def _mixed(rows: DataFrame, share: float, repeats: int, weights, schedules, *more: str) -> DataFrame:
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = ranked(sums, "source", "place").withColumn(
         "weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -112,7 +130,7 @@ def _mixed(rows: DataFrame, share: float, repeats: int, weights, schedules) -> D
     cut = rows.join(known, rows["source"].eqNullSafe(known["_source"])).drop("_source").withColumn(
         "slice", F.call_function("shiftright", head, 32 - F.col("bits"))
     )
-    order = Window.partitionBy("place", "slice").orderBy("digest", "doc_id", "size")
+    order = Window.partitionBy("place", "slice").orderBy("digest", "doc_id", "size", *more)
     inner = cut.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     ahead = Window.partitionBy("place").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # one row per slice, and a slice has about ROWS_PER_SLICE documents
@@ -130,11 +148,11 @@ def _mixed(rows: DataFrame, share: float, repeats: int, weights, schedules) -> D
     ])
     placed = inner.join(offsets, ["place", "slice"]).withColumn("uses", F.filter(uses, lambda u: u["words"] > 0))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
+        *more, "doc_id", "source", "size", "source_size", "target",
         F.aggregate("uses", F.lit(0).cast("long"), lambda s, u: s + u["words"]).alias("taken"),
         F.try_element_at(F.col("uses"), F.lit(1))["position"].alias("position"),
         "uses",
-    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    )
 
 
 def placements(mixed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm.common import stored
+from tenure.llm.common import row_keyed, stored
 from tenure.llm.components import components
 
 _MULTIPLY = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
@@ -260,6 +260,20 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
 
 
 def first_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, in the columns of ``docs``."""
-    gone = groups(docs, size, percent).filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group, in the columns of ``docs``.
+
+    Groups are told by the texts (a 64-bit hash stands for each), so rows with a null or
+    repeated doc_id are judged each by its own. The row with the smallest doc_id stays, null
+    after all others, of equal rows any one; texts without words stay all. An empty table
+    gives an empty result.
+    """
+    keyed = row_keyed(docs)
+    key = F.xxhash64(F.col("text").cast("string"))
+    found = stored(groups(docs.select(key.alias("doc_id"), "text"), size, percent).filter("n_shingles > 0").distinct(), "text-groups")
+    narrow = keyed.select(key.alias("_text_key"), F.col("doc_id").cast("long").alias("_doc"), "_file", "_index")
+    place = F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_file", "_index")
+    group = narrow.join(found, F.col("_text_key") == F.col("doc_id")).groupBy("component_id").agg(F.min(place).alias("first"))
+    first = group.select(F.col("first._file").alias("_file"), F.col("first._index").alias("_index"))
+    wordless = narrow.join(found, F.col("_text_key") == F.col("doc_id"), "left_anti").select("_file", "_index")
+    kept = stored(first.unionAll(wordless), "kept-rows")
+    return keyed.join(kept.hint("merge"), ["_file", "_index"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
