@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tenure.llm import line_dedup, line_frequency, mixing, near_dedup, retrieval
-from tenure.llm.common import stored
+from tenure.llm.common import discard, stored, written
 from tenure.session import prepare
 
 
@@ -37,10 +36,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: doc_id, source, text, words taken and training position of the documents the mix uses, in order."""
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size"), "target", "taken", "position").distinct()
-    used = docs.select("doc_id", "source", "text").join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("taken > 0")
-    return used.drop("_id").orderBy("position", "doc_id")
+    """Operator 8: the documents the mix uses, with words taken and training position, in order of the position."""
+    prepare(spark)
+    return mixing.sequence(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,10 +53,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again.
+
+    Once a stage's result is written, the tables that the stage made on the way are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
+        before = written(spark)
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
+            made = written(spark)[len(before):]
             docs = stored(docs, name)
+            discard(spark, made)
     return docs
