@@ -225,6 +225,12 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(column)
 
 
+def completions_by_worker(events: DataFrame) -> DataFrame:
+    """Steps each worker completed: only STEP_SUCCEEDED counts, one for each step and generation."""
+    done = events.where(F.col("event_type") == fixed.STEP_SUCCEEDED).select("worker_id", "step_id", "lease_version").distinct()
+    return done.groupBy("worker_id").agg(F.count("*").alias("completed")).orderBy("worker_id")
+
+
 def per_interval(events: DataFrame, t0, width_s: int = 1, chunk: int = 3600) -> DataFrame:
     """Terminal events per elapsed interval since ``t0``, zeros included."""
     ended = events.where(F.col("event_type").isin(*fixed.TERMINAL_EVENT_TYPES))

@@ -207,6 +207,31 @@ def stale_summary(decisions: DataFrame) -> DataFrame:
     )
 
 
+def rejected_left_alone(decisions: DataFrame, before: DataFrame, after: DataFrame, told_before: DataFrame, told_after: DataFrame) -> DataFrame:
+    """Steps whose writes were all rejected and that changed all the same; there must be none.
+
+    ``decisions`` as of :func:`authorize`; the steps and their histories before and after the
+    writes. rejected: number of writes; row_changed: the step's row is not as it was, appeared
+    or went; new_events: events more than before. Per step counts and one comparison of rows:
+    nothing of a step with most writes meets in one task.
+    """
+    asked = decisions.groupBy("step_id").agg(F.count("*").alias("rejected"), F.count_if("accepted").alias("accepted"))
+    refused = asked.where(F.col("accepted") == 0).select("step_id", "rejected")
+    columns = [c for c in before.columns if c != "step_id"]
+    row = lambda steps, name: steps.select("step_id", F.struct(*columns).alias(name))
+    told = lambda events, name: events.groupBy("step_id").agg(F.count("*").alias(name))
+    joined = refused
+    for side in (row(before, "__before"), row(after, "__after"), told(told_before, "__n"), told(told_after, "__m")):
+        joined = joined.join(side, "step_id", "left")
+    found = joined.select(
+        "step_id",
+        "rejected",
+        (~F.col("__before").eqNullSafe(F.col("__after"))).alias("row_changed"),
+        (F.coalesce("__m", F.lit(0)) - F.coalesce("__n", F.lit(0))).alias("new_events"),
+    )
+    return found.where(F.col("row_changed") | (F.col("new_events") != 0))
+
+
 def settle_steps(steps: DataFrame, writes: DataFrame, lease_ms: int = fixed.DEFAULT_LEASE_MS, slice_s: int = SLICE_S) -> DataFrame:
     """How all owner writes together leave each RUNNING step, one row per step.
 

@@ -10,6 +10,8 @@ from tenure.plans import views as v
 from tenure.plans.registry import query
 from tenure.plans.step_queries import _CHECKED
 from tenure.plans.views import with_views
+from tenure.session import scratch_path
+from tenure.sources.hash_tree import HashTree
 
 _ID = "substr(sha256({0}), 1, 8) || '-' || substr(sha256({0}), 9, 4) || '-' || substr(sha256({0}), 13, 4) || '-' || substr(sha256({0}), 17, 4) || '-' || substr(sha256({0}), 21, 12)"
 
@@ -130,6 +132,31 @@ def _(spark, sf):
     return effects.fingerprint(rows).withColumn("checksum", F.col("checksum").cast("string"))
 
 
+@query(
+    "ide6_differences",
+    with_views(
+        """SELECT coalesce(a.step_id, b.step_id) AS step_id, CASE WHEN a.step_id IS NULL THEN 'ADDED' WHEN b.step_id IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change
+        FROM (SELECT step_id, status, lease_version FROM v_steps) a FULL JOIN moved b ON a.step_id = b.step_id
+        WHERE a.step_id IS NULL OR b.step_id IS NULL OR a.status <> b.status OR a.lease_version <> b.lease_version""",
+        """moved AS (SELECT CASE WHEN step_id % 997 = 1 THEN -step_id ELSE step_id END AS step_id, CASE WHEN step_id % 499 = 2 THEN 'CANCELLED' ELSE status END AS status,
+          lease_version + CASE WHEN step_id % 751 = 3 THEN 1 ELSE 0 END AS lease_version FROM v_steps)""",
+    ),
+)
+def _(spark, sf):
+    """Two versions of the steps, the later with a few keys renamed and rows changed."""
+    s = v.steps(spark, sf).select("step_id", "status", "lease_version")
+    key = F.col("step_id")
+    moved = s.select(
+        F.when(key % 997 == 1, -key).otherwise(key).alias("step_id"),
+        F.when(key % 499 == 2, "CANCELLED").otherwise(F.col("status")).alias("status"),
+        (F.col("lease_version") + F.when(key % 751 == 3, 1).otherwise(0)).alias("lease_version"),
+    )
+    trees = [HashTree(scratch_path(spark, f"version-{i}"), ["step_id"]) for i in range(2)]
+    for tree, rows in zip(trees, (s, moved), strict=True):
+        tree.write(rows)
+    return trees[0].diff(spark, trees[1])
+
+
 _REQUESTS = """asked AS (SELECT lower(step_id) AS id, available_at, step_id, 'step:' || lower(step_id) || ':demo_receipt' AS idempotency_key,
     json_extract_string(payload, '$.value') AS val FROM checked WHERE task_type = 'idempotent_effect' AND invalid IS NULL AND runtime IS NULL)"""
 

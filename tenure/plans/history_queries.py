@@ -271,6 +271,15 @@ for _name, _column in (("type", "event_type"), ("worker", "worker_id")):
         return h.counts_by(v.plain_events(spark, sf), column)
 
 
+@query(
+    "evt9_completions_by_worker",
+    with_views("""SELECT worker_id, count(*) AS completed
+        FROM (SELECT DISTINCT worker_id, step_id, lease_version FROM v_events WHERE event_type = 'STEP_SUCCEEDED') GROUP BY worker_id"""),
+)
+def _(spark, sf):
+    return h.completions_by_worker(v.events(spark, sf))
+
+
 @query("evt9_counts_by_status", with_views("SELECT status, count(*) AS n FROM v_steps GROUP BY status"))
 def _(spark, sf):
     return h.counts_by(v.steps(spark, sf), "status")

@@ -129,6 +129,26 @@ _REPLAYED = (
 )
 
 
+@query(
+    "fen3_rejected_left_alone",
+    with_views(
+        """SELECT step_id, rejected, coalesce(step_id % 53 = 0, false) AS row_changed, coalesce(more, 0) AS new_events
+        FROM (SELECT step_id, count(*) AS rejected FROM judged GROUP BY step_id HAVING count(*) FILTER (decision = 'ACCEPTED') = 0)
+        LEFT JOIN (SELECT l_orderkey AS step_id, count(*) AS more FROM lineitem WHERE l_partkey % 59 = 0 GROUP BY 1) USING (step_id)
+        WHERE step_id % 53 = 0 AND step_id IN (SELECT step_id FROM v_steps) OR more > 0""",
+        _JUDGED,
+    ),
+)
+def _(spark, sf):
+    """Planted: a row in 53 has moved, and lines of some parts have left a second event."""
+    before = v.steps(spark, sf)
+    moved = F.col("attempt_count") + F.when(F.col("step_id") % 53 == 0, 1).otherwise(0)
+    told = v.line_events(spark, sf)
+    again = v.table(spark, sf, "lineitem").where(F.col("l_partkey") % 59 == 0).select(F.col("l_orderkey").alias("step_id"))
+    decisions = lease.authorize(before, v.step_writes(spark, sf))
+    return lease.rejected_left_alone(decisions, before, before.withColumn("attempt_count", moved), told.select("step_id"), told.select("step_id").unionByName(again))
+
+
 @query(
     "fen4_apply_renewals",
     with_views(

@@ -150,7 +150,7 @@ class StateTable:
         for kind, rows in ((_LIVE, state.where(~ended)), (_ENDED, state.where(ended))):
             table = self._table(upto, kind)
             spark.sql(f"DROP TABLE IF EXISTS {table}")
-            _delete(spark, self._place(upto, kind))
+            delete(spark, self._place(upto, kind))
             # one task for each bucket, so that a bucket is one file
             dealt = rows.repartition(self.buckets, "step_id")
             dealt.write.bucketBy(self.buckets, "step_id").sortBy("step_id").option("path", self._place(upto, kind)).format("parquet").saveAsTable(table)
@@ -158,7 +158,7 @@ class StateTable:
         for old in sorted(self._complete(spark))[:-keep]:
             for kind in (_LIVE, _ENDED):
                 spark.sql(f"DROP TABLE IF EXISTS {self._table(old, kind)}")
-            _delete(spark, f"{self.snapshots}/upto={old}")
+            delete(spark, f"{self.snapshots}/upto={old}")
         return True
 
     def _complete(self, spark: SparkSession) -> dict[int, int]:
@@ -205,7 +205,13 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _at(spark, path)
+    return files.exists(place)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
     files, place = _at(spark, path)
     files.delete(place, True)
 

@@ -6,22 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tenure.functions import fixed
 from tenure.operators import metrics, recover
-from tenure.sources.state import StateTable, append_rows
+from tenure.sources.state import StateTable, append_rows, delete, exists
 
 
 class OrderedRelease:
     """Hold events until every older transaction is done, then pass them on in (xid, id) order.
 
-    For ``foreachBatch``. Four folders below ``path``, each written one
-    partition per batch, so a batch run again replaces what it wrote:
-    arrivals, cursor (the watermark reached), released, and late. A batch
-    releases the commit numbers between the last watermark and the new one; row
-    groups outside that range are skipped by their statistics. An event under
-    the watermark reached before its batch cannot be released in order any
-    more: it goes to late, so every event is in one of the two or still waits.
+    For ``foreachBatch``. Folders below ``path``, each written one partition per
+    batch, so a batch run again replaces what it wrote: arrivals, pending (what
+    still waits after the batch), cursor (the watermark reached), released, and
+    late. A batch opens its own arrivals, what waited after the batch before,
+    and that batch's cursor, however long the stream has run; what waited two
+    batches ago is deleted. An event under the watermark reached before its
+    batch cannot be released in order any more: it goes to late, so every event
+    is in one of the two or still waits.
     """
 
     def __init__(self, path: str, watermark: Callable[[DataFrame, int], int | None]):
@@ -32,22 +34,32 @@ class OrderedRelease:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         append_rows(batch, f"{self.path}/arrivals", batch_id)
-        arrivals = spark.read.parquet(f"{self.path}/arrivals").where(F.col("batch_id") <= batch_id)
+        mine = self._part(spark, "arrivals", batch_id, batch.schema)
         reached = self._reached(spark, batch_id)
         # A watermark never goes back, whatever the caller says.
         upto = max(reached, self.watermark(batch, batch_id) or 0)
-        due = arrivals.where((F.col("xid") >= reached) & (F.col("xid") < upto)).drop("batch_id")
+        held = mine.where(F.col("xid") >= reached).unionByName(self.waiting(spark, batch_id - 1, batch.schema))
+        due = held.where(F.col("xid") < upto)
         ordered = due.repartitionByRange("xid", "id").sortWithinPartitions("xid", "id")
         append_rows(ordered, f"{self.path}/released", batch_id)
-        mine = arrivals.where(F.col("batch_id") == batch_id).drop("batch_id")
         append_rows(mine.where(F.coalesce(F.col("xid") < reached, F.lit(True))), f"{self.path}/late", batch_id)
+        append_rows(held.where(F.col("xid") >= upto), f"{self.path}/pending", batch_id)
         append_rows(spark.range(1).select(F.lit(upto).cast("bigint").alias("xid")), f"{self.path}/cursor", batch_id)
+        delete(spark, f"{self.path}/pending/batch_id={batch_id - 2}")
+
+    def _part(self, spark: SparkSession, folder: str, batch_id: int, schema: StructType) -> DataFrame:
+        """One batch of a folder; a batch without rows has left nothing there."""
+        place = f"{self.path}/{folder}/batch_id={batch_id}"
+        return spark.read.schema(schema).parquet(place) if exists(spark, place) else spark.createDataFrame([], schema)
+
+    def waiting(self, spark: SparkSession, batch_id: int, schema: StructType) -> DataFrame:
+        """What waited after the batch."""
+        return self._part(spark, "pending", batch_id, schema)
 
     def _reached(self, spark: SparkSession, batch_id: int) -> int:
         if batch_id == 0:
             return 0
-        earlier = spark.read.parquet(f"{self.path}/cursor").where(F.col("batch_id") < batch_id)
-        return earlier.agg(F.max("xid")).first()[0] or 0
+        return self._part(spark, "cursor", batch_id - 1, StructType.fromDDL("xid BIGINT")).first()[0]
 
     def released(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/released").drop("batch_id")
