@@ -78,30 +78,6 @@ def measured(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def common_lines(docs: DataFrame, min_docs: int = 10, host_share: float = 0.2) -> DataFrame:
-    """Per host the array of line keys found in too many different documents.
-
-    The limit is ``min_docs`` or ``host_share`` of the host's documents, the larger. Two
-    documents count as different for a line if their smallest other line key differs, so
-    copies of one document, exact or with a few lines changed, count about once and do
-    not make their own text furniture. Rows are distinct (host, line, other) before they
-    are counted, so no host or line meets in one task. At most (lines per document) /
-    ``host_share`` keys can pass for a host.
-    """
-    lines = docs.select(
-        F.col("source").cast("string").alias("_host"),
-        F.sort_array(F.array_distinct(F.transform(_lines(text_of()), line_key))).alias("keys"),
-    )
-    least, second = F.get("keys", F.lit(0)), F.get("keys", F.lit(1))
-    each = lines.select("_host", least.alias("least"), second.alias("second"), F.explode("keys").alias("key")).select(
-        "_host", "key", F.coalesce(F.when(F.col("key") == F.col("least"), F.col("second")).otherwise(F.col("least")), F.lit(0)).alias("other")
-    )
-    found = each.groupBy("_host", "key").agg(F.count_distinct("other").alias("n")).filter(F.col("n") >= min_docs)
-    hosts = docs.groupBy(F.col("source").cast("string").alias("_of")).agg(F.count(F.lit(1)).alias("docs"))
-    over = found.join(hosts, found["_host"].eqNullSafe(hosts["_of"])).filter(F.col("n") >= F.ceil(F.col("docs") * host_share))
-    return over.groupBy("_host").agg(F.collect_set("key").alias("common"))
-
-
 def site_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """(host, key, first) of the lines found in ``min_docs`` different texts of a host or more.
 
@@ -119,27 +95,41 @@ def _each_line(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("source").cast("string").alias("host"), *doc_key(), F.explode(keys).alias("key"))
 
 
-def judge(docs: DataFrame, *more: str, min_docs: int = 10, host_share: float = 0.2, least_left: float = 0.5) -> DataFrame:
-    """One row per document: the base measures, ``kept`` and ``kept_text``, its text without common lines.
+def judge(docs: DataFrame, *more: str, min_docs: int = 10, least_left: float = 0.5) -> DataFrame:
+    """One row per document: the base measures, line_chars, gone_chars and ``kept``.
 
-    ``source`` is the host. kept is false if the base rules fail, or if common lines were
-    removed and less than ``least_left`` of the characters of its lines is left. A null
-    text counts as empty (and fails); a null source is a host of its own; repeated rows
-    are judged alike; an empty table gives an empty result. Only doc_id, source, text and
-    the columns named in ``more`` are read.
+    ``source`` is the host. A line is common from ``min_docs`` different texts of its host
+    on, whatever the host's size; exact copies of a document count once. kept is false if
+    the base rules fail, or if less than ``least_left`` of the characters of the document's
+    lines is left without the common ones. A null text counts as empty (and fails); a null
+    source is a host of its own; repeated rows are judged alike; an empty table gives an
+    empty result. Only doc_id, source, text and the columns named in ``more`` are read. The
+    texts without common lines are made by ``filtered``.
 
-    Common lines are written to the shared folder first, so that the size of their files
-    decides whether they are broadcast.
+    Texts are read once; what moves are line keys and counts. They are combined per (host,
+    line, text) and per document before they move, so no host or line meets in one task.
     """
-    common = stored(common_lines(docs, min_docs, host_share), "common-lines").withColumnRenamed("_host", "_common_host")
-    rows = measured(docs, *more)
-    both = rows.join(common, rows["_host"].eqNullSafe(common["_common_host"]), "left").drop("_common_host")
-    return _judged(both, least_left)
+    text_key = F.xxhash64("_text").alias("_text_key")
+    rows = stored(measured(docs, *more).withColumn("_row", F.monotonically_increasing_id()).select("*", text_key).drop("_text"), "measured")
+    lines = rows.select("_row", "_host", "_text_key", F.inline("_keys").alias("key", "chars"))
+    each = lines.select("_host", "key", "_text_key").distinct().groupBy("_host", "key").agg(F.count(F.lit(1)).alias("n"))
+    common = stored(each.filter(F.col("n") >= min_docs).select(F.col("_host").alias("_of"), F.col("key").alias("_key")), "common-lines")
+    hit = lines.join(common, lines["_host"].eqNullSafe(common["_of"]) & (lines["key"] == common["_key"]))
+    gone = hit.groupBy("_row").agg(F.sum("chars").cast("long").alias("_gone"))
+    both = rows.join(gone, "_row", "left").withColumns({"line_chars": _line_chars(), "gone_chars": F.coalesce("_gone", F.lit(0)).cast("long")})
+    return both.withColumn("kept", _kept(least_left)).drop("_keys", "_host", "_row", "_text_key", "_gone")
+
+
+def _line_chars() -> Column:
+    return F.aggregate("_keys", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+
+
+def _kept(least_left: float) -> Column:
+    return ~F.col("base_failed") & ((F.col("gone_chars") == 0) | (F.col("line_chars") - F.col("gone_chars") >= least_left * F.col("line_chars")))
 
 
 def _judged(both: DataFrame, least_left: float) -> DataFrame:
     """The verdict on measured rows, whose column ``common`` has the keys of the lines to remove."""
-    total = F.aggregate("_keys", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
     gone = F.when(
         F.col("common").isNotNull(),
         F.aggregate("_keys", F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains("common", x["key"]), x["chars"]).otherwise(0)),
@@ -148,9 +138,7 @@ def _judged(both: DataFrame, least_left: float) -> DataFrame:
         F.col("gone_chars") > 0,
         F.array_join(F.filter(F.split("_text", "\n", -1), lambda x: ~F.array_contains("common", line_key(x))), "\n"),
     ).otherwise(F.col("_text"))
-    return both.withColumn("line_chars", total).withColumn("gone_chars", gone).withColumn(
-        "kept", ~F.col("base_failed") & ((F.col("gone_chars") == 0) | (F.col("line_chars") - F.col("gone_chars") >= least_left * F.col("line_chars")))
-    ).withColumn("kept_text", kept_text).drop("common", "_keys", "_text", "_host")
+    return both.withColumn("line_chars", _line_chars()).withColumn("gone_chars", gone).withColumn("kept", _kept(least_left)).withColumn("kept_text", kept_text).drop("common", "_keys", "_text", "_host")
 
 
 def filtered(docs: DataFrame, min_docs: int = 10, least_left: float = 0.5) -> DataFrame:

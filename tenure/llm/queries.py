@@ -65,11 +65,7 @@ _OP6 = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x, regexp_ext
   r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1) GROUP BY doc_id),
   l AS (SELECT doc_id, source, line, ('0x' || substr(md5({_NORM}), 1, 15))::BIGINT AS key FROM (SELECT doc_id, source, unnest(string_split(x, chr(10))) AS line FROM t)
     WHERE regexp_matches(line, '{_WORD}')),
-  k AS (SELECT doc_id, source, list_sort(list_distinct(list(key))) AS k FROM l GROUP BY ALL),
-  e AS (SELECT source, unnest(k) AS key, k FROM k),
-  f AS (SELECT source, key, count(DISTINCT coalesce(CASE WHEN key = k[1] THEN k[2] ELSE k[1] END, 0)) AS n FROM e GROUP BY ALL),
-  h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-  c AS (SELECT f.source, key, true AS common FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE n >= 10 AND n >= ceil(docs * 0.2)),
+  c AS (SELECT source, key, true AS common FROM l JOIN (SELECT doc_id, x FROM t) USING (doc_id) GROUP BY ALL HAVING count(DISTINCT x) >= 10),
   d AS (SELECT doc_id, sum(length(line)) AS line_chars, coalesce(sum(length(line)) FILTER (common), 0)::BIGINT AS gone, count(*) - count(DISTINCT line) AS dup
     FROM l LEFT JOIN c ON l.key = c.key AND l.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
   m AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(translate(x, '#*$%&|<>', '')) AS n_symbols,
