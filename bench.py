@@ -58,6 +58,13 @@ HEADLINE = (
     "stm3_dedupe_effects",
     "stm4_heartbeat_alerts",
     "stm7_sweep_stream",
+    "evt7_pattern",
+    "evt7_pattern_of_long_histories",
+    "asg1_assign_all",
+    "ide6_differences",
+    "snk1_committed_history",
+    "src2_tail_events",
+    "stm2_given_state",
 )
 
 

@@ -309,17 +309,17 @@ def _(spark, sf):
 
 
 # Every kind of step at the start, with budgets of their own; every seventh is not known.
-_BEGUN = """begun AS (SELECT DISTINCT step_id, CASE step_id % 7 WHEN 3 THEN 'RETRY_WAIT' WHEN 4 THEN 'RUNNING' WHEN 5 THEN
+BEGUN = """begun AS (SELECT DISTINCT step_id, CASE step_id % 7 WHEN 3 THEN 'RETRY_WAIT' WHEN 4 THEN 'RUNNING' WHEN 5 THEN
     CASE WHEN step_id % 2 = 0 THEN 'PENDING' ELSE 'SUCCEEDED' END ELSE 'READY' END AS status,
   CAST(step_id % 2 AS INTEGER) AS version, CAST(step_id % 3 AS INTEGER) AS attempts, CAST(1 + step_id % 5 AS INTEGER) AS budget,
   CASE WHEN step_id % 7 = 4 THEN 'w' || (step_id // 100 % 8) END AS worker,
   CASE WHEN step_id % 7 = 4 THEN TIMESTAMP '2024-01-01' + to_days(CAST(3 * (step_id % 100) + 1 AS INTEGER)) END AS deadline,
   TIMESTAMP '2024-01-01' + to_hours(CAST(step_id % 96 AS INTEGER)) AS available_at FROM v_fold_writes WHERE step_id % 7 <> 6)"""
-_START = """SELECT step_id, status, version, attempts, budget, worker, deadline, CASE WHEN status IN ('READY', 'RETRY_WAIT') THEN available_at END AS due FROM begun
+START = """SELECT step_id, status, version, attempts, budget, worker, deadline, CASE WHEN status IN ('READY', 'RETRY_WAIT') THEN available_at END AS due FROM begun
     UNION ALL SELECT DISTINCT step_id, 'READY', 0, 0, 3, NULL, NULL, NULL FROM v_fold_writes WHERE step_id % 7 = 6"""
 
 
-def _begun(log):
+def begun_steps(log):
     """The same steps as rows of the relation."""
     c, day = F.col("step_id"), 86_400_000
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -339,7 +339,7 @@ def _begun(log):
     )
 
 
-_GIVEN = (_BEGUN, *replay_ctes(_END, start=_START))
+_GIVEN = (BEGUN, *replay_ctes(_END, start=START))
 _GIVEN_STATE = REPLAY_STATE.replace("due AS available_at", "coalesce(due, available_at) AS available_at").replace(
     "FROM replay", "FROM replay LEFT JOIN (SELECT step_id, available_at FROM begun) USING (step_id)"
 )
@@ -347,14 +347,14 @@ _GIVEN_STATE = REPLAY_STATE.replace("due AS available_at", "coalesce(due, availa
 
 def _replayed(spark, sf):
     log = written(v.fold_writes(spark, sf), "fold-writes")
-    begun = written(_begun(log), "begun")
+    begun = written(begun_steps(log), "begun")
     return log, begun, fold.lifecycle_fold(log, EVENTS_END, LEASE_MS, steps=begun)
 
 
 @query("stm2_given_decisions", with_views(REPLAY_DECISIONS, *_GIVEN, recursive=True))
 def _(spark, sf):
     """Steps begin in any state, each with its own budget."""
-    log, _begun_rows, generations = _replayed(spark, sf)
+    log, _steps, generations = _replayed(spark, sf)
     return fold.fold_decisions(log, generations, EVENTS_END).select("step_id", "seq", "op", "accepted")
 
 

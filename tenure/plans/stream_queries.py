@@ -9,11 +9,11 @@ from tenure.functions.scalars import plus_ms
 from tenure.operators import history, recover
 from tenure.plans import views as v
 from tenure.plans.arrivals import arriving, drain, drain_batches
-from tenure.plans.lease_queries import REPLAY_DECISIONS, REPLAY_EVENTS, replay_ctes
+from tenure.plans.lease_queries import BEGUN, REPLAY_DECISIONS, REPLAY_EVENTS, START, begun_steps, replay_ctes
 from tenure.plans.registry import query
 from tenure.plans.step_queries import _EXPIRED_SQL, _RECOVERED
 from tenure.plans.views import AS_OF, LEASE_MS, with_views
-from tenure.session import scratch_path
+from tenure.session import scratch_path, written
 from tenure.sources.sinks import committed_events, current_state, write_transitions
 from tenure.sources.state import StateTable
 from tenure.streaming.batches import OrderedRelease, Sweeper, event_rate_stream
@@ -89,7 +89,7 @@ def _(spark, sf):
 @query(
     "snk1_committed_history",
     with_views(
-        """SELECT step_id, event_type || ':v' || lease_version AS history, xid, CASE WHEN status = 'RUNNING' THEN current_worker_id END AS worker_id
+        """SELECT step_id, event_type || ':v' || lease_version AS history, CAST(xid AS BIGINT) AS xid, CASE WHEN status = 'RUNNING' THEN current_worker_id END AS worker_id
         FROM sweeps WHERE xid IS NOT NULL""",
         _SWEEPS,
     ),
@@ -124,6 +124,34 @@ def _(spark, sf):
     return rows.select("step_id", "lease_version", "event_type", F.col("at").alias("created_at"), "worker_id", "reason", "error")
 
 
+_GIVEN = (BEGUN, *replay_ctes(_WRITES_CLOCK, start=START))
+_GIVEN_HOPELESS = f"""UNION ALL SELECT step_id, seq, op, false FROM v_fold_writes JOIN ({START}) s USING (step_id)
+    WHERE op <> 'CLAIM' AND lease_version NOT BETWEEN version AND version + greatest(budget - attempts, 0) AND ts > {_WRITES_CLOCK}"""
+
+
+def _given_lifecycle(spark, sf):
+    log = v.fold_writes(spark, sf)
+    stream, steps = arriving(log, "writes")
+    return drain(lifecycle_stream(stream, LEASE_MS, steps=written(begun_steps(log), "begun")), "lifecycle", steps)
+
+
+@query("stm1_given_decisions", with_views(REPLAY_DECISIONS + _GIVEN_HOPELESS, *_GIVEN, recursive=True))
+def _(spark, sf):
+    """Steps begin in any state, each with its own budget."""
+    return _given_lifecycle(spark, sf).where(F.col("seq").isNotNull()).select("step_id", "seq", "op", "accepted")
+
+
+# Steps that only unreachable generations are named of never enter the state.
+_FOLLOWED = f"""SELECT step_id FROM v_fold_writes JOIN ({START}) s USING (step_id)
+    WHERE op = 'CLAIM' OR lease_version BETWEEN version AND version + greatest(budget - attempts, 0)"""
+
+
+@query("stm1_given_events", with_views(f"SELECT * FROM ({REPLAY_EVENTS}) WHERE step_id IN ({_FOLLOWED})", *_GIVEN, recursive=True))
+def _(spark, sf):
+    rows = _given_lifecycle(spark, sf).where(F.col("event_type").isNotNull())
+    return rows.select("step_id", "lease_version", "event_type", F.col("at").alias("created_at"), "worker_id", "reason", "error")
+
+
 @query(
     "stm3_dedupe_effects",
     with_views("""

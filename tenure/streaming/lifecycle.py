@@ -9,6 +9,7 @@ Expiry and retry times are event-time timers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -17,20 +18,22 @@ from pyspark.sql.types import StructField, StructType
 
 from tenure.functions import fixed
 
-_STEP = "status STRING, version INT, worker STRING, deadline BIGINT, due BIGINT"
+_STEP = "status STRING, version INT, attempts INT, budget INT, worker STRING, deadline BIGINT, due BIGINT"
 _WRITE = "ts BIGINT, seq BIGINT, op STRING, worker_id STRING, lease_version INT, retryable BOOLEAN, error STRING"
 _OUT = """
     seq BIGINT, op STRING, accepted BOOLEAN, event_type STRING, lease_version INT, attempt_count INT, at BIGINT,
     worker_id STRING, reason STRING, error STRING
 """
-_ENDED = ("SUCCEEDED", "DEAD_LETTERED")
+_ENDED = ("SUCCEEDED", "DEAD_LETTERED", "CANCELLED")
+_BEGUN = ("status", "version", "attempts", "budget", "worker", "deadline", "due")
 _out_row = Row("step_id", *[column.split()[0] for column in _OUT.split(",")])
 
 
 class _Lifecycle(StatefulProcessor):
-    def __init__(self, lease_us: int, max_attempts: int):
+    def __init__(self, lease_us: int, max_attempts: int, given: bool = False):
         self.lease_us = lease_us
         self.max_attempts = max_attempts
+        self.given = given
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -48,7 +51,16 @@ class _Lifecycle(StatefulProcessor):
 
     def _advance(self, key, rows, watermark_ms: int) -> Iterator[Row]:
         now = watermark_ms * 1000
-        status, version, worker, deadline, due = self.step.get() if self.step.exists() else ("READY", 0, None, None, None)
+        rows = iter(rows)
+        first = next(rows, None)
+        rows = () if first is None else chain((first,), rows)
+        if self.step.exists():
+            begun = self.step.get()
+        elif self.given and first is not None:
+            begun = tuple(first[f"begun_{name}"] for name in _BEGUN)
+        else:
+            begun = ("READY", 0, 0, self.max_attempts, None, None, None)
+        status, version, attempts, budget, worker, deadline, due = begun
         ready, later = [], []
         had_waiting = self.waiting.exists()
         for write in self.waiting.get() if had_waiting else ():
@@ -66,29 +78,29 @@ class _Lifecycle(StatefulProcessor):
                 added = True
         moved = bool(ready) or added
 
-        before = (status, version, worker, deadline, due)
+        before = (status, version, attempts, budget, worker, deadline, due)
         for write in [*sorted(ready, key=lambda w: (w[0], w[1])), None]:
             at = now if write is None else write[0]
-            if status == "RUNNING" and deadline <= at:
-                spent = version >= self.max_attempts
+            if status == "RUNNING" and deadline is not None and deadline <= at:
+                spent = attempts >= budget
                 status = "DEAD_LETTERED" if spent else "READY"
                 kind, reason = (
                     (fixed.STEP_DEAD_LETTERED, fixed.REASON_LEASE_BUDGET) if spent else (fixed.LEASE_RECOVERED, None)
                 )
-                yield self._out(key, None, None, True, kind, version, deadline, worker, reason)
-                worker = deadline = None
+                yield self._out(key, None, None, True, kind, version, attempts, deadline, worker, reason)
+                worker = deadline = due = None
             elif status == "RETRY_WAIT" and due <= at:
                 status = "READY"
-                yield self._out(key, None, None, True, fixed.RETRY_READY, version, due)
+                yield self._out(key, None, None, True, fixed.RETRY_READY, version, attempts, due)
             if write is None:
                 break
             ts, seq, op, who, named, retryable, error = write
             if op == "CLAIM":
-                if status != "READY" or version >= self.max_attempts:
+                if status != "READY" or attempts >= budget or (due is not None and due > ts):
                     yield self._out(key, seq, op, False)
                     continue
-                status, version, worker, deadline, due = "RUNNING", version + 1, who, ts + self.lease_us, None
-                yield self._out(key, seq, op, True, fixed.STEP_CLAIMED, version, ts, worker)
+                status, version, attempts, worker, deadline, due = "RUNNING", version + 1, attempts + 1, who, ts + self.lease_us, None
+                yield self._out(key, seq, op, True, fixed.STEP_CLAIMED, version, attempts, ts, worker)
                 continue
             if status != "RUNNING" or who != worker or named != version:
                 yield self._out(key, seq, op, False)
@@ -99,17 +111,17 @@ class _Lifecycle(StatefulProcessor):
                 continue
             if op == "COMPLETE":
                 status, kind, reason, error = "SUCCEEDED", fixed.STEP_SUCCEEDED, None, None
-            elif retryable and version < self.max_attempts:
-                doublings = min(max(version - 1, 0), fixed.BACKOFF_MAX_DOUBLINGS)
+            elif retryable and attempts < budget:
+                doublings = min(max(attempts - 1, 0), fixed.BACKOFF_MAX_DOUBLINGS)
                 status, kind, reason = "RETRY_WAIT", fixed.STEP_RETRY_SCHEDULED, None
                 due = ts + fixed.BACKOFF_BASE_MS * 1000 * 2**doublings
             else:
                 status, kind = "DEAD_LETTERED", fixed.STEP_DEAD_LETTERED
                 reason = fixed.REASON_BUDGET if retryable else fixed.REASON_NON_RETRYABLE
-            yield self._out(key, seq, op, True, kind, version, ts, worker, reason, error)
+            yield self._out(key, seq, op, True, kind, version, attempts, ts, worker, reason, error)
             worker = deadline = None
 
-        after = (status, version, worker, deadline, due)
+        after = (status, version, attempts, budget, worker, deadline, due)
         if after != before or not self.step.exists():
             self.step.update(after)
         if status in _ENDED:
@@ -135,8 +147,22 @@ class _Lifecycle(StatefulProcessor):
         if wanted is not None and not kept:
             self.handle.registerTimer(wanted)
 
-    def _out(self, key, seq, op, accepted, kind=None, version=None, at=None, worker=None, reason=None, error=None) -> Row:
-        return _out_row(key[0], seq, op, accepted, kind, version, version, at, worker, reason, error)
+    def _out(self, key, seq, op, accepted, kind=None, version=None, attempts=None, at=None, worker=None, reason=None, error=None) -> Row:
+        return _out_row(key[0], seq, op, accepted, kind, version, attempts, at, worker, reason, error)
+
+
+def _as_begun(rows: DataFrame, steps: DataFrame, max_attempts: int) -> DataFrame:
+    """Writes with their step's row at the start; a step that is not known begins READY and unclaimed."""
+    micros = lambda c: F.unix_micros(F.col(c))
+    waits = F.col("status").isin("READY", "RETRY_WAIT")
+    begun = {
+        "status": F.col("status"), "version": F.col("lease_version"), "attempts": F.col("attempt_count"), "budget": F.col("max_attempts"),
+        "worker": F.col("current_worker_id"), "deadline": F.when(F.col("status") == "RUNNING", micros("lease_expires_at")), "due": F.when(waits, micros("available_at")),
+    }
+    known = steps.select("step_id", *[begun[name].alias(f"begun_{name}") for name in _BEGUN])
+    fresh = {"status": "READY", "version": 0, "attempts": 0, "budget": max_attempts}
+    joined = rows.join(known, "step_id", "left")
+    return joined.withColumns({f"begun_{name}": F.coalesce(f"begun_{name}", F.lit(value)) for name, value in fresh.items()})
 
 
 def lifecycle_stream(
@@ -144,23 +170,34 @@ def lifecycle_stream(
     lease_ms: int = fixed.DEFAULT_LEASE_MS,
     delay: str = "0 seconds",
     max_attempts: int = fixed.DEFAULT_MAX_ATTEMPTS,
+    steps: DataFrame | None = None,
 ) -> DataFrame:
     """Decisions and events of a stream of owner writes.
 
     One row per owner write (seq and op set, accepted or not) and per timed
     transition (seq and op null). Rows that changed a status carry the event.
     Writes naming a generation no step can reach are judged without state.
+
+    ``steps``, a table that does not change while the stream runs, has steps as they
+    were before the writes, each with its own ``max_attempts``; the first write of a
+    step that is a claim or can be reached brings its row into the state. A step without
+    such a write is not followed.
     """
     key = writes.schema["step_id"]
     out = StructType([StructField("step_id", key.dataType), *StructType.fromDDL(_OUT).fields])
     marked = writes.withWatermark("ts", delay)
-    reachable = (F.col("op") == "CLAIM") | F.col("lease_version").between(1, max_attempts)
-    rows = marked.where(F.coalesce(reachable, F.lit(False))).withColumn("ts_us", F.unix_micros("ts"))
+    reachable = F.col("lease_version").between(1, max_attempts)
+    if steps is not None:
+        marked = _as_begun(marked, steps, max_attempts)
+        left = F.greatest(F.col("begun_budget") - F.col("begun_attempts"), F.lit(0))
+        reachable = F.col("lease_version").between(F.col("begun_version"), F.col("begun_version") + left)
+    reachable = F.coalesce((F.col("op") == "CLAIM") | reachable, F.lit(False))
+    rows = marked.where(reachable).withColumn("ts_us", F.unix_micros("ts"))
     judged = rows.groupBy("step_id").transformWithState(
-        _Lifecycle(lease_ms * 1000, max_attempts), outputStructType=out, outputMode="Append", timeMode="EventTime"
+        _Lifecycle(lease_ms * 1000, max_attempts, steps is not None), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
     judged = judged.select(*[F.timestamp_micros("at").alias("at") if f == "at" else F.col(f) for f in out.names])
-    hopeless = marked.where(~F.coalesce(reachable, F.lit(False))).select(
+    hopeless = marked.where(~reachable).select(
         *[
             F.col(f.name) if f.name in ("step_id", "seq", "op") else F.lit(False).alias("accepted") if f.name == "accepted"
             else F.lit(None).cast("timestamp" if f.name == "at" else f.dataType).alias(f.name)

@@ -55,6 +55,27 @@ def test_lifecycle_stream_equals_the_replay_however_it_is_cut(spark, parts):
     assert sorted(told, key=str) == events
 
 
+def test_lifecycle_stream_from_given_steps_equals_the_replay(spark):
+    """Steps in any state, with budgets of their own; the first write brings the row into the state."""
+    log = random_log(8, 250)
+    end = max(w["ts"] for w in log)
+    begun = {}
+    for i, name in enumerate(sorted({w["step_id"] for w in log})):
+        status = ("READY", "RUNNING", "RETRY_WAIT", "SUCCEEDED", "READY", "PENDING")[i % 6]
+        held = {"current_worker_id": "a", "lease_expires_at": at(i % 7 * 13)} if status == "RUNNING" else {"current_worker_id": None, "lease_expires_at": None}
+        if i % 11:
+            begun[name] = {"status": status, "lease_version": i % 3, "attempt_count": i % 4, "max_attempts": 1 + i % 5, "available_at": at(i % 5 * 9), **held}
+    given = steps(spark, [{"step_id": k, **b} for k, b in begun.items()])
+    closing = write(10_000, "closing", "CLAIM", (end - NOW).total_seconds() + 200)
+    feed = Feed(spark, "owner_writes", [*cut(log, 3, delay=20), [closing]])
+    got = drain(lifecycle_stream(feed.stream, LEASE, delay="20 seconds", steps=given), "lifecycle", feed).collect()
+    decisions, events, _ = plain_replay(log, at((end - NOW).total_seconds() + 180), begun=begun)
+    assert {r.seq: r.accepted for r in got if r.seq is not None and r.seq != 10_000} == decisions
+    told = [(r.step_id, r.lease_version, r.event_type, r.at, r.worker_id) for r in got if r.event_type and r.step_id != "closing"]
+    claimed = {w["step_id"] for w in log if w["op"] == "CLAIM"}
+    assert sorted((t for t in told if t[0] in claimed), key=str) == sorted((e for e in events if e[0] in claimed), key=str)
+
+
 def test_effects_are_first_wins_across_batches(spark):
     def request(seq, key, body, ts):
         return {"idempotency_key": key, "effect_type": "t", "request": body, "ts": at(ts), "seq": seq}
