@@ -37,6 +37,25 @@ def _spans(turns: Column) -> Column:
     return walked
 
 
+def swapped_replies(turns: DataFrame) -> DataFrame:
+    """Pairs out of conversations without preference labels, as rows for ``format_pairs``.
+
+    Takes (conv_id, turn, role, text). Chosen is a conversation as it is; rejected has the
+    same turns, the last with the text of another conversation's last turn: the partner of
+    2k is 2k + 1 and the other way round, so pairs share all turns before the last reply.
+    Without a partner the reply is empty. Rows that share the last turn's number all get the
+    partner's text. A null conv_id is a conversation of its own, without a partner.
+    """
+    said = F.struct("turn", F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    last = turns.groupBy(F.col("conv_id").alias("_conv")).agg(F.max(said).alias("_last"))
+    other = last.select(F.col("_conv").bitwiseXOR(F.lit(1)).alias("_of"), F.col("_last.text").alias("_reply"))
+    ends = last.join(other, F.col("_conv") == F.col("_of"), "left").select("_conv", F.col("_last.turn").alias("_turn"), F.coalesce("_reply", F.lit("")).alias("_reply"))
+    rows = turns.select("conv_id", "turn", "role", "text").join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    sides = rows.withColumn("side", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))
+    swapped = (F.col("side") == "rejected") & (F.col("turn") == F.col("_turn"))
+    return sides.select(F.col("conv_id").alias("pair_id"), "side", "turn", "role", F.when(swapped, F.col("_reply")).otherwise(F.col("text")).alias("text"))
+
+
 def format_pairs(turns: DataFrame) -> DataFrame:
     """Prompt and masked completions of every pair.
 

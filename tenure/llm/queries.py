@@ -114,8 +114,11 @@ def _(spark, sf):
 _SAFE = "replace({}, '<|', '< |')"
 _RENDER = f"'<|' || {_SAFE.format('t.r')} || '|>' || chr(10) || {_SAFE.format('t.x')} || '<|end|>' || chr(10)"
 _SIDE = "array_to_string([" + _RENDER + " FOR t IN {}], '')"
-_OP9 = f"""WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rejected, {{'turn': turn, 'r': coalesce(role, 'unknown'), 'x': coalesce(text, '')}} AS t FROM conversations),
-  p AS (SELECT pair_id, coalesce(list_sort(list(t) FILTER (NOT rejected)), []) AS c, coalesce(list_sort(list(t) FILTER (rejected)), []) AS r FROM t GROUP BY pair_id),
+_OP9 = f"""WITH t AS (SELECT conv_id, {{'turn': turn, 'r': coalesce(role, 'unknown'), 'x': coalesce(text, '')}} AS t FROM conversations),
+  v AS (SELECT conv_id, list_sort(list(t)) AS c FROM t GROUP BY conv_id),
+  o AS (SELECT xor(conv_id, 1) AS conv_id, c[len(c)].x AS reply FROM v),
+  p AS (SELECT v.conv_id AS pair_id, c, list_sort([CASE WHEN t.turn = c[len(c)].turn THEN {{'turn': t.turn, 'r': t.r, 'x': coalesce(reply, '')}} ELSE t END FOR t IN c]) AS r
+    FROM v LEFT JOIN o ON v.conv_id = o.conv_id),
   n AS (SELECT *, least(len(c), len(r)) AS most FROM p),
   q AS (SELECT *, coalesce(list_min([i - 1 FOR i IN range(1, most + 1) IF c[i].r <> r[i].r OR c[i].x <> r[i].x]), most) AS k FROM n),
   z AS (SELECT pair_id, k, c[1:k] AS head, c[k + 1:] AS c, r[k + 1:] AS r FROM q)
@@ -127,11 +130,8 @@ _OP9 = f"""WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS rejecte
 
 @query("op9_preference_pairs", _OP9)
 def _(spark, sf):
-    """The table has no preference labels: conversations 2k and 2k + 1 are read as chosen and rejected."""
-    turns = table(spark, sf, "conversations").select(
-        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"),
-        F.when(F.col("conv_id") % 2 == 1, "rejected").otherwise("chosen").alias("side"), "turn", "role", "text",
-    )
+    """The table has no preference labels: a conversation is chosen, the same with another's last reply rejected."""
+    turns = preferences.swapped_replies(table(spark, sf, "conversations"))
     trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
     return preferences.format_pairs(turns).select(
         "pair_id", "n_prompt_turns", "n_chosen_turns", "n_rejected_turns", "prompt", "chosen", "rejected",
