@@ -34,6 +34,7 @@ class HashTree:
         top = F.call_function("shiftright", F.col(_LEAF), F.lit(FAN_BITS * (self.levels - 1))).cast("int")
         rows = df.withColumn(_PLACE, place).withColumn(_LEAF, leaf).withColumn("__top", top)
         rows.repartitionByRange("__top", _LEAF, _PLACE).sortWithinPartitions("__top", _LEAF, _PLACE).write.mode("overwrite").partitionBy("__top").parquet(f"{self.path}/rows")
+        rows.where(F.lit(False)).write.mode("overwrite").parquet(f"{self.path}/columns")  # an empty table leaves no folder behind
         written = spark.read.schema(rows.schema).parquet(f"{self.path}/rows")
         nodes = written.groupBy(F.col(_LEAF).alias("node")).agg(*_sums(df.columns))
         for level in range(self.levels, -1, -1):
@@ -64,7 +65,8 @@ class HashTree:
 
     def rows(self, spark: SparkSession, leaves: Sequence[int] | None = None) -> DataFrame:
         """The rows, of some ranges only if given: other folders and row groups are not read."""
-        stored = spark.read.parquet(f"{self.path}/rows")
+        columns = spark.read.parquet(f"{self.path}/columns").schema
+        stored = spark.read.schema(columns).parquet(f"{self.path}/rows")
         if leaves is not None:
             tops = sorted({x >> (FAN_BITS * (self.levels - 1)) for x in leaves})
             stored = stored.where(F.col("__top").isin(tops) & F.col(_LEAF).isin(list(leaves)))
