@@ -5,20 +5,26 @@ of its last SCORED places attends to what is before it; a distance has its own b
 place's state g gives id y the weight uni[y] * ((w[y] . g)^2 + a), uni being the corpus
 frequency. Such squares sum over the whole vocabulary by one small matrix, so every
 probability is exact at a cost that does not depend on the vocabulary.
+
+What words alone say of the next id, counted in the corpus, is mixed in: after id x, the
+table of pairs has a share gate[x], and attention has the rest together with what the
+table leaves open. Both sum to one over the vocabulary, so the mixture does. Attention
+is trained on what the pairs do not explain.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WIDTH, BACK, SCORED = 16, 12, 16
+WIDTH, BACK, SCORED = 8, 12, 20
 WINDOW = BACK + SCORED
-OWN = 2048  # ranks with vectors of their own; the others share one as input and go by frequency as output
-_FAR = np.float32(-1e9)
+OWN = 2048  # ranks with vectors and pairs of their own; the others share one as input and go by frequency as output
+_FAR, _MOST = np.float32(-1e9), np.float32(60)  # 60 is far from what training reaches; keeps exp finite without a shift
+_ROOT = np.float32(np.sqrt(WIDTH))
 _PLACES = np.arange(WINDOW)[None, :] - (BACK + np.arange(SCORED))[:, None]  # key place - query place
 SHAPES = {
     "e": (OWN + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH),
-    "d": (WINDOW,), "w": (OWN, WIDTH + 1), "a": (1,),
+    "d": (WINDOW,), "w": (OWN, WIDTH + 1), "a": (1,), "gate": (OWN + 1,),
 }
 
 
@@ -30,6 +36,7 @@ def started() -> dict[str, np.ndarray]:
     p["d"] = (-0.5 * np.arange(WINDOW)).astype(np.float32)
     p["w"][:, -1] = 1
     p["a"] = np.zeros(1, np.float32)
+    p["gate"] = np.full(OWN + 1, 2, np.float32)
     return p
 
 
@@ -52,6 +59,25 @@ def frequencies(counts: np.ndarray, vocabulary: int) -> np.ndarray:
     return seen / (seen[:-1].sum() + max(1, vocabulary - len(counts)))
 
 
+def pair_shares(before: np.ndarray, after: np.ndarray, counts: np.ndarray, discount: float = 0.75) -> np.ndarray:
+    """Share of each next id after an id, from counts of neighbours in words, as (OWN + 1, OWN + 1).
+
+    ``before`` is -1 where ``after`` begins a word, ``after`` is -1 where ``before`` ends one.
+    A word's first id does not depend on the word before it. Rows sum to one at most: a pair
+    is counted a little lower than it was seen, and ranks from OWN on are left out.
+    """
+    begins, ends, inside = before < 0, after < 0, (before >= 0) & (after >= 0)
+    of = np.bincount(np.minimum(before[~begins], OWN), counts[~begins], OWN + 1)
+    first = np.bincount(np.minimum(after[begins], OWN), counts[begins], OWN + 1)
+    last = np.bincount(np.minimum(before[ends], OWN), counts[ends], OWN + 1)
+    place = np.minimum(before[inside], OWN) * (OWN + 1) + np.minimum(after[inside], OWN)
+    table = np.bincount(place, np.maximum(0, counts[inside] - discount), (OWN + 1) ** 2).reshape(OWN + 1, OWN + 1).astype(float)
+    table += np.outer(last, first / max(1, first.sum()))
+    table /= np.maximum(1, of)[:, None]
+    table[OWN] = table[:, OWN] = 0
+    return table.astype(np.float32)
+
+
 def windows(docs: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, starts, owner) of all windows of the documents; -1 fills up.
 
@@ -82,7 +108,7 @@ def _distance(p: dict) -> np.ndarray:
 class Scorer:
     """Tables made from the parameters."""
 
-    def __init__(self, p: dict, counts: np.ndarray, vocabulary: int):
+    def __init__(self, p: dict, counts: np.ndarray, vocabulary: int, pairs: np.ndarray):
         uni = frequencies(counts, vocabulary)
         w = np.zeros((len(uni), WIDTH + 1))
         own = min(OWN, len(uni) - 1)
@@ -90,30 +116,24 @@ class Scorer:
         self.a = float(np.exp(p["a"][0]))
         self.m = (w.T @ w).astype(np.float32)
         self.u, self.ua = w.astype(np.float32), (self.a * uni).astype(np.float32)
-        nothing = np.zeros((1, WIDTH), np.float32)  # for what fills up; it is never attended to
-        table = lambda x: np.ascontiguousarray(np.vstack([x, nothing]), np.float32)
-        e = p["e"]
-        self.q, self.r = table(e @ p["q"] / np.float32(np.sqrt(WIDTH))), table(e @ p["r"])
-        self.k, self.v, self.bias = table(e @ p["k"]), table(e @ p["v"]), _distance(p)
+        self.q, self.k, self.v, self.r = _tables(p)
+        self.bias, self.pairs = _distance(p), pairs
+        self.share = 1 / (1 + np.exp(-p["gate"]))
+        self.left = (1 - self.share * pairs.sum(1)).astype(np.float32)
 
     def score(self, docs: list[np.ndarray], end: int, chunk: int = 256) -> np.ndarray:
         """Natural log probability of each document (ranks, the end mark last)."""
         inputs, targets, starts, owner = windows(docs, end)
         shown = np.where(inputs < 0, OWN + 1, np.minimum(inputs, OWN)).astype(np.int32)
-        hidden = np.where(inputs < 0, _FAR, np.float32(0)).astype(np.float32)
-        ones, out, steps = np.ones((WINDOW, 1), np.float32), np.zeros(len(docs)), np.arange(WINDOW)
+        out, steps = np.zeros(len(docs)), np.arange(WINDOW)
         for s in range(0, len(starts), chunk):
             place = starts[s : s + chunk, None] + steps
             x = shown.take(place)
             asked = np.ascontiguousarray(x[:, BACK:])
             a = np.matmul(self.q.take(asked, 0), self.k.take(x, 0).transpose(0, 2, 1))
-            a += self.bias
-            a += hidden.take(place)[:, None, :]
-            np.minimum(a, np.float32(60), out=a)  # far from what training reaches; keeps exp finite without a shift
-            np.exp(a, out=a)
+            a, total = _attended(a, self.bias)
             g = np.matmul(a, self.v.take(x, 0))
-            total = (a.reshape(-1, WINDOW) @ ones).reshape(len(x), SCORED, 1)
-            g /= np.maximum(total, np.float32(1e-30))
+            g /= total
             g += self.r.take(asked, 0)
             g = (g / (1 + np.abs(g))).reshape(-1, WIDTH)
             y = targets.take(place[:, BACK:]).ravel()
@@ -123,84 +143,135 @@ class Scorer:
             turned = g @ self.m[:WIDTH, :WIDTH]
             turned += 2 * self.m[WIDTH, :WIDTH]
             norm = np.einsum("td,td->t", turned, g) + (self.m[WIDTH, WIDTH] + np.float32(self.a))
-            logp = np.log((own * own + self.ua.take(known)) / norm)
+            before = np.minimum(asked.ravel(), OWN)
+            counted = self.pairs.take(before * (OWN + 1) + np.clip(y, 0, OWN))
+            logp = np.log(self.left.take(before) * ((own * own + self.ua.take(known)) / norm) + self.share.take(before) * counted)
             logp[y < 0] = 0
             out += np.bincount(owner[s : s + chunk], logp.reshape(-1, SCORED).sum(1, dtype=np.float64), len(docs))
         return out
 
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray, uni: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over the places of a batch and its gradients; x (B, WINDOW) and y (B, SCORED), -1 fills up."""
-    b = len(x)
-    empty, ids = x < 0, np.minimum(np.where(x < 0, OWN, x), OWN)
-    e = p["e"][ids]
-    eq = e[:, BACK:]
-    q, k, v = eq @ p["q"] / np.float32(np.sqrt(WIDTH)), e @ p["k"], e @ p["v"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) + _distance(p) + np.where(empty, _FAR, np.float32(0))[:, None, :]
-    a = np.exp(s - s.max(-1, keepdims=True))
-    a /= a.sum(-1, keepdims=True)
-    pre = (np.matmul(a, v) + eq @ p["r"]).reshape(-1, WIDTH)
-    real = np.flatnonzero(y.ravel() >= 0)
-    t = np.minimum(y.ravel()[real], len(uni) - 1)
-    count = max(1, len(real))
-    g = np.ones((len(real), WIDTH + 1), pre.dtype)
-    g[:, :WIDTH] = pre[real] / (1 + np.abs(pre[real]))
+def _tables(p: dict) -> list[np.ndarray]:
+    """Query, key, value and direct vectors of every input; the last row is for what fills up.
+
+    Queries and keys have one more component, by which what fills up is never attended to.
+    """
+    made = p["e"] @ np.concatenate([p["q"] / _ROOT, p["k"], p["v"], p["r"]], axis=1)
+    made = np.concatenate([made, np.zeros((1, 4 * WIDTH), made.dtype)])
+    q, k, v, r = (np.ascontiguousarray(made[:, i : i + WIDTH]) for i in range(0, 4 * WIDTH, WIDTH))
+    far = np.zeros((len(k), 1), k.dtype)
+    far[-1] = _FAR
+    return [np.concatenate([q, np.ones_like(far)], axis=1), np.concatenate([k, far], axis=1), v, r]
+
+
+def _attended(a: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights before they are divided by their sums, and the sums."""
+    a += bias
+    np.minimum(a, _MOST.astype(a.dtype), out=a)
+    np.exp(a, out=a)
+    total = (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), a.dtype)).reshape(len(a), SCORED, 1)
+    return a, np.maximum(total, a.dtype.type(1e-30))
+
+
+def _scattered(ids: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each id."""
+    columns = np.ascontiguousarray(rows.T)
+    return np.stack([np.bincount(ids, c, size) for c in columns], axis=1).astype(rows.dtype)
+
+
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, uni: np.ndarray, pairs: np.ndarray, full: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over the places of a batch and its gradients; x (B, WINDOW) and y (B, SCORED), -1 fills up.
+
+    ``full`` is the sum of each row of ``pairs``.
+    """
+    kind = p["e"].dtype
+    tables = _tables(p)
+    ids = np.where(x < 0, OWN + 1, np.minimum(x, OWN))
+    asked = np.ascontiguousarray(ids[:, BACK:])
+    q, r = tables[0].take(asked, 0), tables[3].take(asked, 0)
+    k, v = tables[1].take(ids, 0), tables[2].take(ids, 0)
+    a, total = _attended(np.matmul(q, k.transpose(0, 2, 1)), _distance(p).astype(kind))
+    q, k = q[:, :, :WIDTH], k[:, :, :WIDTH]
+    seen = np.matmul(a, v) / total
+    pre = (seen + r).reshape(-1, WIDTH)
+    t = y.ravel()
+    real = t >= 0
+    count = max(1, int(real.sum()))
+    t = np.where(real, np.minimum(t, len(uni) - 1), len(uni) - 1)
+    bend = 1 / (1 + np.abs(pre))
+    g = np.ones((len(t), WIDTH + 1), kind)
+    np.multiply(pre, bend, out=g[:, :WIDTH])
+
     own = min(OWN, len(uni) - 1)
-    root = np.sqrt(uni[:own, None]).astype(pre.dtype)
-    w = p["w"][:own] * root
-    has = t < own
-    u = np.where(has[:, None], w[np.minimum(t, own - 1)], 0).astype(pre.dtype)
+    root = np.sqrt(uni[:own, None]).astype(kind)
+    w = np.zeros((own + 1, WIDTH + 1), kind)
+    w[:own] = p["w"][:own] * root
+    to = np.minimum(t, own)
+    u = w.take(to, 0)
     alpha = np.exp(p["a"][0])
-    dot = (u * g).sum(1)
-    top = dot**2 + alpha * uni[t]
+    often = uni.take(t).astype(kind)
+    dot = np.einsum("td,td->t", u, g)
+    top = dot * dot + alpha * often
     m = w.T @ w
     turned = g @ m
-    norm = (turned * g).sum(1) + alpha
-    loss = float((np.log(norm) - np.log(top)).sum()) / count
-    ddot = (-2 * dot / top / count).astype(pre.dtype)
-    dnorm = (1 / norm / count).astype(pre.dtype)
-    dw = 2 * w @ ((g * dnorm[:, None]).T @ g)
-    np.add.at(dw, t[has], ddot[has, None] * g[has])
-    out = {"w": np.zeros_like(p["w"]), "a": np.array([alpha * ((-uni[t] / top / count).sum() + dnorm.sum())], p["a"].dtype)}
+    norm = np.einsum("td,td->t", turned, g) + alpha
+
+    before = np.minimum(asked.ravel(), OWN)
+    share = (1 / (1 + np.exp(-p["gate"]))).astype(kind)
+    by_pair = pairs.take(before * (OWN + 1) + np.where(real, np.minimum(t, OWN), OWN)).astype(kind)
+    given, mass = share.take(before), full.take(before).astype(kind)
+    model = top / norm
+    mixed = (1 - given * mass) * model + given * by_pair
+    loss = -float(np.log(mixed[real]).sum()) / count
+    each = np.where(real, 1 / count, 0).astype(kind)
+    dgate = -each * (by_pair - mass * model) / mixed * given * (1 - given)
+    each *= (1 - given * mass) * model / mixed  # what is left for attention to explain
+
+    ddot, dnorm = -2 * each * dot / top, each / norm
+    dw = 2 * w[:own] @ ((g * dnorm[:, None]).T @ g)
+    dw += _scattered(to, ddot[:, None] * g, own + 1)[:own]
+    out = {"w": np.zeros_like(p["w"]), "a": np.array([alpha * (dnorm - each * often / top).sum()], kind)}
     out["w"][:own] = dw * root
-    dg = ddot[:, None] * u + 2 * dnorm[:, None] * turned
-    dpre = np.zeros_like(pre)
-    dpre[real] = dg[:, :WIDTH] / (1 + np.abs(pre[real])) ** 2
-    dpre = dpre.reshape(b, SCORED, WIDTH)
-    out["r"] = eq.reshape(-1, WIDTH).T @ dpre.reshape(-1, WIDTH)
-    da, dv = np.matmul(dpre, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dpre)
-    ds = a * (da - (a * da).sum(-1, keepdims=True))
+    out["gate"] = np.bincount(before, dgate, OWN + 1).astype(kind)
+    dpre = ddot[:, None] * u[:, :WIDTH] + (2 * dnorm)[:, None] * turned[:, :WIDTH]
+    dpre *= bend
+    dpre *= bend
+    dpre = dpre.reshape(seen.shape)
+    dseen = dpre / total
+    ds = np.matmul(dseen, v.transpose(0, 2, 1))
+    ds -= np.einsum("bsd,bsd->bs", dseen, seen)[:, :, None]
+    ds *= a
     by_place = ds.sum(0)
-    out["d"] = np.bincount(np.clip(-_PLACES, 0, WINDOW - 1)[_PLACES <= 0], by_place[_PLACES <= 0], WINDOW).astype(p["d"].dtype)
-    dq = np.matmul(ds, k) / np.float32(np.sqrt(WIDTH))
-    dk = np.matmul(ds.transpose(0, 2, 1), q)
-    de = dk @ p["k"].T + dv @ p["v"].T
-    de[:, BACK:] += dq @ p["q"].T + dpre @ p["r"].T
-    out["q"] = eq.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
-    out["k"] = e.reshape(-1, WIDTH).T @ dk.reshape(-1, WIDTH)
-    out["v"] = e.reshape(-1, WIDTH).T @ dv.reshape(-1, WIDTH)
-    de[empty] = 0
-    grad = np.zeros_like(p["e"])
-    np.add.at(grad, ids.ravel(), de.reshape(-1, WIDTH))
-    out["e"] = grad
+    out["d"] = np.bincount(np.clip(-_PLACES, 0, WINDOW - 1)[_PLACES <= 0], by_place[_PLACES <= 0], WINDOW).astype(kind)
+    wide = np.concatenate([np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dseen)], axis=2).reshape(-1, 2 * WIDTH)
+    narrow = np.concatenate([np.matmul(ds, k), dpre], axis=2).reshape(-1, 2 * WIDTH)
+    e = np.concatenate([p["e"], np.zeros((1, WIDTH), kind)])
+    for_keys, for_queries = e.take(ids.ravel(), 0).T @ wide, e.take(asked.ravel(), 0).T @ narrow
+    out["k"], out["v"] = for_keys[:, :WIDTH], for_keys[:, WIDTH:]
+    out["q"], out["r"] = for_queries[:, :WIDTH] / _ROOT, for_queries[:, WIDTH:]
+    de = (wide @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(*ids.shape, WIDTH)
+    de[:, BACK:] += (narrow @ np.concatenate([p["q"] / _ROOT, p["r"]], axis=1).T).reshape(*asked.shape, WIDTH)
+    out["e"] = _scattered(ids.ravel(), de.reshape(-1, WIDTH), OWN + 2)[: OWN + 1]
     return loss, out
 
 
 class Trainer:
-    """Adam from given parameters."""
+    """Adam from given parameters, at a falling rate."""
 
-    def __init__(self, p: dict, counts: np.ndarray, vocabulary: int, rate: float = 0.02):
+    def __init__(self, p: dict, counts: np.ndarray, vocabulary: int, pairs: np.ndarray, rate: float = 0.04):
         self.p, self.rate, self.steps = {n: x.copy() for n, x in p.items()}, rate, 0
+        self.pairs, self.full = pairs, pairs.sum(1)
         self.uni = frequencies(counts, vocabulary).astype(np.float32)
         self.m = {n: np.zeros_like(x) for n, x in p.items()}
         self.s = {n: np.zeros_like(x) for n, x in p.items()}
 
     def step(self, x: np.ndarray, y: np.ndarray) -> float:
-        loss, grads = gradients(self.p, x, y, self.uni)
+        loss, grads = gradients(self.p, x, y, self.uni, self.pairs, self.full)
         self.steps += 1
+        rate = self.rate / (1 + self.steps / 100) ** 0.5
         for n, g in grads.items():
             self.m[n] += 0.1 * (g - self.m[n])
             self.s[n] += 0.01 * (g * g - self.s[n])
             m, s = self.m[n] / (1 - 0.9**self.steps), self.s[n] / (1 - 0.99**self.steps)
-            self.p[n] -= (self.rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+            self.p[n] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
         return loss

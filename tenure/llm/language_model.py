@@ -1,10 +1,10 @@
 """Language-model scores of whole texts (operator 7).
 
 Words are counted over all training documents; the counts give the base score and, over
-the subwords of the words, the frequencies that the attention model starts from. The
-model is trained where the data is: each task runs over its share of the training
-windows from the same start, the results are averaged, and the next round starts there.
-Then one pass scores every text.
+the subwords of the words, the frequencies and pairs that the attention model is mixed
+with. The model is trained where the data is: each task runs over its share of the
+training windows from the same start, and the results are averaged; further rounds would
+start there. Then one pass scores every text.
 """
 
 from __future__ import annotations
@@ -31,7 +31,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = "\n"
 #: Words at least as frequent as one in so many tokens are sent to every task: by arithmetic there are no more of them than this.
 HEAD_WORDS = 1_000_000
-ROUNDS, BATCH, LEAST_STEPS = 2, 64, 60
+ROUNDS, RATE = 1, 0.1
+#: Windows in a training step: few at first, so that little text makes steps too, then many, which cost less each.
+FIRST_BATCH, MORE, BATCH = 64, 8, 512
+#: Training texts of about so many words share a task, where files are smaller than that.
+TASK_WORDS = 200_000
 #: Subword ids that a training task holds at a time.
 TRAIN_IDS = 400_000
 _PART = 4096
@@ -77,19 +81,50 @@ def vocabulary(path: str = TOKENIZER) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _subword_counts(subwords):
+def _pair_counts(subwords, most: int = 200_000):
+    """Counts of neighbours (before, after) in words; -1 stands before a word's first subword and after its last."""
+
+    def rows(found):
+        before, after = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(list(found.values()), pa.int64())], names=["before", "after", "n"]
+        )
+
     def run(batches):
         cut: Subwords = subwords.value
-        found: dict[int, int] = {}
+        found: dict[tuple[int, int], int] = {}
         for b in batches:
             for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                for i in cut.ids(word.encode("utf-8", "surrogatepass")):
-                    found[i] = found.get(i, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["id", "n"])
+                ids = cut.ids(word.encode("utf-8", "surrogatepass"))
+                for pair in zip([-1, *ids], [*ids, -1], strict=True):
+                    found[pair] = found.get(pair, 0) + c
+            if len(found) > most:
+                yield rows(found)
+                found = {}
+        if found:
+            yield rows(found)
 
     return run
 
 
+def subword_tables(counts: DataFrame, ranks: dict[bytes, int]) -> tuple[Subwords, np.ndarray, np.ndarray]:
+    """Subwords by rank, their counts and the shares of pairs among the first ranks, from word counts."""
+    spark = counts.sparkSession
+    plain = spark.sparkContext.broadcast(Subwords(ranks))
+    pairs = stored(counts.mapInArrow(_pair_counts(plain), "before long, after long, n long").groupBy("before", "after").agg(F.sum("n").alias("n")), "pairs")
+    found = pairs.filter("after >= 0").groupBy("after").agg(F.sum("n").alias("n")).collect()  # one per subword of the vocabulary
+    order = sorted(found, key=lambda r: (-r["n"], r["after"]))
+    cut = Subwords(ranks, [r["after"] for r in order] or [len(ranks)])
+    own = spark.createDataFrame([(i, r) for i, r in [(-1, -1), *((x["after"], k) for k, x in enumerate(order[: attention.OWN]))]], "id long, rank int")
+    ranked = pairs
+    for end in ("before", "after"):
+        named = F.broadcast(own.select(F.col("id").alias(end), F.col("rank").alias(f"{end}_rank")))  # OWN rows
+        ranked = ranked.join(named, end, "left").withColumn(f"{end}_rank", F.coalesce(f"{end}_rank", F.lit(attention.OWN)))
+    among = ranked.groupBy("before_rank", "after_rank").agg(F.sum("n").alias("n")).toArrow()  # OWN x OWN rows at most
+    before, after, n = (among.column(c).to_numpy() for c in ("before_rank", "after_rank", "n"))
+    return cut, np.array([r["n"] for r in order] or [0], float), attention.pair_shares(before, after, n.astype(float))
+
+
 def _sequences(cut: Subwords, texts: list[str | None], known: dict[bytes, list[int]]) -> list[np.ndarray]:
     out = []
     for text in texts:
@@ -119,31 +154,24 @@ def _chunks(cut: Subwords, batches, most: int = TRAIN_IDS):
 
 
 def _trained(shared):
-    """One task's training: all windows of its texts, chunk by chunk in a random order, again if they give too few steps."""
+    """One task's training: all windows of its texts once, chunk by chunk in a random order."""
 
     def run(batches):
-        start, cut, counts, seed = shared.value
-        worker = attention.Trainer(attention.unpacked(start), counts, cut.size, 0.04)
+        start, cut, counts, pairs, seed = shared.value
+        worker = attention.Trainer(attention.unpacked(start), counts, cut.size, pairs, RATE)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        steps = np.arange(attention.WINDOW)
-
-        def learn(chunk) -> int:
+        steps, learned = np.arange(attention.WINDOW), 0
+        for chunk in _chunks(cut, batches):
             inputs, targets, starts, _ = attention.windows(chunk, cut.places(b"\n")[0])
-            order = rng.permutation(len(starts))
-            for s in range(0, len(order), BATCH):
-                place = starts[order[s : s + BATCH], None] + steps
+            order, at = rng.permutation(len(starts)), 0
+            while at < len(order):
+                most = min(BATCH, FIRST_BATCH + MORE * worker.steps)
+                place = starts[order[at : at + most], None] + steps
                 worker.step(inputs[place], targets[place[:, attention.BACK :]])
-            return len(starts)
-
-        learned, again = 0, []
-        for chunk in _chunks(cut, batches):
-            learned += learn(chunk)
-            again = [*again, chunk] if worker.steps < LEAST_STEPS else []
+                at += most
+            learned += len(starts)
         if not learned:
             return
-        while worker.steps < LEAST_STEPS:
-            for chunk in again:
-                learn(chunk)
         flat = attention.packed(worker.p).astype(np.float64) * learned
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays(
@@ -172,13 +200,13 @@ def _added(table: pa.Table) -> pa.Table:
 _SLICES = "slice int, part int, weight double, flat binary"
 
 
-def trained(docs: DataFrame, cut: Subwords, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def trained(docs: DataFrame, cut: Subwords, counts: np.ndarray, pairs: np.ndarray, n_words: int, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` of training on all documents, so the work grows with the corpus."""
     spark = docs.sparkSession
     flat = attention.packed(attention.started())
-    texts = docs.select(text_of().alias("text"))
+    texts = docs.select(text_of().alias("text")).coalesce(max(1, n_words // TASK_WORDS))
     for seed in range(rounds):
-        shared = spark.sparkContext.broadcast((flat, cut, counts, seed))
+        shared = spark.sparkContext.broadcast((flat, cut, counts, pairs, seed))
         # two levels, so that no group holds a row of every task
         some = texts.mapInArrow(_trained(shared), _SLICES).groupBy("slice", F.col("part") % 16).applyInArrow(lambda t: _added(t), _SLICES)
         got = some.groupBy("slice").applyInArrow(lambda t: _added(t), _SLICES).collect()  # one copy of the parameters
@@ -222,9 +250,9 @@ def _scored(shared, key: str, chunk_words: int = 60_000):
 
     def run(batches):
         if key not in _SCORED:
-            flat, cut, counts, head = shared.value
+            flat, cut, counts, pairs, head = shared.value
             _SCORED.clear()  # one model at a time; the words seen stay for the next task of this process
-            _SCORED[key] = (_Seen(head, cut), attention.Scorer(attention.unpacked(flat), counts, cut.size))
+            _SCORED[key] = (_Seen(head, cut), attention.Scorer(attention.unpacked(flat), counts, cut.size, pairs))
         seen, model = _SCORED[key]
         row = TaskContext.get().partitionId() << 40
         for b in batches:
@@ -288,16 +316,12 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = 7, fold: int
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
 
     ranks = vocabulary(tokenizer)
-    plain = context.broadcast(Subwords(ranks))
-    found = counts.mapInArrow(_subword_counts(plain), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # one per subword id
-    order = sorted(found, key=lambda r: (-r["n"], r["id"]))
-    cut = Subwords(ranks, [r["id"] for r in order] or [len(ranks)])
-    subword_counts = np.array([r["n"] for r in order] or [0], float)
-    flat = trained(train, cut, subword_counts)
+    cut, subword_counts, pairs = subword_tables(counts, ranks)
+    flat = trained(train, cut, subword_counts, pairs, n)
 
     limit = max(1, -(-n // HEAD_WORDS))
     head = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in counts.filter(F.col("c") >= limit).toLocalIterator()} if limit > 1 else {}
-    shared = context.broadcast((flat, cut, subword_counts, head))
+    shared = context.broadcast((flat, cut, subword_counts, pairs, head))
     scored = stored(rows.mapInArrow(
         _scored(shared, uuid.uuid4().hex),
         "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, frequent_log double, score double, others array<long>",

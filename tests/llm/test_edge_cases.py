@@ -132,40 +132,3 @@ def test_preference_prefix_and_spans(spark):
     assert [one["chosen"][s["first"]:s["last"]] for s in one["chosen_spans"]] == ["hello<|end|>\n"]
     assert [one["rejected"][s["first"]:s["last"]] for s in one["rejected_spans"]] == ["no<|end|>\n"]
     assert got[2]["prompt"] == "" and got[2]["chosen"] == "<|unknown|>\n<|end|>\n" and got[2]["rejected"] == ""
-
-
-def test_model_gradients_and_normalisation():
-    import numpy as np
-
-    from tenure.llm import attention as m
-
-    rng = np.random.default_rng(0)
-    p, uni = {n: x.astype(float) for n, x in m.started().items()}, m.frequencies(1000 / np.arange(1, 300), 4000)
-    x, y = rng.integers(0, 300, (4, m.WINDOW)), rng.integers(-1, 400, (4, m.SCORED))
-    _, g = m.gradients(p, x, y, uni)
-    for n in m.SHAPES:
-        i = np.unravel_index(np.abs(g[n]).argmax(), g[n].shape)
-        moved = []
-        for step in (1e-5, -1e-5):
-            q = {k: v.copy() for k, v in p.items()}
-            q[n][i] += step
-            moved.append(m.gradients(q, x, y, uni)[0])
-        assert abs((moved[0] - moved[1]) / 2e-5 - g[n][i]) < 2e-5 + 0.01 * abs(g[n][i])
-    counts = np.array([50.0, 30, 20, 10])
-    scorer = m.Scorer(m.started(), counts, 5)  # one id of the five was never seen
-    whole = sum(np.exp(scorer.score([np.array([2, z])], 0)[0]) for z in range(5))
-    assert abs(whole / np.exp(scorer.score([np.array([2])], 0)[0]) - 1) < 1e-3
-
-
-def test_one_place_is_scored_once_with_its_past():
-    import numpy as np
-
-    from tenure.llm import attention as m
-
-    scorer, rng = m.Scorer(m.started(), 100 / np.arange(1, 60), 60), np.random.default_rng(3)
-    docs = [rng.integers(0, 59, n) for n in (1, 15, 16, 17, 70)]
-    alone = [scorer.score([d], 0)[0] for d in docs]
-    assert np.allclose(scorer.score(docs, 0), alone, rtol=1e-5)
-    changed = docs[-1].copy()
-    changed[-1] = (changed[-1] + 1) % 59  # the last place changes nothing before it
-    assert np.isclose(scorer.score([docs[-1][:-1]], 0)[0], scorer.score([changed[:-1]], 0)[0])
