@@ -23,7 +23,7 @@ BLOCK = frozenset(
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "head title script style noscript template iframe object embed svg canvas math audio video map nav footer aside form button select "
+    "head title script style noscript template iframe object embed svg canvas math audio video map nav footer aside button select "
     "option textarea input label fieldset dialog menu".split()
 )
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
@@ -34,37 +34,43 @@ FURNITURE = frozenset(
     "modal overlay newsletter subscribe subscription signup sidebar nav navbar navigation menu breadcrumb breadcrumbs header masthead footer "
     "comment comments commentlist reply replies respond disqus related recommended share sharing social widget login search pagination pager toolbar".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+ARTICLE_NAMES = frozenset("article entry post story".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed".split())
+KNOWN = VOID | BLOCK | DROPPED | INLINE | RAW
 # a comment, a declaration, a tag with quoted attributes, or a tag whose quotes do not close
 _MARKUP = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_CUT_TAG = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
+_CUT_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)(?:[\s/][^<>]*)?|[/!?][^<>]*)?$")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "named", "titled")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped, self.children = tag, parent, dropped, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.named = False  # its name is that of furniture; ``_settle`` judges by what it holds
+        self.titled = False  # a heading of the first level below it would be the article's
 
 
-def _furniture(tag: str, written: str, inside_article: bool) -> bool:
+def _furniture(tag: str, written: str, inside_article: bool) -> tuple[bool, bool, bool]:
+    """(dropped whatever it holds, named like furniture, a heading in it is the article's)."""
     if tag in DROPPED or (tag == "header" and not inside_article):
-        return True
+        return True, False, False
     if not written or tag in ("html", "body", "main", "article"):
-        return False
+        return False, tag == "form", inside_article
     attrs = {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(written)}
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
+        return True, False, False
     if (attrs.get("role") or "").lower() in ROLES:
-        return True
-    named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-    return named != " " and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", named.lower()))
+        return True, False, False
+    names = re.split(r"[^a-z]+", f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower())
+    return False, tag == "form" or not FURNITURE.isdisjoint(names), inside_article or not ARTICLE_NAMES.isdisjoint(names)
 
 
 class _Tree:
@@ -72,7 +78,7 @@ class _Tree:
 
     def __init__(self):
         self.root = self.at = Node("html", None, False)
-        self.articles = 0
+        self.articles = self.named = 0
 
     def feed(self, html: str) -> Node:
         at, size = 0, len(html)
@@ -93,6 +99,8 @@ class _Tree:
                         self.data(html[at : close.start() if close else size])
                         at = close.end() if close else size
                         self.end(tag)
+        if self.named:
+            _settle(self.root)
         return self.root
 
     def data(self, text: str) -> None:
@@ -129,7 +137,10 @@ class _Tree:
             self._close(open_one)
         if tag == "body" and self._open({"head"}, ()):
             self._close("head")
-        node = Node(tag, self.at, self.at.dropped or _furniture(tag, attrs, self.articles > 0))
+        dropped, named, titled = _furniture(tag, attrs, self.articles > 0)
+        node = Node(tag, self.at, self.at.dropped or dropped)
+        node.named, node.titled = named, titled
+        self.named += named
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -142,6 +153,34 @@ class _Tree:
             self._close(tag)
 
 
+def _settle(root: Node) -> None:
+    """Drop what is named like furniture, but for what holds the page's text or the article's heading.
+
+    The first is a wrapper such as one with a sidebar in it: more than half of the
+    page's characters outside links. As an advert may be longer than a short article, it also
+    holds two paragraphs or an article element, if there is one on the page. What is named so
+    in a wrapper is judged by itself.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    plain, headed, paragraphs, articles = {}, {}, {}, {}
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and id(c) in plain]
+        text = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[id(node)] = 0 if node.tag == "a" else text + sum(plain[id(c)] for c in inside)
+        paragraphs[id(node)] = (node.tag == "p") + sum(paragraphs[id(c)] for c in inside)
+        articles[id(node)] = (node.tag in ("article", "main")) + sum(articles[id(c)] for c in inside)
+        headed[id(node)] = node.tag == "h1" or any(headed[id(c)] for c in inside)
+    for node in order:  # outer ones first
+        i = id(node)
+        wrapper = 2 * plain[i] > plain[id(root)] and (paragraphs[i] > 1 or articles[i] > 0 or not articles[id(root)])
+        if (node.parent is not None and node.parent.dropped) or (node.named and not wrapper and not (node.titled and headed[i])):
+            node.dropped = True
+
+
 def _measure(root: Node) -> list[Node]:
     """Fill in the sums of every node; the nodes in page order."""
     order, stack = [], [root]
@@ -240,7 +279,15 @@ def main_text(html: str | None) -> str:
     """The article of a page as lines; empty for an empty page."""
     if not html:
         return ""
-    return "\n".join(block_texts(content_roots(_Tree().feed(_CUT_TAG.sub("", html)))))
+    cut = _CUT_TAG.search(html)
+    if cut and (cut[1] is None or _starts_tag(cut[1].lower(), cut.end(1) == len(html))):
+        html = html[: cut.start()]
+    return "\n".join(block_texts(content_roots(_Tree().feed(html))))
+
+
+def _starts_tag(name: str, ends_here: bool) -> bool:
+    """Whether HTML knows an element of that name, or, where the page ends within the name, one that begins so."""
+    return any(known.startswith(name) if ends_here else known == name for known in KNOWN)
 
 
 def _texts(batches):
