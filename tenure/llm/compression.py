@@ -47,7 +47,7 @@ class Classifier:
         joined = b"".join(samples)
         if len(samples) > 20 and len(joined) > 4 * DICTIONARY_BYTES:
             return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-        return joined[-DICTIONARY_BYTES:] or b" "  # too little to choose from: all of it
+        return joined or b" "  # too little to choose from: all of it
 
     def _compressors(self):
         if self._made is None:
