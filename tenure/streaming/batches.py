@@ -21,7 +21,8 @@ class OrderedRelease:
     still waits after the batch), cursor (the watermark reached), released, and
     late. A batch opens its own arrivals, what waited after the batch before,
     and that batch's cursor, however long the stream has run; what waited two
-    batches ago is deleted. An event under the watermark reached before its
+    batches ago is deleted. A batch that a later one has followed is done: run
+    again, it changes nothing. An event under the watermark reached before its
     batch cannot be released in order any more: it goes to late, so every event
     is in one of the two or still waits.
     """
@@ -33,6 +34,9 @@ class OrderedRelease:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if exists(spark, f"{self.path}/cursor/batch_id={batch_id + 1}"):
+            # What waited before this batch is deleted by now, so it could not be released again.
+            return
         append_rows(batch, f"{self.path}/arrivals", batch_id)
         mine = self._part(spark, "arrivals", batch_id, batch.schema)
         reached = self._reached(spark, batch_id)
