@@ -1,4 +1,6 @@
 
+from collections import Counter
+
 import pytest
 from tests.helpers import NOW, at, rows, running, steps, table
 from tests.test_lease import LEASE, plain_replay, random_log, write
@@ -55,6 +57,21 @@ def test_lifecycle_stream_equals_the_replay_however_it_is_cut(spark, parts):
     assert sorted(told, key=str) == events
 
 
+def test_lifecycle_stream_keeps_many_steps_in_one_group(spark):
+    """A group costs a batch of output and trips to the state; steps share one, with few writes that wait or many."""
+    log = random_log(6, 700)
+    end = max(w["ts"] for w in log)
+    waits = Counter(w["step_id"] for w in log if w["op"] == "CLAIM" or 1 <= w["lease_version"] <= 3)
+    assert len(waits) > 2 and max(waits.values()) > 64
+    closing = write(10_000, "closing", "CLAIM", (end - NOW).total_seconds() + 200)
+    feed = Feed(spark, "owner_writes", [*cut(log, 2, delay=20), [closing]])
+    got = drain(lifecycle_stream(feed.stream, LEASE, delay="20 seconds", buckets=1), "lifecycle", feed).collect()
+    decisions, events, _ = plain_replay(log, at((end - NOW).total_seconds() + 180))
+    assert {r.seq: r.accepted for r in got if r.seq is not None and r.seq != 10_000} == decisions
+    told = [(r.step_id, r.lease_version, r.event_type, r.at, r.worker_id) for r in got if r.event_type and r.step_id != "closing"]
+    assert sorted(told, key=str) == events
+
+
 def test_lifecycle_stream_from_given_steps_equals_the_replay(spark):
     """Steps in any state, with budgets of their own; the first write brings the row into the state."""
     log = random_log(8, 250)
