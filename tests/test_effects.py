@@ -44,6 +44,19 @@ def test_a_hot_key_applies_once(spark):
     assert sum(o == "REUSED" for o, _ in got.values()) == 999
 
 
+def test_hot_keys_and_others_decide_alike(spark):
+    """Spread over parts or whole in a task, a key's outcomes are the same; stored, invalid and missing keys too."""
+    asked = [request(i, f"k{i % 7}" if i % 3 else "hot", f'{{"value":{i % 2}}}', ts=i % 50) for i in range(600)]
+    asked += [request(600 + i, None, "{}") for i in range(50)] + [request(700, "hot", "no JSON"), request(701, "k1", '{"value" : 1.0}', ts=99)]
+    store = [{"idempotency_key": k, "effect_type": "demo_receipt", "request": '{"value":1}', "result": f"old {k}", "created_at": at(0)} for k in ("k3", "gone")]
+    tables = table(spark, "effect_requests", asked), table(spark, "idempotent_effects", store)
+    whole, spread, mixed = (
+        {r.seq: (r.outcome, r.result) for r in effects.apply_effects(*tables, hot_rows=n).collect()} for n in (10_000, 0, 100)
+    )
+    assert whole == spread == mixed and len(whole) == len(asked)
+    assert sum(o == "APPLIED" for o, _ in whole.values()) == 7 and "old k3" in {r for _, r in whole.values()}
+
+
 def test_effect_tasks_use_one_receipt_per_step(spark):
     uuid = "ABCDEF01-0000-4000-8000-000000000001"
     s = steps(spark, [{"step_id": uuid, "task_type": "idempotent_effect", "payload": '{"value":"v","delayAfterEffectMs":0}', "attempt_count": 1}])
