@@ -10,11 +10,12 @@ than what lies there.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.llm.common import row_keyed, stored
@@ -24,6 +25,8 @@ _MULTIPLY = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 # Shingles signed at a time and words remembered: what bounds a Python worker's memory besides its batch.
 _CHUNK = 50_000
 _KNOWN = 100_000
+# Members not linked to their leader, up to which the pairs of a bucket are listed; where there are more, it gets a leader again.
+LISTED = 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,49 +162,110 @@ def _compared(percent: int):
 _COMPARED = {"u": pa.int64(), "v": pa.int64(), "linked": pa.bool_(), "new": pa.int64(), "gone": pa.int64(), "size": pa.int64(), "head": pa.list_(pa.int64())}
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) compared on their full sets.
+def _elements(batches):
+    """(group, element) of (group, shingles)."""
+    for batch in batches:
+        for group, held in zip(batch.column("group").to_pylist(), batch.column("shingles"), strict=True):
+            found = np.frombuffer(held.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group), pa.int64()), pa.array(found, pa.int64())], names=["group", "element"])
+
+
+def _packed(batches):
+    """Elements as a set is stored: sorted, in bytes."""
+    for batch in batches:
+        made = [np.sort(np.array(e, np.int64).view(np.uint64)).tobytes() for e in batch.column("elements").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(made, pa.binary())], names=["id", "shingles"])
+
+
+def _middles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, shingles) for every group of ``rows`` (group, v): the elements that more than half of its members have."""
+    held = rows.join(sets, F.col("v") == F.col("id")).select("group", "shingles").mapInArrow(_elements, "group long, element long")
+    most = rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
+    common = held.groupBy("group", "element").agg(F.count(F.lit(1)).alias("have")).join(most, "group").filter("2 * have > members")
+    lists = most.join(common.groupBy("group").agg(F.collect_list("element").alias("elements")), "group", "left")
+    return lists.select(F.col("group").alias("id"), F.coalesce("elements", F.array().cast("array<bigint>")).alias("elements")).mapInArrow(
+        _packed, "id long, shingles binary"
+    )
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, heads: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) compared on their full sets; those of u are in ``heads`` if given.
 
     linked; new: how much of v is not in u; gone: how much of u is not in v; size of v;
-    head: the lowest of the new elements, as many as can decide (see ``_across``).
+    head: the lowest of the new elements, as many as can decide (see ``_buckets``).
     """
-    of = lambda end, name: sets.select(F.col("id").alias(end), F.col("shingles").alias(name))
-    both = pairs.join(of("v", "b"), "v").join(of("u", "a"), "u").select("u", "v", "a", "b")
+    of = lambda df, end, name: df.select(F.col("id").alias(end), F.col("shingles").alias(name))
+    both = pairs.join(of(sets, "v", "b"), "v").join(of(sets if heads is None else heads, "u", "a"), "u").select("u", "v", "a", "b")
     return stored(both.mapInArrow(_compared(percent), "u long, v long, linked boolean, new long, gone long, size long, head array<long>"), "links")
 
 
-def _across(seen: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that may be linked though their common leader does not link them.
-
-    Take x and y, compared with the same leader, y not linked to it. Seen from the leader
-    each has lost some elements and has some new ones, and
-    |x ^ y| >= |gone x - gone y| + new x + new y - 2 |new in both|.
-    So either the counts alone allow a link, which with y unlinked needs an x smaller than
-    the leader, or x and y share new elements. A linked pair shares at least
-    ``percent`` of either set, hence at least (new - (100 - percent) % of the size) new
-    elements, and then the lowest shared one lies in both heads. Nothing else is a pair, so
-    a large group around one text costs its members, not its pairs.
-    """
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     label = labels.select(F.col("id").alias("v"), F.col("component").alias("label"))
-    rows = seen.join(label, "v", "left").select("u", "v", "linked", "new", "gone", "size", "head", F.coalesce("label", "v").alias("label"))
-    rows = stored(rows, "compared")
-    named = lambda df, end: df.select("u", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "u"])
+    found = rows.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    return stored(found.select("group", "v", "linked", "new", "gone", "size", "head", "label"), "compared")
+
+
+def _met(x: DataFrame, y: DataFrame, key: str, percent: int, more: Column) -> DataFrame:
+    """Pairs of rows of x and y with equal key whose labels differ and whose sizes allow a link."""
+    named = lambda df, end: df.select(key, *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != key])
+    x, y = named(x, "x"), named(y, "y")
     apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
-    open_rows = rows.filter(~F.col("linked"))
+    return y.join(x, (y[key] == x[key]) & more & apart).select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v"))
 
-    parts = lambda df: df.select("u", "v", "size", "label", F.explode("head").alias("element"))
-    x, y = named(parts(rows), "x"), named(parts(open_rows), "y")
-    sharing = y.join(x, (y["u"] == x["u"]) & (y["element_y"] == x["element_x"]) & apart).select("v_x", "v_y")
 
+def _counted(rows: DataFrame, percent: int, middle: bool) -> DataFrame:
+    """Pairs (u, v) that the counts of a group allow alone, see ``_buckets``; ``middle``: counted from the group's middle."""
     p, q = 100 + percent, 100 - percent
-    less = rows.groupBy(F.col("u").alias("_u")).agg(F.max(F.col("gone") - F.col("new")).alias("most")).filter("most > 0")
-    near = open_rows.join(less, F.col("u") == F.col("_u")).filter(
+    less = rows.groupBy("group").agg(F.greatest(F.lit(0), F.max(F.col("gone") - F.col("new"))).alias("most")).filter(F.lit(middle) | (F.col("most") > 0))
+    near = rows.filter(~F.col("linked")).join(less, "group").filter(
         p * (F.col("new") + F.col("gone")) <= q * (2 * F.col("size") - F.col("new") + F.col("gone")) + p * F.col("most")
-    ).drop("_u", "most", "head")
-    x, y = named(rows.filter("gone > new").drop("head"), "x"), named(near, "y")
+    ).drop("most", "head")
     allowed = p * (F.col("new_x") + F.col("new_y") + F.abs(F.col("gone_x") - F.col("gone_y"))) <= q * (F.col("size_x") + F.col("size_y"))
-    counted = y.join(x, (y["u"] == x["u"]) & allowed & apart).select("v_x", "v_y")
-    return sharing.unionAll(counted).select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v")).distinct()
+    return _met(rows.filter(F.lit(middle) | (F.col("gone") > F.col("new"))).drop("head"), near, "group", percent, allowed)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Buckets (key) of rows that may be linked though their common leader does not link them.
+
+    Take x and y, compared with the same leader, y not linked to it. Seen from any set, the
+    leader's or the group's middle, each has lost some elements and has some new ones, and
+    |x ^ y| >= |gone x - gone y| + new x + new y - 2 |new in both|.
+    So either the counts alone allow a link (``_counted``), which seen from the leader needs
+    an x smaller than it, as y is unlinked, or x and y share new elements. A linked pair shares at least
+    ``percent`` of either set, hence at least (new - (100 - percent) % of the size) new
+    elements, and then the lowest shared one lies in both heads. Nothing else is a pair. A
+    bucket is one element of the heads of a group; ``open`` is the number of its rows that
+    are not linked to the leader, ``members`` that of all. Buckets without an open row, or
+    with one label, are left out. Keys are hashes: buckets that meet only become larger.
+    """
+    each = rows.select("group", "v", "linked", "new", "gone", "size", "label", F.explode("head").alias("_element"))
+    each = each.withColumn("key", F.xxhash64("group", "_element")).drop("_element")
+    crowds = each.groupBy("key").agg(
+        F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("members"), F.min("label").alias("_low"), F.max("label").alias("_high")
+    ).filter("open > 0 AND _low < _high").drop("_low", "_high")
+    return stored(each.join(crowds, "key"), "beside")
+
+
+def _listed(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of the buckets."""
+    rows = buckets.select("key", "v", "linked", "size", "label")
+    return _met(rows, rows.filter(~F.col("linked")), "key", percent, F.col("linked_x") | (F.col("v_x") < F.col("v_y")))
+
+
+def _led(buckets: DataFrame) -> DataFrame:
+    """(group, u, v): each bucket gets a leader u of its own, the most central of its members.
+
+    That is the one that has most of what buckets share and else differs least from what
+    they were seen from. Buckets of one group that have the same leader become one group.
+    """
+    central = buckets.groupBy("group", "v").agg((2 * F.count(F.lit(1)) - F.first("new") - F.first("gone")).alias("central"))
+    tops = buckets.join(central, ["group", "v"]).groupBy("key").agg(F.max_by("v", F.struct("central", -F.col("v"))).alias("u"))
+    return buckets.join(tops, "key").filter("u <> v").select(F.xxhash64("group", "u").alias("group"), "u", "v").distinct()
+
+
+def _cost(buckets: DataFrame) -> int:
+    """Rows that a listing of the buckets' pairs would make at most."""
+    return buckets.filter(~F.col("linked")).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -221,8 +285,13 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
     2. Each bucket (equal band keys) has a leader: the class with the most company in its
        buckets, or the one that leads that class elsewhere. All members are compared with
        it only.
-    3. What a leader does not link may still be linked with each other; ``_across`` finds
-       those pairs without listing all. No pair of a bucket stays undecided.
+    3. What a leader does not link may still be linked with each other: smaller buckets are
+       made of it (``_buckets``). Where few members are not linked to the leader, their pairs
+       are compared. Any other bucket gets a leader again, its most central member, and is
+       seen from its middle, what more than half of its members have; then step 3 is done
+       over. So copies around one text cost their number, not their pairs, whichever copy led
+       them. Where this does not halve the pairs to be listed, the pairs are listed. No pair
+       of a bucket stays undecided.
 
     Texts are compared as A-Z lower-cased words between ASCII white space; a text with
     fewer words than ``size`` is one shingle; a null or wordless text is linked with
@@ -249,7 +318,27 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
     sets = stored(wanted.mapInArrow(_sets(size), "id long, shingles binary"), "shingles")
     led = _verified(pairs, sets, percent)
     links = led.filter("linked").select("u", "v")
-    found = _verified(_across(led, components(links), percent), sets, percent)
+    rows = _labelled(led.withColumn("group", F.col("u")), components(links))
+    beside = _buckets(rows)
+    listed = [_counted(rows, percent, False), _listed(beside.filter(F.col("open") <= LISTED), percent)]
+    many = beside.filter(F.col("open") > LISTED)
+    cost = _cost(many)
+    while cost:
+        again = stored(_led(many), "led")
+        led = _verified(again.select("u", "v").distinct(), sets, percent)
+        links = links.unionAll(led.filter("linked").select("u", "v"))
+        middle = _verified(again.select(F.col("group").alias("u"), "v"), sets, percent, _middles(again.select("group", "v"), sets))
+        seen = again.join(led.select("u", "v", "linked"), ["u", "v"]).drop("u")
+        rows = _labelled(seen.join(middle.drop("linked").withColumnRenamed("u", "group"), ["group", "v"]), components(links))
+        beside = _buckets(rows)
+        before, cost = cost, _cost(beside)
+        if 2 * cost > before:
+            listed.append(_listed(many, percent))
+            break
+        listed += [_counted(rows, percent, True), _listed(beside.filter(F.col("open") <= LISTED), percent)]
+        many = beside.filter(F.col("open") > LISTED)
+        cost = _cost(many)
+    found = _verified(reduce(DataFrame.unionAll, listed).distinct(), sets, percent)
     label_of = components(links.unionAll(found.filter("linked").select("u", "v")))
     class_of = classes.select("set_key", "id").join(label_of, "id", "left").select(
         F.col("set_key").alias("_set"), F.coalesce("component", F.col("id")).alias("component_id")

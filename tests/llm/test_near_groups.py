@@ -55,3 +55,22 @@ def test_links_beside_the_leader_are_all_found(spark, seed, words, inserts, perc
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df, 3, percent, bands=29, rows=4).collect()}
     assert got == _components(texts, 3, percent)
     assert len(set(got.values())) > 1
+
+
+def test_copies_led_by_a_copy_cost_their_number(spark, monkeypatch):
+    """Edited copies of a text that is not there: whichever leads them lacks something that all others share."""
+    rng = random.Random(5)
+    base, n = [f"b{i}" for i in range(150)], 200
+    texts = {}
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    compared, verified = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, *a, **k: compared.append(pairs.count()) or verified(pairs, *a, **k))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df, 5, 80).collect()}
+    assert got == _components(texts, 5, 80)
+    assert 1 < len(set(got.values())) < n
+    assert sum(compared) < 20 * n
