@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenure.llm.common import ascii_lower, text_of, words
+from tenure.llm.common import ascii_lower, stored, text_of, words
 
 # What a word is, the phrases of the base rule and their labels.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -118,7 +118,7 @@ def scan(docs: DataFrame, min_score: float = 0.6, base=BASE, templates=TEMPLATES
     empty strings; repeated rows give repeated results; an empty table gives an empty
     result. Only doc_id and text are read.
     """
-    found = hits(docs, base, templates)
+    found = stored(hits(docs, base, templates), "license-hits")  # used twice; the texts are read once
     key = ["doc_id", "text_key"]
     full = F.col("base") & (F.col("score") == 1)
     good = full | (~F.col("base") & (F.col("score") >= min_score) & F.col("verified"))

@@ -1,5 +1,7 @@
 """Operator 10: licenses whose sentences are nearly the same."""
 
+from pyspark.sql import functions as F
+
 from tenure.llm import licenses
 
 
@@ -18,3 +20,15 @@ def test_neighbouring_licenses_are_told_apart(spark):
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
     assert [got[i] for i in range(len(rows))] == [x for x, _ in rows]
+
+
+def test_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    df = spark.range(40).select(F.col("id").alias("doc_id"), F.udf(seen, "string")(F.lit("Under the MIT license, or CC BY NC")).alias("text"))
+    assert {(r["n_base"], r["base_labels"]) for r in licenses.scan(df).collect()} == {(2, "cc-by-nc,mit")}
+    assert read.value == 40
