@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenure.llm.common import row_keyed, stored
@@ -25,8 +25,8 @@ _MULTIPLY = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F,
 # Shingles signed at a time and words remembered: what bounds a Python worker's memory besides its batch.
 _CHUNK = 50_000
 _KNOWN = 100_000
-# Members not linked to their leader, up to which the pairs of a bucket are listed; where there are more, it gets a leader again.
-LISTED = 32
+# Members not grouped with their leader, up to which the pairs of a bucket are listed; where there are more, it gets a leader again.
+LISTED = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -138,28 +138,56 @@ def _sets(size: int):
     return run
 
 
+def _shared(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which elements of ``right`` are in ``left``, both sorted."""
+    if not len(left):
+        return np.zeros(len(right), bool)
+    at = np.searchsorted(left, right)
+    at[at == len(left)] = 0
+    return left[at] == right
+
+
 def _compared(percent: int):
     def run(batches):
         last, left = None, None
         for batch in batches:
             out = []
-            for u, v, a, b in zip(*(batch.column(c) for c in ("u", "v", "a", "b")), strict=True):
+            for u, a, b in zip(*(batch.column(c) for c in ("u", "a", "b")), strict=True):
                 if last != u:
                     last, left = u, np.frombuffer(a.as_buffer(), np.uint64)
                 right = np.frombuffer(b.as_buffer(), np.uint64)
-                at = np.searchsorted(left, right)
-                at[at == len(left)] = 0
-                new = right[left[at] != right]  # in rising order, as right is
-                both = len(right) - len(new)
-                linked = 100 * both >= percent * (len(left) + len(right) - both)
-                head = new[: (100 - percent) * len(right) // 100 + 1].view(np.int64)
-                out.append((u.as_py(), v.as_py(), linked, len(new), len(left) - both, len(right), head))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _COMPARED.values(), strict=True)], names=list(_COMPARED))
+                both = int(_shared(left, right).sum())
+                out.append(100 * both >= percent * (len(left) + len(right) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out, pa.bool_())], names=["u", "v", "linked"])
 
     return run
 
 
-_COMPARED = {"u": pa.int64(), "v": pa.int64(), "linked": pa.bool_(), "new": pa.int64(), "gone": pa.int64(), "size": pa.int64(), "head": pa.list_(pa.int64())}
+def _differing(percent: int):
+    """How each set b differs from its reference a: what is new in it, and what it lost if that can decide (see ``_buckets``)."""
+
+    def listed(found):
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64), pa.int64()))
+
+    def run(batches):
+        for batch in batches:
+            numbers, fresh, lost = [], [], []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                left, right = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                fresh.append(right[~_shared(left, right)])
+                gone = left[~_shared(right, left)]
+                numbers.append((len(right), len(fresh[-1]), len(gone)))
+                lost.append(gone if 100 * len(fresh[-1]) <= (100 - percent) * len(right) else gone[:0])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("group", "u", "v")], *[pa.array(c, pa.int64()) for c in zip(*numbers, strict=True)],
+                    listed(fresh), listed(lost),
+                ],
+                names=["group", "u", "v", "size", "new", "gone", "fresh", "lost"],
+            )
+
+    return run
 
 
 def _elements(batches):
@@ -188,68 +216,101 @@ def _middles(rows: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, heads: DataFrame | None = None) -> DataFrame:
-    """The pairs (u, v) compared on their full sets; those of u are in ``heads`` if given.
+def _named(sets: DataFrame, end: str, name: str) -> DataFrame:
+    return sets.select(F.col("id").alias(end), F.col("shingles").alias(name))
 
-    linked; new: how much of v is not in u; gone: how much of u is not in v; size of v;
-    head: the lowest of the new elements, as many as can decide (see ``_buckets``).
-    """
-    of = lambda df, end, name: df.select(F.col("id").alias(end), F.col("shingles").alias(name))
-    both = pairs.join(of(sets, "v", "b"), "v").join(of(sets if heads is None else heads, "u", "a"), "u").select("u", "v", "a", "b")
-    return stored(both.mapInArrow(_compared(percent), "u long, v long, linked boolean, new long, gone long, size long, head array<long>"), "links")
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) compared on their full sets: linked or not."""
+    both = pairs.join(_named(sets, "v", "b"), "v").join(_named(sets, "u", "a"), "u").select("u", "v", "a", "b")
+    return stored(both.mapInArrow(_compared(percent), "u long, v long, linked boolean"), "links")
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    label = labels.select(F.col("id").alias("v"), F.col("component").alias("label"))
-    found = rows.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    return stored(found.select("group", "v", "linked", "new", "gone", "size", "head", "label"), "compared")
 
+def _differences(rows: DataFrame, sets: DataFrame, references: DataFrame, percent: int) -> DataFrame:
+    """Rows (group, u, v) with the size of v and how it differs from the reference of its group: elements ``new`` and ``gone``."""
+    both = rows.join(_named(sets, "v", "b"), "v").join(_named(references, "group", "a"), "group").select("group", "u", "v", "a", "b")
+    columns = "group long, u long, v long, size long, new long, gone long, fresh array<long>, lost array<long>"
+    return stored(both.mapInArrow(_differing(percent), columns), "differences")
 
-def _met(x: DataFrame, y: DataFrame, key: str, percent: int, more: Column) -> DataFrame:
-    """Pairs of rows of x and y with equal key whose labels differ and whose sizes allow a link."""
-    named = lambda df, end: df.select(key, *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != key])
-    x, y = named(x, "x"), named(y, "y")
-    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
-    return y.join(x, (y[key] == x[key]) & more & apart).select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v"))
-
-
-def _counted(rows: DataFrame, percent: int, middle: bool) -> DataFrame:
-    """Pairs (u, v) that the counts of a group allow alone, see ``_buckets``; ``middle``: counted from the group's middle."""
-    p, q = 100 + percent, 100 - percent
-    less = rows.groupBy("group").agg(F.greatest(F.lit(0), F.max(F.col("gone") - F.col("new"))).alias("most")).filter(F.lit(middle) | (F.col("most") > 0))
-    near = rows.filter(~F.col("linked")).join(less, "group").filter(
-        p * (F.col("new") + F.col("gone")) <= q * (2 * F.col("size") - F.col("new") + F.col("gone")) + p * F.col("most")
-    ).drop("most", "head")
-    allowed = p * (F.col("new_x") + F.col("new_y") + F.abs(F.col("gone_x") - F.col("gone_y"))) <= q * (F.col("size_x") + F.col("size_y"))
-    return _met(rows.filter(F.lit(middle) | (F.col("gone") > F.col("new"))).drop("head"), near, "group", percent, allowed)
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Buckets (key) of rows that may be linked though their common leader does not link them.
-
-    Take x and y, compared with the same leader, y not linked to it. Seen from any set, the
-    leader's or the group's middle, each has lost some elements and has some new ones, and
-    |x ^ y| >= |gone x - gone y| + new x + new y - 2 |new in both|.
-    So either the counts alone allow a link (``_counted``), which seen from the leader needs
-    an x smaller than it, as y is unlinked, or x and y share new elements. A linked pair shares at least
-    ``percent`` of either set, hence at least (new - (100 - percent) % of the size) new
-    elements, and then the lowest shared one lies in both heads. Nothing else is a pair. A
-    bucket is one element of the heads of a group; ``open`` is the number of its rows that
-    are not linked to the leader, ``members`` that of all. Buckets without an open row, or
-    with one label, are left out. Keys are hashes: buckets that meet only become larger.
+
+def _lacking(percent: int) -> Column:
+    """By how much a row's differences are too many: two rows of a group for which this adds up to 0 at most are linked."""
+    return (100 + percent) * (F.col("new") + F.col("gone")) - (100 - percent) * F.col("size")
+
+
+def _sure(view: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that the differences from a group's reference show by their numbers alone.
+
+    x ^ y holds at most what x and y differ in from the reference, so ``_lacking`` of both
+    decides. Whatever it links in a group it also links with the row where it is smallest.
+    """
+    rows = view.select("group", "v", _lacking(percent).alias("lacking"))
+    near = rows.groupBy("group").agg(F.min(F.struct("lacking", "v")).alias("near"))
+    found = rows.join(near, "group").filter((F.col("lacking") + F.col("near.lacking") <= 0) & (F.col("v") != F.col("near.v")))
+    return found.select(F.col("near.v").alias("u"), "v")
+
+
+def _undecided(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (group, u, v) of groups that hold several labels, one of them other than the leader's; ``open``: not with the leader."""
+    named = lambda end, name: labels.select(F.col("id").alias(end), F.col("component").alias(name))
+    found = rows.join(named("v", "label"), "v", "left").join(named("u", "hub"), "u", "left")
+    found = found.withColumn("label", F.coalesce("label", "v")).withColumn("open", F.col("label") != F.coalesce("hub", "u")).drop("hub")
+    several = found.groupBy("group").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("group")
+    return found.join(several, "group")
+
+
+def _buckets(view: DataFrame, percent: int) -> DataFrame:
+    """Buckets (key) of rows that may be linked though their labels differ.
+
+    Seen from any set, x ^ y is what only one of x and y differs in from it. Take x and y
+    that ``_sure`` does not link (seen from the leader's own set: one of them not linked to
+    it). If they are linked, they differ from the reference in a common element.
+
+    Either they share new elements. At most (100 - percent) % of x is not in y, so in any
+    order that all rows of the group use, the first shared one is among the first so many
+    and one more of the new elements of x, and of y likewise. Or they share none: then no
+    more than so many are new in either, and they lack common ones. At most
+    (100 - percent) / percent of its size tell x from y, its new elements with them, so the
+    first that both lack is among the first so many that are left and one more of what x
+    lacks. The order puts first what makes the fewest pairs: elements of one row, of one
+    label or of rows with the leader's label make none.
+
+    A bucket is one element of a group; ``opened`` is the number of its open rows, ``members``
+    that of all, ``rest`` the number of elements of this kind that a row has from this one
+    on. Keys are hashes: buckets that meet only become larger.
     """
-    each = rows.select("group", "v", "linked", "new", "gone", "size", "label", F.explode("head").alias("_element"))
-    each = each.withColumn("key", F.xxhash64("group", "_element")).drop("_element")
-    crowds = each.groupBy("key").agg(
-        F.count_if(~F.col("linked")).alias("open"), F.count(F.lit(1)).alias("members"), F.min("label").alias("_low"), F.max("label").alias("_high")
-    ).filter("open > 0 AND _low < _high").drop("_low", "_high")
-    return stored(each.join(crowds, "key"), "beside")
+    ends = view.select("group", "v", "open", "label", F.explode("fresh").alias("element"), F.lit(True).alias("is_new"))
+    each = ends.unionAll(view.select("group", "v", "open", "label", F.explode("lost").alias("element"), F.lit(False).alias("is_new")))
+    makes = (F.col("opened") > 0) & (F.col("_low") < F.col("_high"))
+    counts = [F.count_if("open").alias("opened"), F.count(F.lit(1)).alias("members"), F.min("label").alias("_low"), F.max("label").alias("_high")]
+    costs = each.groupBy("group", "element").agg(*counts).filter(makes).select("group", "element", (F.col("opened") * F.col("members")).alias("cost"))
+    row = Window.partitionBy("group", "v", "is_new")
+    rest = F.count(F.lit(1)).over(row) - F.row_number().over(row.orderBy("cost", "element")) + 1
+    heads = each.select("group", "v", "element", "is_new").join(costs, ["group", "element"]).withColumn("rest", rest).join(view.drop("fresh", "lost"), ["group", "v"])
+    size, new = F.col("size"), F.col("new")
+    place = F.when(F.col("is_new"), new).otherwise(F.col("gone")) - F.col("rest")
+    heads = heads.filter(place <= F.when(F.col("is_new"), F.floor((100 - percent) * size / 100)).otherwise(F.floor((100 - percent) * size / percent) - new))
+    rows = stored(heads.select(
+        F.xxhash64("group", "element").alias("key"), "group", "v", "size", "new", "gone", "label", "open", "is_new", "rest"
+    ), "heads")
+    return stored(rows.join(rows.groupBy("key").agg(*counts).filter(makes).drop("_low", "_high"), "key"), "beside")
 
 
 def _listed(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of the buckets."""
-    rows = buckets.select("key", "v", "linked", "size", "label")
-    return _met(rows, rows.filter(~F.col("linked")), "key", percent, F.col("linked_x") | (F.col("v_x") < F.col("v_y")))
+    """Pairs (u, v) of the buckets, an open row in each, whose labels differ and whose numbers allow a link.
+
+    A pair is judged as if the bucket's element were the first that it shares: from there on
+    either row has ``rest`` elements that both can share, besides what both have of the reference.
+    """
+    rows = buckets.select("key", "v", "size", "label", "open", "is_new", "rest", (F.col("size") - F.col("new")).alias("kept"), _lacking(percent).alias("lacking"))
+    named = lambda df, end: df.select("key", *[F.col(c).alias(f"{c}_{end}") for c in df.columns if c != "key"])
+    x, y = named(rows, "x"), named(rows.filter("open"), "y")
+    apart = (F.col("label_x") != F.col("label_y")) & (100 * F.least("size_x", "size_y") >= percent * F.greatest("size_x", "size_y"))
+    rest = F.least("rest_x", "rest_y")
+    enough = F.when(F.col("is_new_x"), (100 + percent) * (F.least("kept_x", "kept_y") + rest) >= percent * (F.col("size_x") + F.col("size_y")))
+    enough = enough.otherwise(2 * (100 + percent) * rest >= F.col("lacking_x") + F.col("lacking_y"))
+    met = y.join(x, (y["key"] == x["key"]) & (~F.col("open_x") | (F.col("v_x") < F.col("v_y"))) & apart & enough)
+    return met.select(F.least("v_x", "v_y").alias("u"), F.greatest("v_x", "v_y").alias("v"))
 
 
 def _led(buckets: DataFrame) -> DataFrame:
@@ -265,7 +326,7 @@ def _led(buckets: DataFrame) -> DataFrame:
 
 def _cost(buckets: DataFrame) -> int:
     """Rows that a listing of the buckets' pairs would make at most."""
-    return buckets.filter(~F.col("linked")).agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    return buckets.filter("open").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
 
 
 def signed(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -286,12 +347,14 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
        buckets, or the one that leads that class elsewhere. All members are compared with
        it only.
     3. What a leader does not link may still be linked with each other: smaller buckets are
-       made of it (``_buckets``). Where few members are not linked to the leader, their pairs
-       are compared. Any other bucket gets a leader again, its most central member, and is
-       seen from its middle, what more than half of its members have; then step 3 is done
-       over. So copies around one text cost their number, not their pairs, whichever copy led
-       them. Where this does not halve the pairs to be listed, the pairs are listed. No pair
-       of a bucket stays undecided.
+       made of it (``_buckets``), each of one element in which members differ from the leader
+       alike, rare ones first. Where few members are not grouped with the leader, the pairs
+       that their numbers allow are compared. Any other bucket gets a leader again, its most
+       central member, and is seen from its middle, what more than half of its members have;
+       members near the middle are linked by that alone; then step 3 is done over. So copies
+       around one text cost their number, not their pairs, whichever copy led them. Where
+       this does not take a quarter off the pairs to be listed, they are listed. No pair of
+       a bucket stays undecided.
 
     Texts are compared as A-Z lower-cased words between ASCII white space; a text with
     fewer words than ``size`` is one shingle; a null or wordless text is linked with
@@ -314,29 +377,28 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 35, r
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
         weights.select("id"), "id", "left_semi"
-    )
+    ).distinct()  # a text of many rows is one set; compared row by row it would cost the product of its rows and the other's
     sets = stored(wanted.mapInArrow(_sets(size), "id long, shingles binary"), "shingles")
     led = _verified(pairs, sets, percent)
     links = led.filter("linked").select("u", "v")
-    rows = _labelled(led.withColumn("group", F.col("u")), components(links))
-    beside = _buckets(rows)
-    listed = [_counted(rows, percent, False), _listed(beside.filter(F.col("open") <= LISTED), percent)]
-    many = beside.filter(F.col("open") > LISTED)
+    labels = components(links)
+    rows = _undecided(led.select(F.col("u").alias("group"), "u", "v"), labels).select("group", "u", "v")
+    beside = _buckets(_undecided(_differences(rows, sets, sets, percent), labels), percent)
+    listed = [_listed(beside.filter(F.col("opened") <= LISTED), percent)]
+    many = beside.filter(F.col("opened") > LISTED)
     cost = _cost(many)
     while cost:
         again = stored(_led(many), "led")
         led = _verified(again.select("u", "v").distinct(), sets, percent)
-        links = links.unionAll(led.filter("linked").select("u", "v"))
-        middle = _verified(again.select(F.col("group").alias("u"), "v"), sets, percent, _middles(again.select("group", "v"), sets))
-        seen = again.join(led.select("u", "v", "linked"), ["u", "v"]).drop("u")
-        rows = _labelled(seen.join(middle.drop("linked").withColumnRenamed("u", "group"), ["group", "v"]), components(links))
-        beside = _buckets(rows)
+        view = _differences(again, sets, _middles(again.select("group", "v"), sets), percent)
+        links = links.unionAll(led.filter("linked").select("u", "v")).unionAll(_sure(view, percent))
+        beside = _buckets(_undecided(view, components(links)), percent)
         before, cost = cost, _cost(beside)
-        if 2 * cost > before:
-            listed.append(_listed(many, percent))
+        if 4 * cost > 3 * before:
+            listed.append(_listed(beside if cost < before else many, percent))
             break
-        listed += [_counted(rows, percent, True), _listed(beside.filter(F.col("open") <= LISTED), percent)]
-        many = beside.filter(F.col("open") > LISTED)
+        listed.append(_listed(beside.filter(F.col("opened") <= LISTED), percent))
+        many = beside.filter(F.col("opened") > LISTED)
         cost = _cost(many)
     found = _verified(reduce(DataFrame.unionAll, listed).distinct(), sets, percent)
     label_of = components(links.unionAll(found.filter("linked").select("u", "v")))

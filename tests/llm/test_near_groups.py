@@ -74,3 +74,40 @@ def test_copies_led_by_a_copy_cost_their_number(spark, monkeypatch):
     assert got == _components(texts, 5, 80)
     assert 1 < len(set(got.values())) < n
     assert sum(compared) < 20 * n
+
+
+def test_rows_of_one_text_are_compared_once(spark, monkeypatch):
+    """Two texts that are alike, each on many rows of one id, as the pipeline's text hashes are: one pair, not rows times rows."""
+    base = [f"b{i}" for i in range(60)]
+    texts = {1: " ".join(base), 2: " ".join([*base[:50], *(f"e{i}" for i in range(10))]), 3: " ".join([*base, "end"])}
+    compared, verified = [], near_dedup._verified
+
+    def counted(*a, **k):
+        found = verified(*a, **k)
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    df = spark.createDataFrame([row for row in texts.items() for _ in range(20)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df, 5, 80).collect()}
+    assert got == _components(texts, 5, 80)
+    assert sum(compared) <= 3
+
+
+def test_a_passage_that_many_share_lists_few_pairs(spark, monkeypatch):
+    """Near copies and other texts with one passage: it joins all of them, but what is rare in them decides."""
+    rng = random.Random(8)
+    base, passage, n = [f"b{i}" for i in range(80)], [f"p{i}" for i in range(30)], 150
+    texts = {}
+    for i in range(n):
+        w = list(base) if i % 2 else [f"o{i}x{k}" for k in range(rng.randrange(40, 120))]
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        at = rng.randrange(len(w))
+        texts[i] = " ".join([*w[:at], *passage, *w[at:]])
+    listed, pairs = [], near_dedup._listed
+    monkeypatch.setattr(near_dedup, "_listed", lambda *a: listed.append(pairs(*a).count()) or pairs(*a))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(df, 5, 80).collect()}
+    assert got == _components(texts, 5, 80)
+    assert sum(listed) < 2 * n
