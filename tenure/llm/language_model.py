@@ -2,7 +2,8 @@
 
 Words are counted over all training documents; the counts give the base score and, over
 the subwords of the words, the frequencies and pairs that the attention model is mixed
-with. The model is trained where the data is: each task runs over its share of the
+with. One pass cuts every text into subword ids, which are written; training and scoring
+read them. The model is trained where the data is: each task runs over its share of the
 training windows from the same start, and the results are averaged; further rounds would
 start there. Then one pass scores every text.
 """
@@ -17,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark import TaskContext
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenure.llm import attention
-from tenure.llm.common import ascii_lower, stored, text_of, words
+from tenure.llm.common import stored, text_of
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Stands for the end of a text; no word holds white space.
@@ -38,6 +40,8 @@ FIRST_BATCH, MORE, BATCH = 64, 8, 512
 TASK_WORDS = 200_000
 #: Subword ids that a training task holds at a time.
 TRAIN_IDS = 400_000
+#: Bytes of texts that a task counts, cuts into ids or scores at a time; one text at least.
+COUNTED, CUT, SCORED = 32_000_000, 4_000_000, 500_000
 _PART = 4096
 _KEPT_WORDS = 1_200_000
 
@@ -47,10 +51,44 @@ def held_out(folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _pieces(values: pa.Array, most: int):
+    """(start, number) of runs of the values, of about ``most`` bytes together; a value is never cut."""
+    ends, start = np.cumsum(np.asarray(pc.binary_length(values), np.int64)), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield start, stop - start
+        start = stop
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts one after the other, A-Z in lower case, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found, sizes = parts.flatten(), np.asarray(pc.list_value_length(parts), np.int64)
+    some = np.asarray(pc.binary_length(found)) > 0  # white space at an end of a text leaves an empty part there
+    if not some.all():
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), sizes)[some], minlength=len(texts))
+        found = found.filter(pa.array(some))
+    return found, sizes
+
+
+def _bytes(found: pa.Array) -> np.ndarray:
+    """The strings as bytes objects."""
+    return found.cast(pa.binary()).to_numpy(zero_copy_only=False)
+
+
+def _counted(batches):
+    for b in batches:
+        texts = b.column("text")
+        for start, n in _pieces(texts, COUNTED):
+            found = _words(texts.slice(start, n))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "c"])
+        yield pa.RecordBatch.from_pydict({"word": [END], "c": [b.num_rows]}, pa.schema({"word": pa.string(), "c": pa.int64()}))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the documents; every text ends with END."""
-    tokens = F.concat(words(ascii_lower(text_of())), F.array(F.lit(END)))
-    return docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
+    return docs.select(text_of().alias("text")).mapInArrow(_counted, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Subwords:
@@ -59,6 +97,7 @@ class Subwords:
     def __init__(self, ranks: dict[bytes, int], by_count: list[int] | None = None):
         self.ranks, self.end, self.size = ranks, len(ranks), len(ranks) + 1
         self.rank = {i: r for r, i in enumerate(by_count)} if by_count is not None else None
+        self.kind = np.uint16 if self.size < 2**16 else np.int32  # holds every place
         self._made = None
 
     def __getstate__(self):
@@ -81,32 +120,42 @@ def vocabulary(path: str = TOKENIZER) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _pair_counts(subwords, most: int = 200_000):
+def _pair_counts(subwords, most: int = 20_000):
     """Counts of neighbours (before, after) in words; -1 stands before a word's first subword and after its last."""
 
-    def rows(found):
-        before, after = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(before, pa.int64()), pa.array(after, pa.int64()), pa.array(list(found.values()), pa.int64())], names=["before", "after", "n"]
-        )
-
     def run(batches):
         cut: Subwords = subwords.value
-        found: dict[tuple[int, int], int] = {}
         for b in batches:
-            for word, c in zip(b.column("word").to_pylist(), b.column("c").to_pylist(), strict=True):
-                ids = cut.ids(word.encode("utf-8", "surrogatepass"))
-                for pair in zip([-1, *ids], [*ids, -1], strict=True):
-                    found[pair] = found.get(pair, 0) + c
-            if len(found) > most:
-                yield rows(found)
-                found = {}
-        if found:
-            yield rows(found)
+            for start in range(0, b.num_rows, most):
+                found = [cut.ids(w) for w in _bytes(b.column("word").slice(start, most))]
+                sizes = np.array([len(ids) for ids in found], np.int64)
+                flat = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
+                ends = np.cumsum(sizes + 1)  # each word's ids stand between marks
+                marked = np.full(ends[-1] + 1, -1, np.int64)
+                inner = np.ones(len(marked), bool)
+                inner[0] = inner[ends] = False
+                marked[inner] = flat
+                pairs = (marked[:-1] + 1) * (cut.size + 1) + marked[1:] + 1
+                counts = np.repeat(np.asarray(b.column("c").slice(start, most)), sizes + 1)
+                pairs, place = np.unique(pairs, return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(pairs // (cut.size + 1) - 1, pa.int64()), pa.array(pairs % (cut.size + 1) - 1, pa.int64()),
+                        pa.array(_sums(place, counts, len(pairs)), pa.int64()),
+                    ],
+                    names=["before", "after", "n"],
+                )
 
     return run
 
 
+def _sums(place: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of whole numbers by place."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, place, counts)
+    return out
+
+
 def subword_tables(counts: DataFrame, ranks: dict[bytes, int]) -> tuple[Subwords, np.ndarray, np.ndarray]:
     """Subwords by rank, their counts and the shares of pairs among the first ranks, from word counts."""
     spark = counts.sparkSession
@@ -139,12 +188,13 @@ def _sequences(cut: Subwords, texts: list[str | None], known: dict[bytes, list[i
 
 
 def _chunks(cut: Subwords, batches, most: int = TRAIN_IDS):
-    """The texts as lists of sequences of about ``most`` ids together; no text is left out."""
+    """The texts, or the ids they were cut into, as lists of sequences of about ``most`` ids together; no text is left out."""
     known: dict[bytes, list[int]] = {}
     held, size = [], 0
     for b in batches:
-        for text in b.column("text").to_pylist():
-            held += _sequences(cut, [text], known)
+        is_cut = "ids" in b.schema.names
+        for value in b.column("ids" if is_cut else "text"):
+            held += [np.frombuffer(value.as_buffer(), cut.kind)] if is_cut else _sequences(cut, [value.as_py()], known)
             size += len(held[-1])
             if size >= most:
                 yield held
@@ -157,6 +207,7 @@ def _trained(shared):
     """One task's training: all windows of its texts once, chunk by chunk in a random order."""
 
     def run(batches):
+        _SEEN.clear()
         start, cut, counts, pairs, seed = shared.value
         worker = attention.Trainer(attention.unpacked(start), counts, cut.size, pairs, RATE)
         rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
@@ -202,9 +253,14 @@ _SLICES = "slice int, part int, weight double, flat binary"
 
 def trained(docs: DataFrame, cut: Subwords, counts: np.ndarray, pairs: np.ndarray, n_words: int, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` of training on all documents, so the work grows with the corpus."""
-    spark = docs.sparkSession
+    return _learned(docs.select(text_of().alias("text")), cut, counts, pairs, n_words, rounds)
+
+
+def _learned(texts: DataFrame, cut: Subwords, counts: np.ndarray, pairs: np.ndarray, n_words: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The same from rows of ``text``, or of ``ids`` as ``_encoded`` makes them."""
+    spark = texts.sparkSession
     flat = attention.packed(attention.started())
-    texts = docs.select(text_of().alias("text")).coalesce(max(1, n_words // TASK_WORDS))
+    texts = texts.coalesce(max(1, n_words // TASK_WORDS))
     for seed in range(rounds):
         shared = spark.sparkContext.broadcast((flat, cut, counts, pairs, seed))
         # two levels, so that no group holds a row of every task
@@ -242,56 +298,78 @@ class _Seen(dict):
         return number
 
 
-_SCORED: dict[str, tuple] = {}
+#: What a process keeps between the tasks of a pass.
+_SEEN: dict[str, _Seen] = {}
+_MODEL: dict[str, attention.Scorer] = {}
 
 
-def _scored(shared, key: str, chunk_words: int = 60_000):
-    """Each text's sums over frequent words, its other words, and its probability by the model."""
+def _encoded(shared, key: str):
+    """Each text's sums over frequent words, its other words, and its subwords' places as bytes of ``Subwords.kind``."""
 
     def run(batches):
-        if key not in _SCORED:
-            flat, cut, counts, pairs, head = shared.value
-            _SCORED.clear()  # one model at a time; the words seen stay for the next task of this process
-            _SCORED[key] = (_Seen(head, cut), attention.Scorer(attention.unpacked(flat), counts, cut.size, pairs))
-        seen, model = _SCORED[key]
-        row = TaskContext.get().partitionId() << 40
+        if key not in _SEEN:
+            cut, head = shared.value
+            _SEEN.clear()  # the words seen stay for the next task of this process
+            _SEEN[key] = _Seen(head, cut)
+        seen, row = _SEEN[key], TaskContext.get().partitionId() << 40
+        kind = np.dtype(seen.cut.kind)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            start = 0
-            while start < len(texts):
-                docs, total = [], 0
-                while start + len(docs) < len(texts) and total < chunk_words:
-                    docs.append((*(texts[start + len(docs)] or "").encode("utf-8", "surrogatepass").lower().split(), b"\n"))
-                    total += len(docs[-1])
+            texts = b.column("text")
+            for start, n in _pieces(texts, CUT):
+                found, sizes = _words(texts.slice(start, n))
                 if len(seen) > _KEPT_WORDS:
                     seen.reset()
-                flat = np.fromiter(map(seen.__getitem__, chain.from_iterable(docs)), np.int64, total)
-                sizes = np.array([len(d) for d in docs])
-                owner = np.repeat(np.arange(len(docs)), sizes)
+                coded = found.dictionary_encode()
+                numbers = np.fromiter(map(seen.__getitem__, _bytes(coded.dictionary)), np.int64, len(coded.dictionary))
+                sizes = sizes + 1
+                last = np.cumsum(sizes) - 1
+                flat, is_word = np.full(last[-1] + 1, seen[b"\n"], np.int64), np.ones(last[-1] + 1, bool)
+                is_word[last] = False
+                flat[is_word] = numbers[np.asarray(coded.indices)]
+                owner = np.repeat(np.arange(n), sizes)
                 logs = np.frombuffer(seen.logs)[flat]
                 rare = np.isnan(logs)
-                base = np.bincount(owner, np.where(rare, 0, logs), len(docs))
-                frequent = np.bincount(owner[~rare], minlength=len(docs))
+                base = np.bincount(owner, np.where(rare, 0, logs), n)
+                frequent = np.bincount(owner[~rare], minlength=n)
                 hashes = np.frombuffer(seen.hashes, np.int64)[flat[rare]]
-                cuts = np.searchsorted(owner[rare], np.arange(len(docs) + 1))
+                cuts = np.searchsorted(owner[rare], np.arange(n + 1))
                 many = np.frombuffer(seen.many, np.int32)[flat].astype(np.int64)
                 ends = np.cumsum(many)
                 places = np.frombuffer(seen.places, np.int32)[np.arange(ends[-1]) + np.repeat(np.frombuffer(seen.first, np.int64)[flat] - ends + many, many)]
-                bounds = ends[np.cumsum(sizes) - 1]
-                score = model.score(np.split(places, bounds[:-1]), int(seen.places[seen.first[seen[b"\n"]]]))
-                n = len(docs)
+                bounds = np.append(0, ends[last]) * kind.itemsize
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(places.astype(kind))])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + n), pa.int64()),
                         b.column("doc_id").slice(start, n), b.column("held_out").slice(start, n),
-                        pa.array(sizes, pa.int64()), pa.array(frequent, pa.int64()), pa.array(base, pa.float64()),
-                        pa.array(score / math.log(10), pa.float64()),
+                        pa.array(sizes, pa.int64()), pa.array(frequent, pa.int64()), pa.array(base, pa.float64()), ids,
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes, pa.int64())),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "frequent_log", "score", "others"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_frequent", "frequent_log", "ids", "others"],
                 )
                 row += n
-                start += n
+
+    return run
+
+
+def _scored(shared, key: str):
+    """Each text's probability by the model in place of its ids, which come last."""
+
+    def run(batches):
+        if key not in _MODEL:
+            flat, cut, counts, pairs = shared.value
+            _SEEN.clear()
+            _MODEL.clear()  # one model at a time
+            _MODEL[key] = attention.Scorer(attention.unpacked(flat), counts, cut.size, pairs)
+        cut = shared.value[1]
+        end = cut.places(b"\n")[0]
+        for b in batches:
+            ids = b.column("ids")
+            for start, n in _pieces(ids, SCORED):
+                docs = [np.frombuffer(x.as_buffer(), cut.kind) for x in ids.slice(start, n)]
+                score = pa.array(_MODEL[key].score(docs, end) / math.log(10), pa.float64())
+                some = b.slice(start, n)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], score], names=[*some.schema.names[:-1], "score"])
 
     return run
 
@@ -317,20 +395,22 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, folds: int = 7, fold: int
 
     ranks = vocabulary(tokenizer)
     cut, subword_counts, pairs = subword_tables(counts, ranks)
-    flat = trained(train, cut, subword_counts, pairs, n)
-
     limit = max(1, -(-n // HEAD_WORDS))
     head = {r["word"].encode("utf-8", "surrogatepass"): r["c"] for r in counts.filter(F.col("c") >= limit).toLocalIterator()} if limit > 1 else {}
-    shared = context.broadcast((flat, cut, subword_counts, pairs, head))
-    scored = stored(rows.mapInArrow(
-        _scored(shared, uuid.uuid4().hex),
-        "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, frequent_log double, score double, others array<long>",
-    ), "scored")
-    others = scored.select("row", F.explode("others").alias("h"))
+    kept = "row long, doc_id long, held_out boolean, n_tokens long, n_frequent long, frequent_log double"
+    shared = context.broadcast((cut, head))
+    encoded = stored(rows.mapInArrow(_encoded(shared, uuid.uuid4().hex), f"{kept}, ids binary, others array<long>"), "encoded")
+    shared.unpersist()
+
+    flat = _learned(encoded.filter(~F.col("held_out")).select("ids"), cut, subword_counts, pairs, n)
+    shared = context.broadcast((flat, cut, subword_counts, pairs))
+    scored = stored(encoded.drop("others").mapInArrow(_scored(shared, uuid.uuid4().hex), f"{kept}, score double"), "scored")
+    shared.unpersist()
+    others = encoded.select("row", F.explode("others").alias("h"))
     rare = counts.filter((F.col("c") < limit) | F.lit(limit == 1)).select(F.xxhash64("word").alias("h"), "c")
     sums = others.join(rare, "h").groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("log"), F.count(F.lit(1)).alias("known"))
     zero = F.lit(0)
-    return scored.drop("others").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_frequent") + F.coalesce("known", zero)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tenure.llm import attention as a
 from tenure.llm import language_model as m
+from tenure.llm.common import written
 
 
 def _pairs(seed, ids):
@@ -132,3 +133,49 @@ def test_chunks_hold_every_text_whole():
     batches = [pa.RecordBatch.from_pydict({"text": [f"a b {i}" for i in range(7)]}), pa.RecordBatch.from_pydict({"text": [None]})]
     sizes = [[len(x) for x in c] for c in m._chunks(cut, batches, most=9)]
     assert len(sizes) > 1 and [n for c in sizes for n in c] == [len(m._sequences(cut, [t], {})[0]) for t in [*(f"a b {i}" for i in range(7)), None]]
+
+
+def test_texts_are_cut_once(spark):
+    texts = ["Red green  BLUE\x0b", None, "unbelievable \x00 é ü\x1f red", "", " \n\t", *(f"red number {i} green" for i in range(40))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    before = written(spark)
+    m.score(rows).collect()
+    made = spark.read.parquet(*[p for p in written(spark)[len(before) :] if "/encoded-" in p])
+    train = rows.filter(~m.held_out())
+    words = m.word_counts(train)
+    cut, counts, pairs = m.subword_tables(words, m.vocabulary())
+    got = {r["doc_id"]: np.frombuffer(r["ids"], cut.kind).tolist() for r in made.collect()}
+    assert got == {i: x.tolist() for i, x in enumerate(m._sequences(cut, texts, {}))}
+    n = words.agg(F.sum("c")).first()[0]
+    learned = m._learned(made.filter(~F.col("held_out")).select("ids"), cut, counts, pairs, n)
+    assert np.array_equal(learned, m.trained(train, cut, counts, pairs, n))
+
+
+def test_words_and_pieces():
+    texts = [" a  B ", "", "   ", "x\x1cy z\x0bq\x00 É k\x85 K \x1f", "\n\t\r\x0c", "one TWO"]
+    found, sizes = m._words(pa.array(texts))
+    want = [t.encode().lower().split() for t in texts]
+    assert list(m._bytes(found)) == [w for ws in want for w in ws] and sizes.tolist() == [len(ws) for ws in want]
+    assert list(m._pieces(pa.array(["aaaaaaaaaa", "b", "c", "dddd"]), 4)) == [(0, 1), (1, 2), (3, 1)]
+    assert list(m._pieces(pa.array([], pa.string()), 4)) == []
+
+
+def test_blocks_change_no_gradient(monkeypatch):
+    rng, pairs = np.random.default_rng(3), _pairs(2, 300).astype(float)
+    p, uni = {n: x.astype(float) for n, x in a.started().items()}, a.frequencies(1000 / np.arange(1, 300), 4000)
+    x, y, found, space = rng.integers(-1, 300, (11, a.WINDOW)), rng.integers(-1, 400, (11, a.SCORED)), [], {}
+    for block in (64, 4, 3):
+        monkeypatch.setattr(a, "_BLOCK", block)
+        found.append(a.gradients(p, x, y, uni, pairs, pairs.sum(1), space))
+    for loss, g in found[1:]:
+        assert np.isclose(loss, found[0][0]) and all(np.allclose(g[n], found[0][1][n]) for n in a.SHAPES)
+
+
+def test_high_scores_stay_finite():
+    p = a.started()
+    p["q"] *= 1000
+    q, k = a._tables(p)[:2]
+    assert not a._low(q, k, a._distance(p)) and a._low(*a._tables(a.started())[:2], a._distance(p))
+    x, pairs = np.arange(2 * a.WINDOW).reshape(2, -1) % 50, _pairs(4, 59)
+    loss, g = a.gradients(p, x, x[:, a.BACK :], a.frequencies(100 / np.arange(1, 60), 60).astype(np.float32), pairs, pairs.sum(1))
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
