@@ -93,6 +93,31 @@ def test_lifecycle_stream_from_given_steps_equals_the_replay(spark):
     assert sorted((t for t in told if t[0] in claimed), key=str) == sorted((e for e in events if e[0] in claimed), key=str)
 
 
+@pytest.mark.parametrize("parts, buckets", [(1, 16_384), (3, 1)])
+def test_time_passes_for_given_steps_that_nothing_counts_for(spark, parts, buckets):
+    """Leases lapse and retries come due without a write, and with none but of generations out of reach."""
+    held = lambda deadline, **more: {"status": "RUNNING", "lease_version": 1, "attempt_count": 1, "max_attempts": 3, "available_at": at(-1), "current_worker_id": "a", "lease_expires_at": deadline, **more}
+    waits = lambda due: held(None, status="RETRY_WAIT", available_at=due, current_worker_id=None)
+    begun = {
+        "alone": held(at(5.0005)), "beyond": held(at(6)), "spent": held(at(7), attempt_count=3), "renewed": held(at(8)), "far": held(at(10_000)),
+        "old": held(at(-86_400 * 365 * 60)), "waits": waits(at(9)), "named": waits(at(9.5)), "later": waits(at(10_000)), "taken": waits(at(3)),
+        "idle": held(None, status="READY", current_worker_id=None), "ended": held(None, status="SUCCEEDED", current_worker_id=None),
+    }
+    log = [
+        write(1, "beyond", "COMPLETE", 2, "a", 9), write(2, "renewed", "RENEW", 4, "a", 1), write(3, "taken", "CLAIM", 5, "a", 2),
+        write(4, "named", "RENEW", 11, "a", 0), write(5, "new", "CLAIM", 12, "a", 1), write(6, "ended", "COMPLETE", 13, "a", 1),
+    ]
+    given = steps(spark, [{"step_id": k, **b} for k, b in begun.items()])
+    size = -(-len(log) // parts)
+    feed = Feed(spark, "owner_writes", [*[log[i : i + size] for i in range(0, len(log), size)], [write(9, "closing", "CLAIM", 60)]])
+    got = drain(lifecycle_stream(feed.stream, LEASE, steps=given, buckets=buckets), "lifecycle", feed).collect()
+    decisions, events, _ = plain_replay(log, at(60), begun=begun)
+    assert {r.seq: r.accepted for r in got if r.seq not in (None, 9)} == decisions
+    told = [(r.step_id, r.lease_version, r.event_type, r.at, r.worker_id) for r in got if r.event_type and r.step_id != "closing"]
+    assert sorted(told, key=str) == events
+    assert {e[0] for e in events} == set(begun) - {"far", "later", "idle", "ended"} | {"new"}
+
+
 def test_effects_are_first_wins_across_batches(spark):
     def request(seq, key, body, ts):
         return {"idempotency_key": key, "effect_type": "t", "request": body, "ts": at(ts), "seq": seq}
